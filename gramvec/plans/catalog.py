@@ -100,3 +100,181 @@ def q_drop_probability(spark, sf_dir):
 )
 def q_vocabulary(spark, sf_dir):
     return VO.vocabulary(_word_counts(spark, sf_dir), QP.vocabulary_size, QP.rejection_threshold)
+
+
+# ---------------------------------------------------------------- shared builders
+from gramvec.operators import batches as BA  # noqa: E402
+from gramvec.operators import pairs as PA  # noqa: E402
+from gramvec.operators import samples as SA  # noqa: E402
+from gramvec.plans.prepare import Pipeline  # noqa: E402
+
+
+def _pipeline(spark, sf_dir, params: Params = QP) -> Pipeline:
+    return Pipeline(read_documents(spark, sf_dir), params)
+
+
+def _ints_str(col) -> F.Column:
+    c = F.col(col) if isinstance(col, str) else col
+    return F.array_join(c.cast("array<string>"), ",")
+
+
+def _batch_inputs_str(col) -> F.Column:
+    return F.array_join(F.transform(col, lambda a: F.array_join(a.cast("array<string>"), ",")), ";")
+
+
+_BASE = (O.sentences_cte(), O.TOKENS_CTE, O.WORD_COUNT_CTE)
+_DROPP = O.drop_p_cte(QP.rejection_threshold)
+_VOCAB = O.vocab_cte(QP.vocabulary_size, QP.rejection_threshold)
+_PAIRS = O.pairs_cte(QP.skip_window, QP.seed)
+_WB = O.word_buckets_cte(QP.ngram_size, QP.num_buckets)
+_ORDERED_CTES = (*_BASE, _DROPP, _VOCAB, _PAIRS, O.subsampled_cte(QP.seed), O.LABELLED_CTE, _WB, O.ordered_cte(QP.batch_size))
+
+
+# ---------------------------------------------------------------- P7 P8 P10 P11
+@register(
+    "char_ngrams",
+    O.with_(*_BASE) + f"SELECT word, array_to_string({O.ngrams('word', QP.ngram_size)}, ' ') AS ngrams FROM word_count",
+)
+def q_char_ngrams(spark, sf_dir):
+    wc = _word_counts(spark, sf_dir).select("word")
+    return SA.word_ngrams(wc, QP.ngram_size).select("word", F.array_join("ngrams", " ").alias("ngrams"))
+
+
+@register(
+    "ngram_buckets",
+    O.with_(*_BASE, _WB) + "SELECT word, array_to_string(bucket_ids, ',') AS bucket_ids FROM word_buckets",
+)
+def q_ngram_buckets(spark, sf_dir):
+    wc = _word_counts(spark, sf_dir).select("word")
+    return SA.word_buckets(wc, QP.ngram_size, QP.num_buckets).select("word", _ints_str("bucket_ids").alias("bucket_ids"))
+
+
+# ---------------------------------------------------------------- J3 R1 W3 U2 F4 J1 J2 F5
+@register("skipgram_pairs", O.with_(O.sentences_cte(), _PAIRS) + "SELECT * FROM pairs")
+def q_skipgram_pairs(spark, sf_dir):
+    return PA.skipgram_pairs(_sentences(spark, sf_dir), QP.skip_window, QP.seed)
+
+
+@register(
+    "repeated_pairs",
+    O.with_(O.sentences_cte(), O.pairs_cte(QP.skip_window, QP.seed, 2))
+    + "SELECT pass, doc_id, sent_idx, CAST(count(*) AS BIGINT) AS n_pairs, "
+    "CAST(sum(pos * 31 + off) AS BIGINT) AS pos_sum, string_agg(context, ' ' ORDER BY pos, off) AS contexts "
+    "FROM pairs GROUP BY pass, doc_id, sent_idx",
+)
+def q_repeated_pairs(spark, sf_dir):
+    """Two passes of pairs with fresh draws, summarised per (pass, sentence)."""
+    pairs = PA.skipgram_pairs(_sentences(spark, sf_dir), QP.skip_window, QP.seed, passes=2)
+    return pairs.groupBy("pass", "doc_id", "sent_idx").agg(
+        F.count(F.lit(1)).alias("n_pairs"),
+        F.sum(F.col("pos") * 31 + F.col("off")).cast("bigint").alias("pos_sum"),
+        F.array_join(
+            F.transform(F.array_sort(F.collect_list(F.struct("pos", "off", "context"))), lambda s: s["context"]), " "
+        ).alias("contexts"),
+    )
+
+
+@register(
+    "subsampled_pairs",
+    O.with_(*_BASE, _DROPP, _PAIRS, O.subsampled_cte(QP.seed)) + "SELECT * FROM subsampled",
+)
+def q_subsampled_pairs(spark, sf_dir):
+    pl = _pipeline(spark, sf_dir)
+    return PA.subsample(pl.pairs, pl.frequent, QP.seed)
+
+
+@register(
+    "labelled_pairs",
+    O.with_(*_BASE, _DROPP, _VOCAB, _PAIRS, O.subsampled_cte(QP.seed), O.LABELLED_CTE) + "SELECT * FROM labelled",
+)
+def q_labelled_pairs(spark, sf_dir):
+    return _pipeline(spark, sf_dir).samples
+
+
+# ---------------------------------------------------------------- P9 P12 W2
+@register(
+    "hashed_samples",
+    O.with_(*_ORDERED_CTES)
+    + "SELECT pass, doc_id, sent_idx, pos, off, label, array_to_string(bucket_ids, ',') AS bucket_ids FROM hashed",
+)
+def q_hashed_samples(spark, sf_dir):
+    pl = _pipeline(spark, sf_dir)
+    h = SA.hashed_samples(pl.samples, pl.word_buckets, pl.frequent)
+    return h.select(*PA.PAIR_KEY, "label", _ints_str("bucket_ids").alias("bucket_ids"))
+
+
+@register(
+    "sample_ordinals",
+    O.with_(*_ORDERED_CTES) + "SELECT pass, doc_id, sent_idx, pos, off, ord, batch_id FROM ordered",
+)
+def q_sample_ordinals(spark, sf_dir):
+    return _pipeline(spark, sf_dir).ordered.select(*PA.PAIR_KEY, "ord", "batch_id")
+
+
+# ---------------------------------------------------------------- A5 A4 F6 S5 T2 S4 S6
+_BATCHES_SQL = O.with_(*_ORDERED_CTES) + (
+    "SELECT batch_id, string_agg(array_to_string(bucket_ids, ','), ';' ORDER BY ord) AS inputs, "
+    "string_agg(CAST(label AS VARCHAR), ',' ORDER BY ord) AS labels, CAST(max(width) AS INTEGER) AS width "
+    "FROM full_hashed GROUP BY batch_id"
+)
+_PADDED_SQL = O.with_(*_ORDERED_CTES) + (
+    "SELECT batch_id, string_agg(array_to_string(list_concat(bucket_ids, "
+    "list_transform(range(width - len(bucket_ids)), lambda x: 0)), ','), ';' ORDER BY ord) AS inputs, "
+    "string_agg(CAST(label AS VARCHAR), ',' ORDER BY ord) AS labels, CAST(max(width) AS INTEGER) AS width "
+    "FROM full_hashed GROUP BY batch_id"
+)
+
+
+def _batch_view(b: DataFrame) -> DataFrame:
+    return b.select("batch_id", _batch_inputs_str(F.col("inputs")).alias("inputs"), _ints_str("labels").alias("labels"), "width")
+
+
+@register("batches", _BATCHES_SQL)
+def q_batches(spark, sf_dir):
+    return _batch_view(_pipeline(spark, sf_dir).batches)
+
+
+@register("padded_batches", _PADDED_SQL)
+def q_padded_batches(spark, sf_dir):
+    return _batch_view(_pipeline(spark, sf_dir).padded_batches)
+
+
+SHARD_FILES = 3
+
+
+@register(
+    "batch_shards",
+    O.with_(*_ORDERED_CTES)
+    + f"SELECT DISTINCT batch_id, CAST((batch_id // 1000) % {SHARD_FILES} AS INTEGER) AS shard FROM full_hashed",
+)
+def q_batch_shards(spark, sf_dir):
+    return BA.with_shards(_pipeline(spark, sf_dir).batches.select("batch_id"), SHARD_FILES)
+
+
+@register(
+    "shuffled_batches",
+    O.with_(*_ORDERED_CTES)
+    + "SELECT batch_id, CAST(row_number() OVER (ORDER BY u, batch_id) - 1 AS BIGINT) AS shuffle_rank FROM "
+    f"(SELECT DISTINCT batch_id, {O.U(QP.seed, 'shuffle', '0', 'batch_id')} AS u FROM full_hashed)",
+)
+def q_shuffled_batches(spark, sf_dir):
+    return BA.shuffle_order(_pipeline(spark, sf_dir).batches, QP.seed, 0)
+
+
+@register(
+    "batch_roundtrip",
+    O.with_(*_ORDERED_CTES)
+    + "SELECT batch_id, string_agg(array_to_string(list_concat(bucket_ids, "
+    "list_transform(range(width - len(bucket_ids)), lambda x: 0)), ','), ';' ORDER BY ord) AS inputs, "
+    "string_agg(CAST(label AS VARCHAR), ',' ORDER BY ord) AS labels, CAST(max(width) AS INTEGER) AS width, "
+    f"CAST((batch_id // 1000) % {SHARD_FILES} AS INTEGER) AS shard FROM full_hashed GROUP BY batch_id",
+)
+def q_batch_roundtrip(spark, sf_dir):
+    """Write the padded batches as sharded parquet, read them back and reshape."""
+    from gramvec.session import scratch_path
+    from gramvec.sources.batch_io import read_batches, write_batches
+
+    path = scratch_path(spark, "batches")
+    write_batches(_pipeline(spark, sf_dir).padded_batches, path, SHARD_FILES)
+    back = read_batches(spark, path, QP.batch_size)
+    return _batch_view(back).join(back.select("batch_id", "shard"), "batch_id")

@@ -75,3 +75,93 @@ vocab AS (
 
 def with_(*ctes: str) -> str:
     return "WITH " + ",".join(c.strip("\n") for c in ctes) + "\n"
+
+
+def U(seed: int, tag: str, *cols: str) -> str:
+    """The keyed md5 uniform in DuckDB."""
+    key = ", ".join([str(int(seed)), lit(tag), *cols])
+    return f"(('0x' || substr(md5(concat_ws('|', {key})), 1, 13))::BIGINT / 4503599627370496::DOUBLE)"
+
+
+def fnv(expr: str, modulus: int, offset: int = 1) -> str:
+    """FNV-1a 64 of the UTF-8 bytes of ``expr`` modulo ``modulus`` plus ``offset``."""
+    return (
+        f"CAST((list_reduce(list_transform(range(1, octet_length(encode({expr})) + 1), "
+        f"lambda i: ('0x' || substr(hex(encode({expr})), 2 * i - 1, 2))::HUGEINT), "
+        f"lambda a, b: (xor(a, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT, "
+        f"14695981039346656037::HUGEINT) % {int(modulus)}) + {int(offset)} AS INTEGER)"
+    )
+
+
+def ngrams(expr: str, n: int) -> str:
+    m = f"('*' || {expr} || '*')"
+    return (
+        f"list_concat(CASE WHEN length({m}) >= {n} THEN "
+        f"list_transform(range(1, length({m}) - {n} + 2), lambda i: substr({m}, i, {n})) ELSE [] END, [{m}])"
+    )
+
+
+def pairs_cte(skip_window: int, seed: int, passes: int = 1) -> str:
+    return f"""
+ptok AS (
+  SELECT CAST(p AS INTEGER) AS pass, doc_id, sent_idx, words, pos FROM
+    (SELECT doc_id, sent_idx, words, CAST(unnest(range(len(words))) AS INTEGER) AS pos FROM sentences WHERE len(words) > 0),
+    (SELECT unnest(range({int(passes)})) AS p)
+),
+pwin AS (
+  SELECT *, words[pos + 1] AS target,
+         CAST(1 + floor({U(seed, 'win', 'pass', 'doc_id', 'sent_idx', 'pos')} * {int(skip_window)}) AS INTEGER) AS win
+  FROM ptok
+),
+pairs AS (
+  SELECT pass, doc_id, sent_idx, pos, CAST(cpos - pos AS INTEGER) AS off, target, words[cpos + 1] AS context FROM (
+    SELECT pass, doc_id, sent_idx, pos, target, words,
+           CAST(unnest(range(greatest(pos - win, 0), least(pos + win, len(words) - 1) + 1)) AS INTEGER) AS cpos
+    FROM pwin) WHERE cpos <> pos
+)"""
+
+
+PAIR_KEY_SQL = "pass, doc_id, sent_idx, pos, off"
+
+
+def subsampled_cte(seed: int) -> str:
+    return f"""
+subsampled AS (
+  SELECT p.* FROM pairs p
+  JOIN drop_probability dt ON dt.word = p.target
+  JOIN drop_probability dc ON dc.word = p.context
+  WHERE {U(seed, 'sub_t', PAIR_KEY_SQL)} >= dt.drop_p AND {U(seed, 'sub_c', PAIR_KEY_SQL)} >= dc.drop_p
+)"""
+
+
+LABELLED_CTE = """
+labelled AS (
+  SELECT s.pass, s.doc_id, s.sent_idx, s.pos, s.off, s.target, v.word_id AS label
+  FROM subsampled s JOIN vocab v ON v.word = s.context
+)"""
+
+
+def word_buckets_cte(n: int, num_buckets: int, source: str = "word_count") -> str:
+    return f"""
+wng AS (
+  SELECT word, unnest(ng) AS g, unnest(range(len(ng))) AS gi FROM (SELECT word, {ngrams('word', n)} AS ng FROM {source})
+),
+word_buckets AS (
+  SELECT word, list({fnv('g', num_buckets - 1, 1)} ORDER BY gi) AS bucket_ids FROM wng GROUP BY word
+)"""
+
+
+def ordered_cte(batch_size: int) -> str:
+    return f"""
+ordered AS (
+  SELECT l.*, CAST(row_number() OVER (ORDER BY pass, doc_id, sent_idx, pos, off) - 1 AS BIGINT) AS ord,
+         CAST((row_number() OVER (ORDER BY pass, doc_id, sent_idx, pos, off) - 1) // {int(batch_size)} AS BIGINT) AS batch_id
+  FROM labelled l
+),
+hashed AS (
+  SELECT o.*, wb.bucket_ids FROM ordered o JOIN word_buckets wb ON wb.word = o.target
+),
+full_hashed AS (
+  SELECT *, max(len(bucket_ids)) OVER (PARTITION BY batch_id) AS width FROM hashed
+  WHERE batch_id < (SELECT count(*) // {int(batch_size)} FROM ordered)
+)"""
