@@ -278,3 +278,193 @@ def q_batch_roundtrip(spark, sf_dir):
     write_batches(_pipeline(spark, sf_dir).padded_batches, path, SHARD_FILES)
     back = read_batches(spark, path, QP.batch_size)
     return _batch_view(back).join(back.select("batch_id", "shard"), "batch_id")
+
+
+# ---------------------------------------------------------------- model
+from gramvec.operators import model as MO  # noqa: E402
+from gramvec.operators import vocab as _VO  # noqa: E402,F401
+from gramvec.sources.corpus import read_table, read_text_corpus  # noqa: E402
+
+# the driver's ``embeddings`` table as an n-gram model: vec_id = bucket id
+EMB_TABLE_BUCKETS = 500
+EMB_TABLE_DIM = 64
+
+
+def _long(df: DataFrame, id_cols: list[str], vec: str, digits: int | None = 6) -> DataFrame:
+    """One row per vector element: ``(*ids, d, x)``."""
+    ex = df.select(*id_cols, F.posexplode(vec).alias("d", "x"))
+    x = F.round(F.col("x").cast("double"), digits) if digits is not None else F.col("x").cast("double")
+    return ex.select(*id_cols, F.col("d").cast("int").alias("d"), x.alias("x"))
+
+
+def _corpus_buckets(pl: Pipeline) -> DataFrame:
+    return MO.corpus_buckets(pl.word_buckets)
+
+
+def _init_model(pl: Pipeline, p: Params = QP):
+    emb = MO.init_embeddings(_corpus_buckets(pl), p.embedding_size, p.num_buckets, p.seed)
+    ow = MO.init_output_weights(
+        pl.spark.range(p.vocabulary_size).select(F.col("id").cast("int").alias("word_id")), p.embedding_size, p.seed
+    )
+    return emb, ow
+
+
+_MODEL_BASE = (*_BASE, _WB, O.CORPUS_BUCKETS_CTE, O.init_emb_cte(QP.embedding_size, QP.num_buckets, QP.seed))
+
+
+@register("init_embeddings", O.with_(*_MODEL_BASE) + "SELECT bucket_id, d, CAST(x AS DOUBLE) AS x FROM emb")
+def q_init_embeddings(spark, sf_dir):
+    pl = _pipeline(spark, sf_dir)
+    emb = MO.init_embeddings(_corpus_buckets(pl), QP.embedding_size, QP.num_buckets, QP.seed)
+    return _long(emb, ["bucket_id"], "vec", None)
+
+
+@register(
+    "init_output_weights",
+    O.with_(*_BASE, O.vocab_cte(QP.vocabulary_size, QP.rejection_threshold), O.init_ow_cte(QP.embedding_size, QP.seed, "vocab"))
+    + "SELECT word_id, d, CAST(w AS DOUBLE) AS x FROM ow",
+)
+def q_init_output_weights(spark, sf_dir):
+    """Initial output rows of the corpus vocabulary's ids (truncated normal)."""
+    pl = _pipeline(spark, sf_dir)
+    ow = MO.init_output_weights(pl.vocab.select("word_id"), QP.embedding_size, QP.seed)
+    return _long(ow, ["word_id"], "vec", None)
+
+
+@register("export_embeddings", O.with_(*_MODEL_BASE) + "SELECT bucket_id, d, CAST(x AS DOUBLE) AS x FROM emb")
+def q_export_embeddings(spark, sf_dir):
+    """Export the embeddings of a model (init model of the corpus) and read the export back."""
+    from gramvec.session import scratch_path
+    from gramvec.sources.model_io import export_embeddings, save_model
+
+    pl = _pipeline(spark, sf_dir)
+    emb, ow = _init_model(pl)
+    model_dir = scratch_path(spark, "model")
+    save_model(spark, model_dir, 0, emb, ow, QP)
+    out = scratch_path(spark, "export")
+    export_embeddings(spark, model_dir, out)
+    return _long(spark.read.parquet(out), ["bucket_id"], "vec", None)
+
+
+# -- the driver's embeddings table as model, words of the benchmark corpus
+def _bench_words(spark, sf_dir) -> DataFrame:
+    return TX.tokens(TX.sentences(read_text_corpus(spark, sf_dir, "benchmark")), False).select("word").distinct()
+
+
+def _emb_table(spark, sf_dir) -> DataFrame:
+    return read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("int").alias("bucket_id"), F.col("embedding").alias("vec"))
+
+
+_BENCH_SENT = O.sentences_cte("(SELECT item_id AS doc_id, text FROM benchmark)")
+_BENCH_WORDS = """
+bwords AS (SELECT DISTINCT unnest(words) AS word FROM sentences),
+bwng AS (SELECT word, unnest(ng) AS g FROM (SELECT word, {ng} AS ng FROM bwords)),
+bocc AS (SELECT word, {h} AS bucket_id FROM bwng),
+tvec AS (SELECT vec_id AS bucket_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS d FROM embeddings),
+wvec AS (SELECT o.word, CAST(t.d AS INTEGER) AS d, sum(t.x) AS x FROM bocc o JOIN tvec t ON t.bucket_id = o.bucket_id GROUP BY o.word, t.d)
+""".format(ng=O.ngrams("word", QP.ngram_size), h=O.fnv("g", EMB_TABLE_BUCKETS - 1, 1))
+
+
+def _bench_vectors(spark, sf_dir) -> DataFrame:
+    wb = SA.word_buckets(_bench_words(spark, sf_dir), QP.ngram_size, EMB_TABLE_BUCKETS)
+    return MO.word_vectors(wb, _emb_table(spark, sf_dir), EMB_TABLE_BUCKETS, EMB_TABLE_DIM)
+
+
+@register("word_vectors", O.with_(_BENCH_SENT, _BENCH_WORDS) + "SELECT word, d, round(x, 6) AS x FROM wvec")
+def q_word_vectors(spark, sf_dir):
+    return _long(_bench_vectors(spark, sf_dir), ["word"], "vec")
+
+
+@register(
+    "normalize_vectors",
+    "SELECT vec_id, CAST(d AS INTEGER) AS d, round(x / sqrt(ss), 6) AS x FROM ("
+    "SELECT vec_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS d, "
+    "list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE) * CAST(v AS DOUBLE))) AS ss FROM embeddings) WHERE ss > 0",
+)
+def q_normalize_vectors(spark, sf_dir):
+    e = read_table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    n = MO.normalize_vectors(e).where(F.col("vec")[0].isNotNull())
+    return _long(n, ["vec_id"], "vec")
+
+
+@register(
+    "word_similarities",
+    O.with_(_BENCH_SENT, _BENCH_WORDS)
+    + """, bigrams AS (SELECT DISTINCT words[k] AS word_a, words[k + 1] AS word_b
+        FROM (SELECT words, unnest(range(1, len(words))) AS k FROM sentences)),
+    wl AS (SELECT word, list(x ORDER BY d) AS v FROM wvec GROUP BY word),
+    nl AS (SELECT word, list_transform(v, lambda e: e / sqrt(list_inner_product(v, v))) AS v FROM wl
+           WHERE list_inner_product(v, v) > 0)
+    SELECT b.word_a, b.word_b, round(list_inner_product(a.v, c.v), 6) AS sim
+    FROM bigrams b JOIN nl a ON a.word = b.word_a JOIN nl c ON c.word = b.word_b""",
+)
+def q_word_similarities(spark, sf_dir):
+    """Cosine similarity of every distinct pair of adjacent words in the benchmark corpus."""
+    sents = TX.sentences(read_text_corpus(spark, sf_dir, "benchmark"))
+    pairs = (
+        sents.select(F.explode(F.arrays_zip(F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))),
+                                            F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0))))).alias("z"))
+        .select(F.col("z.0").alias("word_a"), F.col("z.1").alias("word_b"))
+        .distinct()
+    )
+    sims = MO.pair_similarities(pairs, _bench_vectors(spark, sf_dir))
+    return sims.where(F.col("sim").isNotNull()).select("word_a", "word_b", F.round("sim", 6).alias("sim"))
+
+
+@register(
+    "query_word_buckets",
+    O.with_(_BENCH_SENT)
+    + """, bwords AS (SELECT DISTINCT unnest(words) AS word FROM sentences),
+    qng AS (SELECT word, unnest(ng) AS g, unnest(range(len(ng))) AS gi FROM (SELECT word, {ng} AS ng FROM bwords)),
+    qb AS (SELECT word, list({h} ORDER BY gi) AS b FROM qng GROUP BY word),
+    w AS (SELECT max(len(b)) AS width FROM qb)
+    SELECT word, array_to_string(list_concat(b, list_transform(range(width - len(b)), lambda x: 0)), ',') AS bucket_ids
+    FROM qb, w""".format(ng=O.ngrams("word", QP.effective_query_ngram_size), h=O.fnv("g", QP.num_buckets - 1, 1)),
+)
+def q_query_word_buckets(spark, sf_dir):
+    q = SA.query_word_buckets(_bench_words(spark, sf_dir), QP.effective_query_ngram_size, QP.num_buckets)
+    return q.select("word", _ints_str("bucket_ids").alias("bucket_ids"))
+
+
+# -- negatives, NCE loss on the corpus batches with the initial model
+_NEG = O.negatives_cte(QP.vocabulary_size, QP.num_sampled, QP.seed, QP.negative_oversample)
+
+
+@register("negative_samples", O.with_(*_ORDERED_CTES, _NEG) + "SELECT batch_id, k, word_id, tries FROM negs")
+def q_negative_samples(spark, sf_dir):
+    b = _pipeline(spark, sf_dir).batches.select("batch_id")
+    n = MO.negative_samples(b, QP.vocabulary_size, QP.num_sampled, QP.seed, QP.negative_oversample)
+    return n.select("batch_id", F.posexplode("neg_ids").alias("k", "word_id"), "tries").select(
+        "batch_id", F.col("k").cast("int").alias("k"), "word_id", "tries"
+    )
+
+
+_NCE_SQL_BASE = (
+    *_ORDERED_CTES,
+    O.CORPUS_BUCKETS_CTE,
+    O.init_emb_cte(QP.embedding_size, QP.num_buckets, QP.seed),
+    "ow_ids AS (SELECT CAST(unnest(range(%d)) AS INTEGER) AS word_id)" % QP.vocabulary_size,
+    O.init_ow_cte(QP.embedding_size, QP.seed, "ow_ids"),
+    _NEG,
+    O.nce_ctes(QP.vocabulary_size, QP.batch_size),
+)
+
+
+def _nce_inputs(spark, sf_dir):
+    pl = _pipeline(spark, sf_dir)
+    b = pl.padded_batches
+    emb, ow = _init_model(pl)
+    negs = MO.negative_samples(b.select("batch_id"), QP.vocabulary_size, QP.num_sampled, QP.seed, QP.negative_oversample)
+    logits = MO.nce_logits(b, emb, ow, negs, QP.vocabulary_size, QP.num_buckets, QP.embedding_size)
+    return pl, b, emb, ow, logits
+
+
+@register(
+    "nce_loss",
+    O.with_(*_NCE_SQL_BASE)
+    + f"SELECT batch_id, round(sum(greatest(z, 0) - z * y + ln(1 + exp(-abs(z)))) / {QP.batch_size}, 6) AS loss "
+    "FROM logit GROUP BY batch_id",
+)
+def q_nce_loss(spark, sf_dir):
+    _, _, _, _, logits = _nce_inputs(spark, sf_dir)
+    return MO.nce_loss(logits, QP.batch_size).select("batch_id", F.round("loss", 6).alias("loss"))

@@ -165,3 +165,82 @@ full_hashed AS (
   SELECT *, max(len(bucket_ids)) OVER (PARTITION BY batch_id) AS width FROM hashed
   WHERE batch_id < (SELECT count(*) // {int(batch_size)} FROM ordered)
 )"""
+
+
+def init_emb_cte(embedding_size: int, num_buckets: int, seed: int, buckets_source: str = "corpus_buckets") -> str:
+    import math
+
+    lim = math.sqrt(6.0 / (num_buckets + embedding_size))
+    return f"""
+emb AS (
+  SELECT bucket_id, CAST(d AS INTEGER) AS d,
+         CAST(({U(seed, 'emb', 'bucket_id', 'd')} * 2.0 - 1.0) * {lim!r} AS FLOAT) AS x
+  FROM {buckets_source}, (SELECT unnest(range({int(embedding_size)})) AS d)
+  WHERE bucket_id <> 0
+)"""
+
+
+def init_ow_cte(embedding_size: int, seed: int, ids_source: str) -> str:
+    import math
+
+    sd = 1.0 / math.sqrt(embedding_size)
+    z = (
+        f"sqrt(-2.0 * ln(1.0 - {U(seed, 'w1', 'word_id', 'd', 'r')})) * "
+        f"cos({2.0 * math.pi!r} * {U(seed, 'w2', 'word_id', 'd', 'r')})"
+    )
+    return f"""
+ow_draws AS (
+  SELECT word_id, CAST(d AS INTEGER) AS d, r, {z} AS z
+  FROM {ids_source}, (SELECT unnest(range({int(embedding_size)})) AS d), (SELECT unnest(range(16)) AS r)
+),
+ow AS (
+  SELECT word_id, d, CAST(arg_min(z, r) * {sd!r} AS FLOAT) AS w, CAST(0.0 AS FLOAT) AS bias
+  FROM ow_draws WHERE abs(z) <= 2.0 GROUP BY word_id, d
+)"""
+
+
+CORPUS_BUCKETS_CTE = """
+corpus_buckets AS (SELECT DISTINCT unnest(bucket_ids) AS bucket_id FROM word_buckets)"""
+
+
+def negatives_cte(V: int, K: int, seed: int, oversample: int = 8) -> str:
+    return f"""
+neg_draws AS (
+  SELECT batch_id, d, CAST(floor(exp({U(seed, 'neg', 'batch_id', 'd')} * ln({V + 1.0!r}))) - 1 AS INTEGER) AS wid
+  FROM (SELECT DISTINCT batch_id FROM full_hashed), (SELECT unnest(range({int(oversample) * int(K)})) AS d)
+),
+neg_first AS (SELECT batch_id, wid, min(d) AS d FROM neg_draws GROUP BY batch_id, wid),
+neg_ranked AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY d) AS k FROM neg_first),
+negs AS (
+  SELECT batch_id, CAST(k - 1 AS INTEGER) AS k, wid AS word_id,
+         CAST(max(CASE WHEN k = {int(K)} THEN d END) OVER (PARTITION BY batch_id) + 1 AS INTEGER) AS tries
+  FROM neg_ranked WHERE k <= {int(K)}
+)"""
+
+
+def nce_ctes(V: int, batch_size: int) -> str:
+    """Logits of every (sample, candidate) from ``full_hashed``, ``emb``, ``ow``, ``negs``."""
+    B = int(batch_size)
+    p = f"((ln(wid + 2.0) - ln(wid + 1.0)) / ln({V + 1.0!r}))"
+    return f"""
+smp AS (SELECT batch_id, CAST(ord - batch_id * {B} AS INTEGER) AS i, label, bucket_ids FROM full_hashed),
+dl AS (SELECT DISTINCT bucket_ids FROM smp),
+docc AS (SELECT bucket_ids, unnest(bucket_ids) AS bucket_id FROM dl),
+dsx AS (SELECT o.bucket_ids, e.d, sum(e.x) AS x FROM docc o JOIN emb e ON e.bucket_id = o.bucket_id GROUP BY o.bucket_ids, e.d),
+dxl AS (SELECT bucket_ids, list(x ORDER BY d) AS xv FROM dsx GROUP BY bucket_ids),
+owl AS (SELECT word_id, CAST(list(w ORDER BY d) AS DOUBLE[]) AS wv, max(bias) AS bias FROM ow GROUP BY word_id),
+cand AS (
+  SELECT s.batch_id, s.i, 0 AS j, s.label AS wid, 1.0 AS y, n.tries FROM smp s
+    JOIN (SELECT DISTINCT batch_id, tries FROM negs) n ON n.batch_id = s.batch_id
+  UNION ALL
+  SELECT s.batch_id, s.i, n.k + 1 AS j, n.word_id AS wid, 0.0 AS y, n.tries FROM smp s JOIN negs n ON n.batch_id = s.batch_id
+),
+candp AS (SELECT *, {p} AS p FROM cand),
+candl AS (SELECT *, CASE WHEN 1.0 - p = 1.0 THEN -p ELSE ln(1.0 - p) * (-p) / ((1.0 - p) - 1.0) END AS l1p FROM candp),
+candv AS (SELECT *, tries * l1p AS yy, exp(tries * l1p) AS vv FROM candl),
+candq AS (SELECT *, -(CASE WHEN vv = 1.0 THEN yy ELSE (vv - 1.0) * yy / ln(vv) END) AS q FROM candv),
+logit AS (
+  SELECT c.batch_id, c.i, c.j, c.wid, c.y, list_inner_product(x.xv, o.wv) + o.bias - ln(c.q) AS z
+  FROM candq c JOIN smp s ON s.batch_id = c.batch_id AND s.i = c.i
+  JOIN dxl x ON x.bucket_ids = s.bucket_ids JOIN owl o ON o.word_id = c.wid
+)"""
