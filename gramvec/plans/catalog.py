@@ -468,3 +468,51 @@ def _nce_inputs(spark, sf_dir):
 def q_nce_loss(spark, sf_dir):
     _, _, _, _, logits = _nce_inputs(spark, sf_dir)
     return MO.nce_loss(logits, QP.batch_size).select("batch_id", F.round("loss", 6).alias("loss"))
+
+
+def _mean_grads(spark, sf_dir):
+    pl, b, emb, ow, logits = _nce_inputs(spark, sf_dir)
+    grads = MO.nce_gradients(b, logits, QP.batch_size)
+    mean = grads.groupBy("kind", "id").agg(MO.vec_mean(F.col("grad")).alias("mg"), F.avg("grad_bias").alias("mb"))
+    return emb, ow, grads, mean
+
+
+@register("nce_gradients", O.with_(*_NCE_SQL_BASE, O.nce_grad_ctes(QP.batch_size)) + "SELECT kind, id, d, round(g, 12) AS g FROM grads")
+def q_nce_gradients(spark, sf_dir):
+    """Gradient of every touched row, averaged over the batches that touched it (bias of output rows as d = -1)."""
+    _, _, _, mean = _mean_grads(spark, sf_dir)
+    vec = mean.select("kind", "id", F.posexplode("mg").alias("d", "g"))
+    bias = mean.where(F.col("kind") == "w").select("kind", "id", F.lit(-1).alias("d"), F.col("mb").alias("g"))
+    out = vec.select("kind", "id", F.col("d").cast("int").alias("d"), "g").unionByName(bias)
+    return out.select("kind", "id", "d", F.round("g", 12).alias("g"))
+
+
+_LR0 = QP.learnrate  # learn rate at step 0
+
+
+@register(
+    "sgd_step",
+    O.with_(*_NCE_SQL_BASE, O.nce_grad_ctes(QP.batch_size))
+    + f"""SELECT 'e' AS kind, e.bucket_id AS id, e.d, round(CAST(e.x - {_LR0!r} * g.g AS FLOAT), 9) AS x
+    FROM emb e JOIN grads g ON g.kind = 'e' AND g.id = e.bucket_id AND g.d = e.d
+    UNION ALL
+    SELECT 'w', o.word_id, o.d, round(CAST(o.w - {_LR0!r} * g.g AS FLOAT), 9)
+    FROM ow o JOIN grads g ON g.kind = 'w' AND g.id = o.word_id AND g.d = o.d
+    UNION ALL
+    SELECT 'w', o.word_id, -1, round(CAST(o.bias - {_LR0!r} * g.g AS FLOAT), 9)
+    FROM (SELECT DISTINCT word_id, bias FROM ow) o JOIN grads g ON g.kind = 'w' AND g.id = o.word_id AND g.d = -1""",
+)
+def q_sgd_step(spark, sf_dir):
+    """One synchronous SGD step with every batch's gradient; the rows it updated."""
+    emb, ow, grads, _ = _mean_grads(spark, sf_dir)
+    e2, w2 = MO.sgd_step(emb, ow, grads, _LR0)
+    touched = grads.select("kind", "id").distinct()
+    te = touched.where(F.col("kind") == "e").select(F.col("id").alias("bucket_id"))
+    tw = touched.where(F.col("kind") == "w").select(F.col("id").alias("word_id"))
+    e_rows = _long(e2.join(te, "bucket_id", "left_semi"), ["bucket_id"], "vec", None).select(
+        F.lit("e").alias("kind"), F.col("bucket_id").alias("id"), "d", "x")
+    w_sel = w2.join(tw, "word_id", "left_semi")
+    w_rows = _long(w_sel, ["word_id"], "vec", None).select(F.lit("w").alias("kind"), F.col("word_id").alias("id"), "d", "x")
+    b_rows = w_sel.select(F.lit("w").alias("kind"), F.col("word_id").alias("id"), F.lit(-1).alias("d"), F.col("bias").cast("double").alias("x"))
+    out = e_rows.unionByName(w_rows).unionByName(b_rows)
+    return out.select("kind", "id", "d", F.round("x", 9).alias("x"))

@@ -244,3 +244,34 @@ logit AS (
   FROM candq c JOIN smp s ON s.batch_id = c.batch_id AND s.i = c.i
   JOIN dxl x ON x.bucket_ids = s.bucket_ids JOIN owl o ON o.word_id = c.wid
 )"""
+
+
+def nce_grad_ctes(batch_size: int) -> str:
+    """Mean gradient per model row over the batches that touched it (from ``logit``)."""
+    B = float(batch_size)
+    return f"""
+gl AS (SELECT l.batch_id, l.i, l.wid, 1.0 / (1.0 + exp(-l.z)) - l.y AS g FROM logit l),
+glx AS (SELECT gl.*, s.bucket_ids FROM gl JOIN smp s ON s.batch_id = gl.batch_id AND s.i = gl.i),
+w_n AS (SELECT wid, count(DISTINCT batch_id) AS n FROM gl GROUP BY wid),
+w_g AS (
+  SELECT c.wid, x.d, sum(c.g * x.x) / {B!r} AS gsum FROM glx c JOIN dsx x ON x.bucket_ids = c.bucket_ids GROUP BY c.wid, x.d
+),
+b_g AS (SELECT wid, sum(g) / {B!r} AS gsum FROM gl GROUP BY wid),
+grad_w AS (
+  SELECT 'w' AS kind, w_g.wid AS id, CAST(w_g.d AS INTEGER) AS d, w_g.gsum / w_n.n AS g FROM w_g JOIN w_n ON w_n.wid = w_g.wid
+  UNION ALL
+  SELECT 'w', b_g.wid, -1, b_g.gsum / w_n.n FROM b_g JOIN w_n ON w_n.wid = b_g.wid
+),
+dxd AS (SELECT c.batch_id, c.i, o.d, sum(c.g * o.w) / {B!r} AS dx FROM gl c JOIN ow o ON o.word_id = c.wid GROUP BY c.batch_id, c.i, o.d),
+occ AS (SELECT batch_id, i, unnest(bucket_ids) AS bucket_id FROM smp),
+e_n AS (SELECT bucket_id, count(DISTINCT batch_id) AS n FROM occ GROUP BY bucket_id),
+occn AS (SELECT batch_id, i, bucket_id, count(*) AS m FROM occ GROUP BY batch_id, i, bucket_id),
+e_g AS (
+  SELECT o.bucket_id, x.d, sum(o.m * x.dx) AS gsum FROM occn o JOIN dxd x ON x.batch_id = o.batch_id AND x.i = o.i
+  GROUP BY o.bucket_id, x.d
+),
+grad_e AS (
+  SELECT 'e' AS kind, e_g.bucket_id AS id, CAST(e_g.d AS INTEGER) AS d, e_g.gsum / e_n.n AS g
+  FROM e_g JOIN e_n ON e_n.bucket_id = e_g.bucket_id
+),
+grads AS (SELECT * FROM grad_w UNION ALL SELECT * FROM grad_e)"""
