@@ -16,6 +16,7 @@ from gramvec.plans import oracle as O
 from gramvec.sources.corpus import read_documents
 from gramvec.operators import text as TX
 from gramvec.operators import vocab as VO
+from gramvec.operators.ordinals import global_ordinal
 
 # Parameters of the registered queries. Embedding size is kept small so the
 # SQL oracle can recompute model values; everything else is the default.
@@ -516,3 +517,85 @@ def q_sgd_step(spark, sf_dir):
     b_rows = w_sel.select(F.lit("w").alias("kind"), F.col("word_id").alias("id"), F.lit(-1).alias("d"), F.col("bias").cast("double").alias("x"))
     out = e_rows.unionByName(w_rows).unionByName(b_rows)
     return out.select("kind", "id", "d", F.round("x", 9).alias("x"))
+
+
+# ---------------------------------------------------------------- P16 A7 M5 S1-S3 (training log, fit, scans)
+from gramvec.plans import fit as FT  # noqa: E402
+
+
+def _events_log(spark, sf_dir) -> DataFrame:
+    """A training log stand-in from ``events``: step = position by (ts, event_id), loss = value."""
+    ev = read_table(spark, sf_dir, "events").select("event_id", "ts", F.col("value").alias("loss"))
+    return global_ordinal(ev, ["ts", "event_id"], "step").select("step", "loss")
+
+
+_EVENTS_LOG_SQL = (
+    "WITH log AS (SELECT CAST(row_number() OVER (ORDER BY ts, event_id) - 1 AS BIGINT) AS step, value AS loss FROM events)\n"
+)
+
+
+@register(
+    "learnrate_schedule",
+    _EVENTS_LOG_SQL + f"SELECT step, {QP.learnrate!r} * (1.0 - step / {float(QP.steps)!r}) AS learnrate FROM log",
+)
+def q_learnrate_schedule(spark, sf_dir):
+    log = _events_log(spark, sf_dir)
+    return log.select("step", MO.learnrate_at(F.col("step"), QP.learnrate, QP.steps).alias("learnrate"))
+
+
+_LOSS_REPORT_SQL = _EVENTS_LOG_SQL + (
+    "SELECT CAST(step // 2000 AS BIGINT) AS block, min(step) AS first_step, max(step) AS last_step, "
+    "CAST(count(*) AS BIGINT) AS n_steps, round(avg(loss), 6) AS mean_loss FROM log GROUP BY step // 2000"
+)
+
+
+@register("loss_report", _LOSS_REPORT_SQL)
+def q_loss_report(spark, sf_dir):
+    r = FT.loss_report(_events_log(spark, sf_dir))
+    return r.withColumn("mean_loss", F.round("mean_loss", 6))
+
+
+@register("loss_monitor", _LOSS_REPORT_SQL)
+def q_loss_monitor(spark, sf_dir):
+    """The loss report as a file-stream query over a log written in four parts."""
+    from gramvec.session import scratch_path
+    from gramvec.streaming.loss_monitor import start_loss_monitor
+
+    log = _events_log(spark, sf_dir)
+    log_dir = scratch_path(spark, "log")
+    log.withColumn("learnrate", F.lit(0.0)).repartitionByRange(4, "step").write.parquet(log_dir)
+    report = scratch_path(spark, "report")
+    q = start_loss_monitor(spark, log_dir, report, scratch_path(spark, "ckpt"), available_now=True)
+    q.awaitTermination()
+    return spark.read.parquet(report).withColumn("mean_loss", F.round("mean_loss", 6))
+
+
+FIT_PARAMS = QP.replace(steps=24, embedding_size=16)
+
+
+@register("fit")
+def q_fit(spark, sf_dir):
+    """Preprocess the whole corpus, train 24 steps on 4 workers, return the log (no SQL: iterative)."""
+    from gramvec.session import scratch_path
+
+    pl = _pipeline(spark, sf_dir, FIT_PARAMS)
+    log = FT.fit(pl.padded_batches, FIT_PARAMS, scratch_path(spark, "model"), workers=4, local_steps=3)
+    return log.select("step", "loss", "learnrate")
+
+
+@register(
+    "read_corpus",
+    "SELECT CAST(row_number() OVER (ORDER BY doc_id, k) - 1 AS BIGINT) AS doc_id, 'german' AS lang, para AS text FROM ("
+    "SELECT doc_id, unnest(p) AS para, unnest(range(len(p))) AS k FROM "
+    "(SELECT doc_id, string_split(text, chr(10) || chr(10)) AS p FROM documents))",
+)
+def q_read_corpus(spark, sf_dir):
+    """Text-file scan: the documents written as text files (paragraph per record) and read back."""
+    from gramvec.session import scratch_path
+    from gramvec.sources.corpus import read_corpus
+
+    path = scratch_path(spark, "corpus")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").select("text").write.option(
+        "lineSep", "\n\n").text(path)
+    return read_corpus(spark, path)
