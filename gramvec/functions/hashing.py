@@ -66,9 +66,12 @@ def _fnv_lambda(x: Column, modulus: int, offset: int) -> Column:
     m = int(modulus)
     two32_mod = (2**32) % m
     hexed = F.hex(F.encode(x, "UTF-8"))
-    byte_vals = F.transform(
-        F.sequence(F.lit(1), F.octet_length(x)),
-        lambda i: F.conv(F.substring(hexed, 2 * i - 1, 2), 16, 10).cast("bigint"),
+    # sequence(1, 0) counts down: the empty string has no bytes
+    byte_vals = F.when(F.octet_length(x) == 0, F.array().cast("array<bigint>")).otherwise(
+        F.transform(
+            F.sequence(F.lit(1), F.octet_length(x)),
+            lambda i: F.conv(F.substring(hexed, 2 * i - 1, 2), 16, 10).cast("bigint"),
+        )
     )
     init = F.struct(F.lit(FNV_OFFSET_HI).cast("bigint").alias("hi"), F.lit(FNV_OFFSET_LO).cast("bigint").alias("lo"))
 

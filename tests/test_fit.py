@@ -1,0 +1,67 @@
+"""Training rounds: tiny end-to-end run, resume, and one step == sgd_step."""
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from gramvec.operators import model as MO
+from gramvec.params import Params
+from gramvec.plans import fit as FT
+from gramvec.plans.infer import compute_similarities, format_similarities
+from gramvec.plans.prepare import prepare
+from gramvec.sources import model_io as IO
+from tests.conftest import UNPUNCTUATED, docs
+
+
+def test_tiny_training_run(spark, tmpdir_path):
+    p = Params(steps=10, vocabulary_size=20, num_sampled=3, batch_size=16, embedding_size=8, num_buckets=2000,
+               validation_words="one,two,king,kingdom", passes=1000)
+    _, batches = prepare(docs(spark, [UNPUNCTUATED], "en"), p, tmpdir_path + "/prep")
+    log = FT.fit(batches, p, tmpdir_path + "/model", workers=2, local_steps=2)
+    steps = sorted(r["step"] for r in log.collect())
+    assert steps == list(range(10))
+    assert all(np.isfinite(r["loss"]) for r in log.collect())
+    assert IO.latest_round(spark, tmpdir_path + "/model") == 3
+    val = spark.read.parquet(tmpdir_path + "/model/validation")
+    assert val.where("round = 0").count() == 16
+    sims = compute_similarities(spark, tmpdir_path + "/model", ["one", "two", "king", "kingdom"])
+    assert sims.count() == 16
+    assert all(abs(r["sim"] - 1) < 1e-9 for r in sims.where("word_a = word_b").collect())
+    assert format_similarities(sims).count() == 16
+    # resume: a second call with more steps continues from the latest round
+    log2 = FT.fit(batches, p.replace(steps=14), tmpdir_path + "/model2", workers=2, local_steps=2, max_rounds=1)
+    assert log2.count() == 4
+    log3 = FT.fit(batches, p.replace(steps=14), tmpdir_path + "/model2", workers=2, local_steps=2)
+    assert sorted(r["step"] for r in log3.collect()) == list(range(14))
+
+
+def test_loss_falls(spark, tmpdir_path):
+    p = Params(steps=300, vocabulary_size=50, num_sampled=3, batch_size=16, embedding_size=8, num_buckets=500,
+               passes=30, learnrate=0.5, rejection_threshold=1.0)
+    _, batches = prepare(docs(spark, [UNPUNCTUATED], "en"), p, tmpdir_path + "/prep")
+    log = FT.fit(batches, p, tmpdir_path + "/model", workers=2, local_steps=50)
+    rep = {r["block"]: r["mean_loss"] for r in FT.loss_report(log, 100).collect()}
+    assert rep[2] < rep[0]
+
+
+def test_first_step_equals_sgd_step(spark, tmpdir_path):
+    p = Params(steps=1, vocabulary_size=20, num_sampled=3, batch_size=16, embedding_size=8, num_buckets=2000, passes=3,
+               rejection_threshold=1.0)
+    _, batches = prepare(docs(spark, [UNPUNCTUATED], "en"), p, tmpdir_path + "/prep")
+    FT.fit(batches, p, tmpdir_path + "/model", workers=1, local_steps=1)
+    ordered, _ = FT.order_batches(batches, 1, p.seed)
+    first = ordered.where("pos = 0").select(F.lit(0).cast("long").alias("batch_id"), "inputs", "labels")
+    emb0, ow0, _, _ = IO.load_model(spark, tmpdir_path + "/model", 0)
+    emb1, ow1, _, _ = IO.load_model(spark, tmpdir_path + "/model", 1)
+    negs = MO.negative_samples(first.select("batch_id"), p.vocabulary_size, p.num_sampled, p.seed)
+    logits = MO.nce_logits(first, emb0, ow0, negs, p.vocabulary_size, p.num_buckets, p.embedding_size)
+    e2, w2 = MO.sgd_step(emb0, ow0, MO.nce_gradients(first, logits, p.batch_size), p.learnrate)
+    a = {r["bucket_id"]: r["vec"] for r in e2.collect()}
+    b = {r["bucket_id"]: r["vec"] for r in emb1.collect()}
+    assert a.keys() == b.keys()
+    for k in a:
+        np.testing.assert_allclose(a[k], b[k], rtol=1e-4, atol=1e-6)
+    wa = {r["word_id"]: (r["vec"], r["bias"]) for r in w2.collect()}
+    wb = {r["word_id"]: (r["vec"], r["bias"]) for r in ow1.collect()}
+    for k in wa:
+        np.testing.assert_allclose(wa[k][0], wb[k][0], rtol=1e-4, atol=1e-6)
+        assert abs(wa[k][1] - wb[k][1]) < 1e-6
