@@ -473,8 +473,8 @@ def q_nce_loss(spark, sf_dir):
 
 def _mean_grads(spark, sf_dir):
     pl, b, emb, ow, logits = _nce_inputs(spark, sf_dir)
-    grads = MO.nce_gradients(b, logits, QP.batch_size)
-    mean = grads.groupBy("kind", "id").agg(MO.vec_mean(F.col("grad")).alias("mg"), F.avg("grad_bias").alias("mb"))
+    grads = MO.nce_gradients(b, logits, QP.batch_size, QP.embedding_size)
+    mean = grads.groupBy("kind", "id").agg(MO.vec_mean(F.col("grad"), QP.embedding_size).alias("mg"), F.avg("grad_bias").alias("mb"))
     return emb, ow, grads, mean
 
 
@@ -506,7 +506,7 @@ _LR0 = QP.learnrate  # learn rate at step 0
 def q_sgd_step(spark, sf_dir):
     """One synchronous SGD step with every batch's gradient; the rows it updated."""
     emb, ow, grads, _ = _mean_grads(spark, sf_dir)
-    e2, w2 = MO.sgd_step(emb, ow, grads, _LR0)
+    e2, w2 = MO.sgd_step(emb, ow, grads, _LR0, QP.embedding_size)
     touched = grads.select("kind", "id").distinct()
     te = touched.where(F.col("kind") == "e").select(F.col("id").alias("bucket_id"))
     tw = touched.where(F.col("kind") == "w").select(F.col("id").alias("word_id"))
