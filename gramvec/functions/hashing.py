@@ -27,15 +27,24 @@ def _as_col(x) -> Column:
     return F.lit(x)
 
 
+def hash_hex(*parts) -> Column:
+    """``md5(concat_ws('|', parts))``: 128 bits, enough for two 52-bit uniforms."""
+    cols = [_as_col(p).cast("string") for p in parts]
+    return F.md5(F.concat_ws("|", *cols))
+
+
+def uniform_from_hex(hexed: Column, slot: int = 0) -> Column:
+    """Uniform in [0, 1) from hex digits 1-13 (slot 0) or 14-26 (slot 1) of an md5."""
+    return F.conv(F.substring(hexed, 1 + 13 * int(slot), 13), 16, 10).cast("bigint") / F.lit(TWO_POW_52)
+
+
 def hash_uniform(*parts) -> Column:
     """Uniform double in [0, 1) from the key ``parts`` (columns or literals).
 
     ``conv(substr(md5(concat_ws('|', parts)), 1, 13), 16, 10) / 2^52``.
     Literal strings are passed as ``F.lit``; plain ``str`` means a column name.
     """
-    cols = [_as_col(p).cast("string") for p in parts]
-    key = F.concat_ws("|", *cols)
-    return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("bigint") / F.lit(TWO_POW_52)
+    return uniform_from_hex(hash_hex(*parts), 0)
 
 
 def fnv1a_bucket_sql(expr: str, modulus: int, offset: int = 1) -> str:

@@ -167,14 +167,24 @@ full_hashed AS (
 )"""
 
 
+def H(seed: int, tag: str, *cols: str) -> str:
+    key = ", ".join([str(int(seed)), lit(tag), *cols])
+    return f"md5(concat_ws('|', {key}))"
+
+
+def UH(hexed: str, slot: int) -> str:
+    return f"(('0x' || substr({hexed}, {1 + 13 * int(slot)}, 13))::BIGINT / 4503599627370496::DOUBLE)"
+
+
 def init_emb_cte(embedding_size: int, num_buckets: int, seed: int, buckets_source: str = "corpus_buckets") -> str:
     import math
 
     lim = math.sqrt(6.0 / (num_buckets + embedding_size))
+    h = H(seed, "emb", "bucket_id", "CAST(d // 2 AS INTEGER)")
+    u = f"CASE WHEN d % 2 = 0 THEN {UH(h, 0)} ELSE {UH(h, 1)} END"
     return f"""
 emb AS (
-  SELECT bucket_id, CAST(d AS INTEGER) AS d,
-         CAST(({U(seed, 'emb', 'bucket_id', 'd')} * 2.0 - 1.0) * {lim!r} AS FLOAT) AS x
+  SELECT bucket_id, CAST(d AS INTEGER) AS d, CAST(({u} * 2.0 - 1.0) * {lim!r} AS FLOAT) AS x
   FROM {buckets_source}, (SELECT unnest(range({int(embedding_size)})) AS d)
   WHERE bucket_id <> 0
 )"""
@@ -184,10 +194,8 @@ def init_ow_cte(embedding_size: int, seed: int, ids_source: str) -> str:
     import math
 
     sd = 1.0 / math.sqrt(embedding_size)
-    z = (
-        f"sqrt(-2.0 * ln(1.0 - {U(seed, 'w1', 'word_id', 'd', 'r')})) * "
-        f"cos({2.0 * math.pi!r} * {U(seed, 'w2', 'word_id', 'd', 'r')})"
-    )
+    h = H(seed, "w", "word_id", "d", "r")
+    z = f"sqrt(-2.0 * ln(1.0 - {UH(h, 0)})) * cos({2.0 * math.pi!r} * {UH(h, 1)})"
     return f"""
 ow_draws AS (
   SELECT word_id, CAST(d AS INTEGER) AS d, r, {z} AS z
