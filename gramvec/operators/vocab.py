@@ -67,15 +67,33 @@ def frequent_words(dropp: DataFrame) -> DataFrame:
     return dropp.where(F.col("drop_p") > 0).select("word", "cnt", "drop_p")
 
 
+def rank_cutoff(counts: DataFrame, k: int) -> int:
+    """Largest power of two ``c`` with at least ``k`` words of count >= ``c`` (1 if none).
+
+    Every word of the top ``k`` has a count >= ``c``, so ranking only those
+    words is exact; it drops the long tail of rare words (most of the
+    distinct words) before the sort. One aggregation, 63 numbers returned.
+    """
+    levels = [1 << i for i in range(63)]
+    row = counts.agg(*[F.sum((F.col("cnt") >= c).cast("long")).alias(f"c{i}") for i, c in enumerate(levels)]).first()
+    best = 1
+    for i, c in enumerate(levels):
+        n = row[f"c{i}"]
+        if n is not None and n >= k:
+            best = c
+    return best
+
+
 def vocabulary(counts: DataFrame, vocabulary_size: int, threshold: float) -> DataFrame:
     """``vocab(word, word_id, cnt, drop_p)``: the ``vocabulary_size`` most frequent words.
 
     Ids are dense from 0 by count descending, ties by first occurrence. The
     ranking is a distributed global ordinal (range partitioning), never a
-    single-task top-k merge.
+    single-task top-k merge, over the words above an exact count cutoff.
     """
+    c = rank_cutoff(counts, vocabulary_size)
     ranked = global_ordinal(
-        counts.select("word", "cnt", "first_doc", "first_sent", "first_pos"),
+        counts.where(F.col("cnt") >= c).select("word", "cnt", "first_doc", "first_sent", "first_pos"),
         [F.col("cnt").desc(), "first_doc", "first_sent", "first_pos"],
         "rank",
     )

@@ -100,7 +100,9 @@ def q_drop_probability(spark, sf_dir):
     + "SELECT * FROM vocab",
 )
 def q_vocabulary(spark, sf_dir):
-    return VO.vocabulary(_word_counts(spark, sf_dir), QP.vocabulary_size, QP.rejection_threshold)
+    # through the pipeline: its word counts are written once and read by the
+    # cutoff, the ranking and the total
+    return _pipeline(spark, sf_dir).vocab
 
 
 # ---------------------------------------------------------------- shared builders
