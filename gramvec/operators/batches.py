@@ -20,7 +20,7 @@ def sample_ordinals(samples: DataFrame, batch_size: int):
     Returns ``(DataFrame with ord and batch_id, total samples)``. The
     numbering is a distributed global ordinal, not a one-partition window.
     """
-    df, total = global_ordinal(samples, PAIR_KEY, "ord", with_total=True)
+    df, total = global_ordinal(samples, PAIR_KEY, "ord", with_total=True, stage_input=True)
     return df.withColumn("batch_id", F.floor(F.col("ord") / int(batch_size)).cast("bigint")), total
 
 

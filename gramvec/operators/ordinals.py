@@ -29,15 +29,23 @@ def global_ordinal(
     num_partitions: int | None = None,
     with_total: bool = False,
     materialize: bool = True,
+    stage_input: bool = False,
 ):
     """Add ``name`` = 0-based position of each row in ``order_by`` (a unique key).
 
     The sorted, tagged rows are written once to the shared checkpoint folder
     (``materialize``) so the upstream plan runs once and the lineage is cut;
     the per-partition counts are then read from that table.
+    ``stage_input`` writes the input first: range partitioning runs its
+    input once to sample the bounds and again to shuffle, so an expensive
+    upstream plan is better read back from a file.
     Returns the DataFrame, or ``(DataFrame, total_rows)`` if ``with_total``.
     """
     spark = df.sparkSession
+    if stage_input:
+        path = scratch_path(spark, "ordinal-input")
+        df.write.parquet(path)
+        df = spark.read.parquet(path)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = _order_cols(order_by)
     tagged = (
