@@ -158,22 +158,29 @@ def q_skipgram_pairs(spark, sf_dir):
     return PA.skipgram_pairs(_sentences(spark, sf_dir), QP.skip_window, QP.seed)
 
 
+_PAIR_CHECK_SQL = "CAST(('0x' || substr(md5(concat_ws('|', pos, off, target, context)), 1, 8))::BIGINT AS BIGINT)"
+
+
 @register(
     "repeated_pairs",
     O.with_(O.sentences_cte(), O.pairs_cte(QP.skip_window, QP.seed, 2))
     + "SELECT pass, doc_id, sent_idx, CAST(count(*) AS BIGINT) AS n_pairs, "
-    "CAST(sum(pos * 31 + off) AS BIGINT) AS pos_sum, string_agg(context, ' ' ORDER BY pos, off) AS contexts "
+    "CAST(sum(pos * 31 + off) AS BIGINT) AS pos_sum, "
+    f"CAST(sum({_PAIR_CHECK_SQL}) AS BIGINT) AS pair_checksum "
     "FROM pairs GROUP BY pass, doc_id, sent_idx",
 )
 def q_repeated_pairs(spark, sf_dir):
-    """Two passes of pairs with fresh draws, summarised per (pass, sentence)."""
+    """Two passes of pairs with fresh draws, per (pass, sentence): count and checksums of every pair.
+
+    Only fixed-size aggregates: a punctuation-free document is one sentence,
+    so its pairs are never collected into one group.
+    """
     pairs = PA.skipgram_pairs(_sentences(spark, sf_dir), QP.skip_window, QP.seed, passes=2)
+    check = F.conv(F.substring(F.md5(F.concat_ws("|", "pos", "off", "target", "context")), 1, 8), 16, 10).cast("bigint")
     return pairs.groupBy("pass", "doc_id", "sent_idx").agg(
         F.count(F.lit(1)).alias("n_pairs"),
         F.sum(F.col("pos") * 31 + F.col("off")).cast("bigint").alias("pos_sum"),
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("pos", "off", "context"))), lambda s: s["context"]), " "
-        ).alias("contexts"),
+        F.sum(check).cast("bigint").alias("pair_checksum"),
     )
 
 
@@ -559,13 +566,14 @@ def q_loss_report(spark, sf_dir):
 
 @register("loss_monitor", _LOSS_REPORT_SQL)
 def q_loss_monitor(spark, sf_dir):
-    """The loss report as a file-stream query over a log written in four parts."""
+    """The loss report as a file-stream query over a log written in several parts."""
     from gramvec.session import scratch_path
     from gramvec.streaming.loss_monitor import start_loss_monitor
 
     log = _events_log(spark, sf_dir)
     log_dir = scratch_path(spark, "log")
-    log.withColumn("learnrate", F.lit(0.0)).repartitionByRange(4, "step").write.parquet(log_dir)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    log.withColumn("learnrate", F.lit(0.0)).repartitionByRange(n, "step").write.parquet(log_dir)
     report = scratch_path(spark, "report")
     q = start_loss_monitor(spark, log_dir, report, scratch_path(spark, "ckpt"), available_now=True)
     q.awaitTermination()
@@ -598,6 +606,7 @@ def q_read_corpus(spark, sf_dir):
 
     path = scratch_path(spark, "corpus")
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    docs.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").select("text").write.option(
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id").select("text").write.option(
         "lineSep", "\n\n").text(path)
     return read_corpus(spark, path)
