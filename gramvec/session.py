@@ -37,9 +37,10 @@ def checkpoint_root(spark: SparkSession) -> str:
     created and registered.
     """
     sc = spark.sparkContext
-    path = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
-    if not path:
-        path = spark.conf.get("spark.checkpoint.dir", None)
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = tempfile.mkdtemp(prefix="gramvec-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
