@@ -487,14 +487,14 @@ def _mean_grads(spark, sf_dir):
     return emb, ow, grads, mean
 
 
-@register("nce_gradients", O.with_(*_NCE_SQL_BASE, O.nce_grad_ctes(QP.batch_size)) + "SELECT kind, id, d, round(g, 12) AS g FROM grads")
+@register("nce_gradients", O.with_(*_NCE_SQL_BASE, O.nce_grad_ctes(QP.batch_size)) + "SELECT kind, id, d, round(g, 9) AS g FROM grads")
 def q_nce_gradients(spark, sf_dir):
     """Gradient of every touched row, averaged over the batches that touched it (bias of output rows as d = -1)."""
     _, _, _, mean = _mean_grads(spark, sf_dir)
     vec = mean.select("kind", "id", F.posexplode("mg").alias("d", "g"))
     bias = mean.where(F.col("kind") == "w").select("kind", "id", F.lit(-1).alias("d"), F.col("mb").alias("g"))
     out = vec.select("kind", "id", F.col("d").cast("int").alias("d"), "g").unionByName(bias)
-    return out.select("kind", "id", "d", F.round("g", 12).alias("g"))
+    return out.select("kind", "id", "d", F.round("g", 9).alias("g"))
 
 
 _LR0 = QP.learnrate  # learn rate at step 0
@@ -503,13 +503,13 @@ _LR0 = QP.learnrate  # learn rate at step 0
 @register(
     "sgd_step",
     O.with_(*_NCE_SQL_BASE, O.nce_grad_ctes(QP.batch_size))
-    + f"""SELECT 'e' AS kind, e.bucket_id AS id, e.d, round(CAST(e.x - {_LR0!r} * g.g AS FLOAT), 9) AS x
+    + f"""SELECT 'e' AS kind, e.bucket_id AS id, e.d, round(CAST(CAST(e.x - {_LR0!r} * g.g AS FLOAT) AS DOUBLE), 9) AS x
     FROM emb e JOIN grads g ON g.kind = 'e' AND g.id = e.bucket_id AND g.d = e.d
     UNION ALL
-    SELECT 'w', o.word_id, o.d, round(CAST(o.w - {_LR0!r} * g.g AS FLOAT), 9)
+    SELECT 'w', o.word_id, o.d, round(CAST(CAST(o.w - {_LR0!r} * g.g AS FLOAT) AS DOUBLE), 9)
     FROM ow o JOIN grads g ON g.kind = 'w' AND g.id = o.word_id AND g.d = o.d
     UNION ALL
-    SELECT 'w', o.word_id, -1, round(CAST(o.bias - {_LR0!r} * g.g AS FLOAT), 9)
+    SELECT 'w', o.word_id, -1, round(CAST(CAST(o.bias - {_LR0!r} * g.g AS FLOAT) AS DOUBLE), 9)
     FROM (SELECT DISTINCT word_id, bias FROM ow) o JOIN grads g ON g.kind = 'w' AND g.id = o.word_id AND g.d = -1""",
 )
 def q_sgd_step(spark, sf_dir):
