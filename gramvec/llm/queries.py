@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gramvec.llm.common import table
 from gramvec.llm.huffman_ids import huffman_round_trip
 from gramvec.llm.packing import pack
+from gramvec.llm.risk_rules import quality_verdicts
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -33,3 +34,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as Huffman-coded id files, one row per document as read back."""
     return huffman_round_trip(table(spark, sf_dir, "documents"))
+
+
+@register("op10_risk_rules")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base verdict and certified verdict of all documents."""
+    found = quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
