@@ -24,7 +24,7 @@ class NewFile:
         store, root = open_store(folder)
         store.create_dir(root, recursive=True)
         self.name = f"{stem}-{uuid.uuid4().hex[:12]}{suffix}"
-        self.out = store.open_output_stream(f"{root}/{self.name}")
+        self.out = store.open_output_stream(f"{root}/{self.name}", compression=None)
         self.size = 0
 
     def write(self, data: bytes) -> None:

@@ -9,6 +9,7 @@ from gramvec.llm.common import table
 from gramvec.llm.huffman_ids import huffman_round_trip
 from gramvec.llm.packing import pack
 from gramvec.llm.risk_rules import quality_verdicts
+from gramvec.llm.warc_bundles import warc_round_trip
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -41,3 +42,18 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base verdict and certified verdict of all documents."""
     found = quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@register(
+    "op8_warc_bundles",
+    """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+FROM f""",
+)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC bundles, one row per record as read back."""
+    return warc_round_trip(table(spark, sf_dir, "pages"))
