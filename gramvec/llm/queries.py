@@ -9,6 +9,8 @@ from gramvec.llm.common import table
 from gramvec.llm.huffman_ids import huffman_round_trip
 from gramvec.llm.packing import pack
 from gramvec.llm.risk_rules import quality_verdicts
+from gramvec.llm.secret_index import listed, secret_spans
+from gramvec.llm.secret_index import oracle as secret_oracle
 from gramvec.llm.warc_bundles import warc_round_trip
 
 QUERIES: dict = {}
@@ -57,3 +59,17 @@ FROM f""",
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages as WARC bundles, one row per record as read back."""
     return warc_round_trip(table(spark, sf_dir, "pages"))
+
+
+@register("op5_secret_index", secret_oracle())
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents."""
+    found = secret_spans(table(spark, sf_dir, "documents"))
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda x: x["kind_no"] < 3)
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans")
+    )
