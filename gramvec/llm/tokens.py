@@ -18,15 +18,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words that the cache may hold when a chunk begins; beyond this size it starts anew.
-CACHE_WORDS = 600_000
+#: Runs that the cache may hold when a chunk begins; beyond this size it starts anew.
+CACHE_RUNS = 400_000
 #: Characters that are encoded together.
-CHUNK_CHARS = 24_000_000
+CHUNK_CHARS = 12_000_000
 
 # Printable ASCII and the composed letters below U+0250; U+0130 is left out, as it is two characters in lower case.
-_PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-įı-ɏ]+")
-# What the tokenizer takes for one word: a contraction, letters, one digit, or marks.
-_RUN = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|[\W_]+")
+_PLAIN = r"^[\x21-\x7eÀ-ÖØ-öø-įı-ɏ]*$"
+# What the tokenizer takes for one word: a contraction, letters, one digit, or marks. Line ends part the words.
+_RUNS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|\n|(?:[^\w\n]|_)+")
 
 
 def default_tokenizer_path() -> str:
@@ -45,7 +45,6 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path or default_tokenizer_path())
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {}
         # The same model on runs in lower case, one by one, each byte shown as the byte-level alphabet has it.
         self.of_runs = Tokenizer(self.tokenizer.model)
@@ -57,7 +56,7 @@ class WordEncoder:
         self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.last[[i for t, i in vocab.items() if suffix and t.endswith(suffix)]] = True
         self.by_word = bool(suffix) and all(
-            self._direct(t) == [i for w in t.split() for r in _RUN.findall(w.lower()) for i in self._of_run(r)]
+            self._direct(t) == [i for w in t.split() for r in _RUNS.findall(w.lower()) for i in self._of_run(r)]
             for t in ["Ab, c's 12.x\n\nDé Éa", "x", "'S don't it's--", "Ab C"]
         )
 
@@ -91,17 +90,11 @@ class WordEncoder:
         for space in "\n\t\r":
             spaced = pc.replace_substring(spaced, space, " ")
         words = pc.split_pattern(spaced, " ")
+        del spaced
         per_text = np.diff(words.offsets.to_numpy())
         coded = words.flatten().dictionary_encode()
         del words
-        index = coded.indices.to_numpy(zero_copy_only=False)
-        pool, starts, lens = self._distinct(coded.dictionary.to_pylist())
-        n = lens[index]
-        total = int(n.sum())
-        # position of every id in the pool: a run of consecutive positions per word
-        ends = np.cumsum(n)
-        ids = pool[np.arange(total) + np.repeat(starts[index] - (ends - n), n)]
-        ends = np.concatenate([[0], ends])
+        ids, ends = gather(*self._distinct(coded.dictionary), coded.indices.to_numpy())
         bounds = ends[np.concatenate([[0], np.cumsum(per_text)])]
         counts = np.diff(bounds)
         if any(alone):
@@ -112,28 +105,58 @@ class WordEncoder:
             return np.concatenate(pieces), np.array([len(x) for x in pieces])
         return ids, counts
 
-    def _distinct(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of distinct words: one pool with the start and length of each word."""
-        known, runs = self.words, self.runs
-        if len(known) > CACHE_WORDS or len(runs) > CACHE_WORDS:
-            known.clear()
+    def _distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words: one pool and the bounds of each word in it."""
+        plain = pc.match_substring_regex(words, _PLAIN).to_numpy(zero_copy_only=False)
+        found = _RUNS.findall("\n".join(words.filter(pa.array(plain)).to_pylist()).lower() + "\n")
+        coded = pa.array(found, pa.string()).dictionary_encode()
+        del found
+        kinds, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        last = kinds.index("\n")
+        ids, ends = gather(*pooled(self._runs(kinds)), index)
+        starts = np.concatenate([[0], ends[1:][index == last]])[: int(plain.sum()) + 1]
+        if plain.all():
+            return ids, starts
+        other = [np.array(self._direct(w), np.uint32) for w in words.filter(pa.array(~plain)).to_pylist()]
+        lens = np.empty(len(words), np.int64)
+        lens[plain], lens[~plain] = np.diff(starts), [len(x) for x in other]
+        pool = np.concatenate([ids, *other])
+        at = np.empty(len(words), np.int64)
+        at[plain], at[~plain] = starts[:-1], len(ids) + np.cumsum(lens[~plain]) - lens[~plain]
+        ends = np.concatenate([[0], np.cumsum(lens)])
+        return pool[np.repeat(at - ends[:-1], lens) + np.arange(ends[-1])], ends
+
+    def _runs(self, kinds: list[str]) -> list[bytes]:
+        """Ids of distinct runs, from the cache or encoded now (the line end has none)."""
+        runs = self.runs
+        if len(runs) > CACHE_RUNS:
             runs.clear()
-        unseen = [w for w in words if w not in known]
-        split = [_RUN.findall(w.lower()) if _PLAIN.fullmatch(w) else None for w in unseen]
-        new = list({r for s in split if s for r in s} - runs.keys())
+        runs["\n"] = b""
+        new = [r for r in kinds if r not in runs]
         for at in range(0, len(new), 20_000):
             some = new[at : at + 20_000]
             found = self.of_runs.encode_batch_fast([" ".join(some).translate(self.shown)], add_special_tokens=False)[0]
             ids = np.array(found.ids, np.uint32)
-            cut = np.concatenate([[0], np.flatnonzero(self.last[ids]) + 1])
-            runs.update((r, ids[a:b].tobytes()) for r, a, b in zip(some, cut[:-1].tolist(), cut[1:].tolist()))
-        known.update(
-            (w, b"".join([runs[r] for r in s]) if s else np.array(self._direct(w), np.uint32).tobytes())
-            for w, s in zip(unseen, split)
-        )
-        out = [known[w] for w in words]
-        lens = np.fromiter(map(len, out), np.int64, len(out)) // 4
-        return np.frombuffer(b"".join(out), np.uint32), np.cumsum(lens) - lens, lens
+            cut = [0, *(np.flatnonzero(self.last[ids]) + 1).tolist()]
+            data = ids.tobytes()
+            runs.update((r, data[4 * a : 4 * b]) for r, a, b in zip(some, cut[:-1], cut[1:], strict=True))
+        return [runs[r] for r in kinds]
+
+
+def pooled(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all ``values`` one after another, and the bounds of each."""
+    lens = np.fromiter(map(len, values), np.int64, len(values)) // 4
+    return np.frombuffer(b"".join(values), np.uint32), np.concatenate([[0], np.cumsum(lens)])
+
+
+def gather(pool: np.ndarray, bounds: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values ``pool[bounds[i]:bounds[i + 1]]`` for every i of ``index``, and the new bounds."""
+    n = np.diff(bounds)[index]
+    ends = np.concatenate([[0], np.cumsum(n)])
+    shift = (bounds[:-1][index] - ends[:-1]).astype(np.int32 if max(len(pool), ends[-1]) < 1 << 31 else np.int64)
+    at = np.repeat(shift, n)
+    at += np.arange(ends[-1], dtype=at.dtype)
+    return pool[at], ends
 
 
 _encoders: dict[str | None, WordEncoder] = {}
