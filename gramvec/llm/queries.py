@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from gramvec.llm.common import table
 from gramvec.llm.huffman_ids import huffman_round_trip
+from gramvec.llm.mixing import mix_digest
+from gramvec.llm.mixing import oracle as mixing_oracle
 from gramvec.llm.packing import pack
 from gramvec.llm.risk_rules import quality_verdicts
 from gramvec.llm.secret_index import listed, secret_spans
@@ -73,3 +75,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", count("assign"), count("access"), count("hex"), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans")
     )
+
+
+@register("op6_mixing", mixing_oracle())
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to their sources' target weights."""
+    return mix_digest(table(spark, sf_dir, "documents"))
