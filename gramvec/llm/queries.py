@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gramvec.llm.common import table
 from gramvec.llm.huffman_ids import huffman_round_trip
+from gramvec.llm.language_codes import identify
 from gramvec.llm.mixing import mix_digest
 from gramvec.llm.mixing import oracle as mixing_oracle
 from gramvec.llm.packing import pack
@@ -81,3 +82,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to their sources' target weights."""
     return mix_digest(table(spark, sf_dir, "documents"))
+
+
+@register("op7_language_codes")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, learned from the folds that aren't held out."""
+    return identify(table(spark, sf_dir, "documents"))
