@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gramvec.llm.common import table
+from gramvec.llm.html_region import extract
 from gramvec.llm.huffman_ids import huffman_round_trip
 from gramvec.llm.language_codes import identify
 from gramvec.llm.mixing import mix_digest
@@ -88,3 +89,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of all documents, learned from the folds that aren't held out."""
     return identify(table(spark, sf_dir, "documents"))
+
+
+@register("op3_html_region")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    return extract(table(spark, sf_dir, "pages"))
