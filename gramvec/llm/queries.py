@@ -13,6 +13,7 @@ from gramvec.llm.mixing import mix_digest
 from gramvec.llm.mixing import oracle as mixing_oracle
 from gramvec.llm.packing import pack
 from gramvec.llm.risk_rules import quality_verdicts
+from gramvec.llm.scaled_sketch import edit_likeness
 from gramvec.llm.secret_index import listed, secret_spans
 from gramvec.llm.secret_index import oracle as secret_oracle
 from gramvec.llm.warc_bundles import warc_round_trip
@@ -95,3 +96,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of all pages."""
     return extract(table(spark, sf_dir, "pages"))
+
+
+@register("op2_scaled_sketch")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of all documents against their edited and next texts."""
+    return edit_likeness(table(spark, sf_dir, "documents"))
