@@ -16,6 +16,7 @@ from gramvec.llm.risk_rules import quality_verdicts
 from gramvec.llm.scaled_sketch import edit_likeness
 from gramvec.llm.secret_index import listed, secret_spans
 from gramvec.llm.secret_index import oracle as secret_oracle
+from gramvec.llm.simhash_pivots import near_duplicates
 from gramvec.llm.warc_bundles import warc_round_trip
 
 QUERIES: dict = {}
@@ -102,3 +103,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sketches of all documents against their edited and next texts."""
     return edit_likeness(table(spark, sf_dir, "documents"))
+
+
+@register("op1_simhash_pivots")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and the components of those within two bits."""
+    return near_duplicates(table(spark, sf_dir, "documents"))
