@@ -11,7 +11,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The cleaning patterns (Java and RE2 syntax alike).
-WS_CLASS = "\\t\\n\\x0B\\f\\r "
+WS_CLASS = (
+    "\\t\\n\\x0B\\f\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
+)
 WS = f"[{WS_CLASS}]"
 SENTENCE_MARK = "\u0001"
 SENTENCE_END = "([.!?]+[\"')\\]]*)" + WS + "+"
@@ -23,14 +25,52 @@ NON_LETTER_OR_WS = f"[^\\p{{L}}{WS_CLASS}]"
 BLANK = f"^{WS}*$"
 BOUNDARY = "*"
 
+# A full stop that ends no sentence is shown as this mark while sentences are
+# split; it is no letter, so it leaves with the other marks.
+STOP_MARK = "\u0002"
+#: Abbreviations after which a sentence goes on, by language.
+ABBREVIATIONS = {
+    "de": "Abb Abs Abt Art Aufl Bd Bsp Dr Fr Hr Hrsg Ing Inh Jh Kap Lt Nr Pfr Prof Sr St Str Tel Univ bspw bzgl bzw ca eigtl evtl exkl ggf inkl insb max min sog vgl zzgl",
+    "en": "Capt Col Dept Dr Fig Gen Gov Hon Jr Lt Mr Mrs Ms Mt No Prof Rep Rev Sen Sgt Sr St Univ approx cf vs",
+    "fr": "Dr Me MM Mgr Mlle Mme Mmes Mr Pr St Ste art av boul cf chap env fig vol",
+    "es": "Av Da Dr Dra Exc Gral Ing Lic Prof Sr Sra Sres Srta Sta Sto Ud Uds aprox art cap fig pág vol",
+}
+LANGUAGE_CODES = {"german": "de", "english": "en", "french": "fr", "spanish": "es"}
+# Two short parts with stops, such as initials; the second may be of two letters ("p. ej.").
+# They stand on one line.
+INITIALS = f"(^|{WS}|[(\"'„“«])(\\p{{L}})\\.([ \\x{{A0}}\\x{{2009}}\\x{{202F}}]*)(\\p{{L}}|e[jx])\\."
+
+
+def abbreviation_pattern(code: str) -> str:
+    return f"(^|{WS}|[(\"'„“«])({'|'.join(ABBREVIATIONS[code].split())})\\."
+
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def mark_sentences(text) -> Column:
-    """Array of raw sentence chunks: a boundary follows ``.!?`` runs (plus closing quotes) and whitespace."""
-    return F.split(F.regexp_replace(_c(text), SENTENCE_END, "$1" + SENTENCE_MARK), SENTENCE_MARK, -1)
+def mark_stops(text, lang=None) -> Column:
+    """``text`` with ``STOP_MARK`` for the stops of initials and of its language's abbreviations.
+
+    ``lang`` is a language name or code, as a column; for any other one only
+    initials count.
+    """
+    out = F.regexp_replace(_c(text), INITIALS, f"$1$2{STOP_MARK}$3$4{STOP_MARK}")
+    if lang is None:
+        return out
+    name = F.lower(_c(lang))
+    found = out
+    for long, code in LANGUAGE_CODES.items():
+        found = F.when(name.isin(long, code), F.regexp_replace(out, abbreviation_pattern(code), f"$1$2{STOP_MARK}")).otherwise(found)
+    return found
+
+
+def mark_sentences(text, lang=None) -> Column:
+    """Array of raw sentence chunks: a boundary follows ``.!?`` runs (plus closing quotes) and whitespace.
+
+    The stops of initials and of the language's abbreviations are no boundary.
+    """
+    return F.split(F.regexp_replace(mark_stops(text, lang), SENTENCE_END, "$1" + SENTENCE_MARK), SENTENCE_MARK, -1)
 
 
 def is_blank(chunk) -> Column:
@@ -65,10 +105,3 @@ def char_ngrams(word, n: int) -> Column:
         F.when(F.char_length(m) >= n, grams).otherwise(F.array().cast("array<string>")),
         F.array(m),
     )
-
-
-def comma_words(s: str | None) -> list[str] | None:
-    """The comma list of validation words, or None."""
-    if not s:
-        return None
-    return s.split(",")

@@ -18,12 +18,17 @@ def broadcast_limit(spark) -> int:
 
 def bounded(small: DataFrame, max_rows: int, row_bytes: int) -> DataFrame:
     """``broadcast(small)`` if ``max_rows * row_bytes`` (a bound known from the
-    parameters, not an estimate of the data) fits the limit; otherwise the
-    plain DataFrame, which Spark joins with a shuffle (AQE may still convert
-    it at runtime from real statistics)."""
-    if int(max_rows) * int(row_bytes) <= broadcast_limit(small.sparkSession):
+    parameters, not an estimate of the data) fits the limit; otherwise
+    ``small`` with a merge hint, so that no estimate of Spark's makes it a
+    broadcast after all. Join keys that may be hot then belong in
+    ``salted_join``."""
+    if fits(small.sparkSession, max_rows, row_bytes):
         return F.broadcast(small)
-    return small
+    return small.hint("merge")
+
+
+def fits(spark, max_rows: int, row_bytes: int) -> bool:
+    return int(max_rows) * int(row_bytes) <= broadcast_limit(spark)
 
 
 def salted_join(
@@ -34,6 +39,7 @@ def salted_join(
     hot: DataFrame,
     row_key_cols: list[str],
     how: str = "inner",
+    merge: bool = False,
 ) -> DataFrame:
     """Equi-join ``big.big_key = small.small_key`` where some keys are hot.
 
@@ -54,5 +60,37 @@ def salted_join(
         *[F.col(c) for c in small.columns],
         F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_ns"), F.lit(1)).cast("int") - 1)).alias("_salt2"),
     )
+    if merge:
+        s = s.hint("merge")
     out = b.join(s, (F.col(big_key) == F.col(small_key)) & (F.col("_salt") == F.col("_salt2")), how)
     return out.drop("_salt", "_salt2")
+
+
+def hot_keys(counts: DataFrame, key: str, count: str, salt_rows: int = 20_000) -> DataFrame:
+    """``(key, n_salts)`` of the keys that hold over 1/256 of all rows, so 256 rows at most.
+
+    ``counts`` has one row per ``key`` with its row ``count``. A hot key gets
+    one salt per ``salt_rows`` rows, 1024 at most.
+    """
+    total = counts.agg(F.sum(count).alias("_total")).scalar()
+    return counts.where((F.col(count) * 256 > total) & (F.col(count) > salt_rows)).select(
+        F.col(key).alias("key"), F.least(F.ceil(F.col(count) / salt_rows), F.lit(1024)).cast("int").alias("n_salts")
+    )
+
+
+def bounded_join(
+    big: DataFrame, small: DataFrame, key: str, max_rows: int, row_bytes: int, how: str = "inner", hot: DataFrame | None = None
+) -> DataFrame:
+    """``big`` join ``small`` on their common column ``key``, unique in ``small``.
+
+    ``small`` is broadcast if its bound fits; otherwise the join is a shuffle
+    whose hot keys are salted: those of ``hot(key, n_salts)``, a table of
+    bounded size, or the ones that ``big`` itself has very often.
+    """
+    if fits(big.sparkSession, max_rows, row_bytes):
+        return big.join(F.broadcast(small), key, how)
+    if hot is None:
+        hot = hot_keys(big.groupBy(key).agg(F.count(F.lit(1)).alias("_n")), key, "_n")
+    side = small.withColumnRenamed(key, "_side_key")
+    others = [c for c in big.columns if c != key] or [key]
+    return salted_join(big, side, key, "_side_key", hot, others, how, merge=True).drop("_side_key")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gramvec.functions.hashing import hash_uniform
-from gramvec.operators.joins import bounded
+from gramvec.operators.joins import bounded_join
+from gramvec.params import DEFAULTS
 
 PAIR_KEY = ["pass", "doc_id", "sent_idx", "pos", "off"]
 
@@ -44,45 +47,61 @@ def skipgram_pairs(sents: DataFrame, skip_window: int, seed: int, passes: int =
     return ex.select("pass", "doc_id", "sent_idx", "pos", off.alias("off"), "target", "context").where(F.col("off") != 0)
 
 
-def _freq_side(frequent: DataFrame, word_col: str, dp_col: str) -> DataFrame:
-    # frequent words are provably fewer than 1/threshold: always broadcast
-    return F.broadcast(frequent.select(F.col("word").alias(word_col), F.col("drop_p").alias(dp_col)))
+# bytes per row of the frequent words (word, drop_p)
+FREQUENT_ROW_BYTES = 64
 
 
-def subsample(pairs: DataFrame, frequent: DataFrame, seed: int) -> DataFrame:
-    """drop a pair if ``u_t < drop_p(target)`` or ``u_c < drop_p(context)``.
+def _with_drop_p(pairs: DataFrame, frequent: DataFrame, column: str, name: str, threshold: float) -> DataFrame:
+    """``pairs`` with ``name``: ``drop_p`` of ``column`` where it is a frequent word.
 
-    Only frequent words (``drop_p > 0``) can be dropped, so only they are
-    joined (broadcast, bounded by 1/threshold) and only their draws computed.
+    Fewer than ``1 / threshold`` words are frequent; the join is a broadcast
+    while that bound fits.
     """
-    p = pairs.join(_freq_side(frequent, "target", "_dp_t"), "target", "left").join(
-        _freq_side(frequent, "context", "_dp_c"), "context", "left"
-    )
-    keep_t = F.col("_dp_t").isNull() | (_u(seed, "sub_t", *PAIR_KEY) >= F.col("_dp_t"))
-    keep_c = F.col("_dp_c").isNull() | (_u(seed, "sub_c", *PAIR_KEY) >= F.col("_dp_c"))
-    return p.where(keep_t & keep_c).select(*PAIR_KEY, "target", "context")
+    side = frequent.select(F.col("word").alias(column), F.col("drop_p").alias(name))
+    return bounded_join(pairs, side, column, math.ceil(1 / threshold), FREQUENT_ROW_BYTES, "left")
 
 
-def lookup_label(pairs: DataFrame, vocab: DataFrame, vocabulary_size: int) -> DataFrame:
-    """``label`` = vocabulary id of the context; out-of-vocabulary contexts vanish.
+def subsample(pairs: DataFrame, frequent: DataFrame, seed: int, threshold: float = DEFAULTS["rejection_threshold"]) -> DataFrame:
+    """drop a pair if ``u_t < drop_p(target)`` or ``u_c < drop_p(context)``.
 
-    The vocabulary has at most ``vocabulary_size`` rows: broadcast when that
-    bound fits, else a shuffle join (AQE splits a hot context partition).
+    Only frequent words (``drop_p > 0``) can be dropped, so only they are
+    joined and only their draws computed. A pair that its target drops does
+    not reach the join on the context.
     """
-    v = bounded(vocab.select(F.col("word").alias("context"), F.col("word_id").alias("label")), vocabulary_size, VOCAB_ROW_BYTES)
-    return pairs.join(v, "context").select(*PAIR_KEY, "target", "label")
-
-
-def labelled_samples(pairs: DataFrame, vocab: DataFrame, frequent: DataFrame, seed: int, vocabulary_size: int) -> DataFrame:
-    """F4 + J1 fused: the vocabulary join brings the context's ``drop_p`` and
-    the label in one broadcast; the target's ``drop_p`` comes from the
-    bounded frequent-word table. Same rows as ``lookup_label(subsample(...))``."""
-    v = bounded(
-        vocab.select(F.col("word").alias("context"), F.col("word_id").alias("label"), F.col("drop_p").alias("_dp_c")),
-        vocabulary_size,
-        VOCAB_ROW_BYTES,
-    )
-    p = pairs.join(v, "context").join(_freq_side(frequent, "target", "_dp_t"), "target", "left")
-    keep_c = (F.col("_dp_c") <= 0) | (_u(seed, "sub_c", *PAIR_KEY) >= F.col("_dp_c"))
-    keep_t = F.col("_dp_t").isNull() | (_u(seed, "sub_t", *PAIR_KEY) >= F.col("_dp_t"))
-    return p.where(keep_c & keep_t).select(*PAIR_KEY, "target", "label")
+    p = _with_drop_p(pairs, frequent, "target", "_dp_t", threshold)
+    p = p.where(F.col("_dp_t").isNull() | (_u(seed, "sub_t", *PAIR_KEY) >= F.col("_dp_t")))
+    p = _with_drop_p(p, frequent, "context", "_dp_c", threshold)
+    p = p.where(F.col("_dp_c").isNull() | (_u(seed, "sub_c", *PAIR_KEY) >= F.col("_dp_c")))
+    return p.select(*PAIR_KEY, "target", "context")
+
+
+def _vocab_join(pairs: DataFrame, side: DataFrame, vocabulary_size: int, frequent: DataFrame | None) -> DataFrame:
+    """Join on ``context`` with at most ``vocabulary_size`` rows; frequent contexts are salted if that is no broadcast."""
+    from gramvec.operators.samples import hot_targets
+
+    hot = None if frequent is None else hot_targets(frequent)
+    return bounded_join(pairs, side, "context", vocabulary_size, VOCAB_ROW_BYTES, hot=hot)
+
+
+def lookup_label(pairs: DataFrame, vocab: DataFrame, vocabulary_size: int, frequent: DataFrame | None = None) -> DataFrame:
+    """``label`` = vocabulary id of the context; out-of-vocabulary contexts vanish."""
+    side = vocab.select(F.col("word").alias("context"), F.col("word_id").alias("label"))
+    return _vocab_join(pairs, side, vocabulary_size, frequent).select(*PAIR_KEY, "target", "label")
+
+
+def labelled_samples(
+    pairs: DataFrame,
+    vocab: DataFrame,
+    frequent: DataFrame,
+    seed: int,
+    vocabulary_size: int,
+    threshold: float = DEFAULTS["rejection_threshold"],
+) -> DataFrame:
+    """F4 + J1 fused: one join brings the context's label and ``drop_p``, the
+    other the target's ``drop_p``. Same rows as ``lookup_label(subsample(...))``."""
+    side = vocab.select(F.col("word").alias("context"), F.col("word_id").alias("label"), F.col("drop_p").alias("_dp_c"))
+    p = _vocab_join(pairs, side, vocabulary_size, frequent)
+    p = p.where((F.col("_dp_c") <= 0) | (_u(seed, "sub_c", *PAIR_KEY) >= F.col("_dp_c")))
+    p = _with_drop_p(p, frequent, "target", "_dp_t", threshold)
+    p = p.where(F.col("_dp_t").isNull() | (_u(seed, "sub_t", *PAIR_KEY) >= F.col("_dp_t")))
+    return p.select(*PAIR_KEY, "target", "label")

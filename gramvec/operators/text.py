@@ -13,9 +13,11 @@ def sentences(documents: DataFrame) -> DataFrame:
 
     ``sent_idx`` is the chunk position in the document; blank chunks (empty or
     whitespace-only text, trailing whitespace) are no sentences. A sentence
-    without letters keeps an empty ``words`` array.
+    without letters keeps an empty ``words`` array. A ``lang`` column decides
+    which abbreviations end no sentence.
     """
-    chunks = documents.select("doc_id", F.posexplode(mark_sentences("text")).alias("sent_idx", "raw"))
+    lang = F.col("lang") if "lang" in documents.columns else None
+    chunks = documents.select("doc_id", F.posexplode(mark_sentences("text", lang)).alias("sent_idx", "raw"))
     return chunks.where(~is_blank("raw")).select(
         "doc_id", F.col("sent_idx").cast("int").alias("sent_idx"), clean_sentence_words("raw").alias("words")
     )

@@ -11,12 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gramvec.functions import text as T
 from gramvec.params import Params
 from gramvec.plans import oracle as O
 from gramvec.sources.corpus import read_documents
 from gramvec.operators import text as TX
 from gramvec.operators import vocab as VO
-from gramvec.operators.ordinals import global_ordinal
+from gramvec.operators.ordinals import global_ordinal, materialize
 
 # Parameters of the registered queries. Embedding size is kept small so the
 # SQL oracle can recompute model values; everything else is the default.
@@ -190,7 +191,7 @@ def q_repeated_pairs(spark, sf_dir):
 )
 def q_subsampled_pairs(spark, sf_dir):
     pl = _pipeline(spark, sf_dir)
-    return PA.subsample(pl.pairs, pl.frequent, QP.seed)
+    return PA.subsample(pl.pairs, pl.frequent, QP.seed, QP.rejection_threshold)
 
 
 @register(
@@ -295,11 +296,6 @@ from gramvec.operators import model as MO  # noqa: E402
 from gramvec.operators import vocab as _VO  # noqa: E402,F401
 from gramvec.sources.corpus import read_table, read_text_corpus  # noqa: E402
 
-# the driver's ``embeddings`` table as an n-gram model: vec_id = bucket id
-EMB_TABLE_BUCKETS = 500
-EMB_TABLE_DIM = 64
-
-
 def _long(df: DataFrame, id_cols: list[str], vec: str, digits: int | None = 6) -> DataFrame:
     """One row per vector element: ``(*ids, d, x)``."""
     ex = df.select(*id_cols, F.posexplode(vec).alias("d", "x"))
@@ -362,22 +358,25 @@ def _bench_words(spark, sf_dir) -> DataFrame:
 
 
 def _emb_table(spark, sf_dir) -> DataFrame:
+    """The ``embeddings`` table as an n-gram model: vec_id = bucket id, 0 for padding."""
     return read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("int").alias("bucket_id"), F.col("embedding").alias("vec"))
 
 
-_BENCH_SENT = O.sentences_cte("(SELECT item_id AS doc_id, text FROM benchmark)")
+_BENCH_SENT = O.sentences_cte("(SELECT item_id AS doc_id, 'en' AS lang, text FROM benchmark)")
 _BENCH_WORDS = """
 bwords AS (SELECT DISTINCT unnest(words) AS word FROM sentences),
 bwng AS (SELECT word, unnest(ng) AS g FROM (SELECT word, {ng} AS ng FROM bwords)),
 bocc AS (SELECT word, {h} AS bucket_id FROM bwng),
 tvec AS (SELECT vec_id AS bucket_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS d FROM embeddings),
 wvec AS (SELECT o.word, CAST(t.d AS INTEGER) AS d, sum(t.x) AS x FROM bocc o JOIN tvec t ON t.bucket_id = o.bucket_id GROUP BY o.word, t.d)
-""".format(ng=O.ngrams("word", QP.ngram_size), h=O.fnv("g", EMB_TABLE_BUCKETS - 1, 1))
+""".format(ng=O.ngrams("word", QP.ngram_size), h=O.fnv("g", "(SELECT max(vec_id) FROM embeddings)", 1))
 
 
 def _bench_vectors(spark, sf_dir) -> DataFrame:
-    wb = SA.word_buckets(_bench_words(spark, sf_dir), QP.ngram_size, EMB_TABLE_BUCKETS)
-    return MO.word_vectors(wb, _emb_table(spark, sf_dir), EMB_TABLE_BUCKETS, EMB_TABLE_DIM)
+    table = _emb_table(spark, sf_dir)
+    size = table.agg(F.max("bucket_id").alias("last"), F.max(F.size("vec")).alias("dim")).first()
+    wb = SA.word_buckets(_bench_words(spark, sf_dir), QP.ngram_size, size["last"] + 1)
+    return MO.word_vectors(wb, table, size["last"] + 1, size["dim"])
 
 
 @register("word_vectors", O.with_(_BENCH_SENT, _BENCH_WORDS) + "SELECT word, d, round(x, 6) AS x FROM wvec")
@@ -462,7 +461,7 @@ _NCE_SQL_BASE = (
 
 def _nce_inputs(spark, sf_dir):
     pl = _pipeline(spark, sf_dir)
-    b = pl.padded_batches
+    b = materialize(pl.padded_batches, "batches")  # read by the vectors, the negatives and the gradients
     emb, ow = _init_model(pl)
     negs = MO.negative_samples(b.select("batch_id"), QP.vocabulary_size, QP.num_sampled, QP.seed, QP.negative_oversample)
     logits = MO.nce_logits(b, emb, ow, negs, QP.vocabulary_size, QP.num_buckets, QP.embedding_size)
@@ -580,33 +579,37 @@ def q_loss_monitor(spark, sf_dir):
     return spark.read.parquet(report).withColumn("mean_loss", F.round("mean_loss", 6))
 
 
-FIT_PARAMS = QP.replace(steps=24, embedding_size=16)
+FIT_PARAMS = QP.replace(embedding_size=16)
 
 
 @register("fit")
 def q_fit(spark, sf_dir):
-    """Preprocess the whole corpus, train 24 steps on 4 workers, return the log (no SQL: iterative)."""
+    """Preprocess the whole corpus, train every batch at least once on 4 workers, return the log (no SQL: iterative)."""
     from gramvec.session import scratch_path
 
-    pl = _pipeline(spark, sf_dir, FIT_PARAMS)
-    log = FT.fit(pl.padded_batches, FIT_PARAMS, scratch_path(spark, "model"), workers=4, local_steps=3)
+    batches = materialize(_pipeline(spark, sf_dir, FIT_PARAMS).padded_batches, "batches")
+    log = FT.fit(batches, FIT_PARAMS, scratch_path(spark, "model"), workers=4, local_steps=500, epochs=1)
     return log.select("step", "loss", "learnrate")
 
 
+_CORPUS_TEXT = "text || chr(10) || '.'"
+
+
 @register(
     "read_corpus",
-    "SELECT CAST(row_number() OVER (ORDER BY doc_id, k) - 1 AS BIGINT) AS doc_id, 'german' AS lang, para AS text FROM ("
-    "SELECT doc_id, unnest(p) AS para, unnest(range(len(p))) AS k FROM "
-    "(SELECT doc_id, string_split(text, chr(10) || chr(10)) AS p FROM documents))",
+    f"""SELECT CAST(row_number() OVER (ORDER BY doc_id, k) - 1 AS BIGINT) AS doc_id, 'german' AS lang, text FROM (
+    SELECT doc_id, k, replace(regexp_replace(regexp_replace(chunk, {O.lit('^' + T.WS + '+')}, ''), {O.lit(T.WS + '+$')}, ''), chr(2), '.') AS text
+    FROM (SELECT doc_id, unnest(c) AS chunk, unnest(range(len(c))) AS k FROM (SELECT doc_id, string_split(
+    regexp_replace({O.marked_stops(f"({_CORPUS_TEXT} || chr(10))", "'german'")}, {O.lit(T.SENTENCE_END)}, '\\1' || chr(1), 'g'), chr(1)) AS c
+    FROM documents))) WHERE text <> ''""",
 )
 def q_read_corpus(spark, sf_dir):
-    """Text-file scan: the documents written as text files (paragraph per record) and read back."""
+    """Text-file scan: the documents written as text files, each with a stop at its end, and read back by sentence."""
     from gramvec.session import scratch_path
     from gramvec.sources.corpus import read_corpus
 
     path = scratch_path(spark, "corpus")
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit("\n.")).alias("text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id").select("text").write.option(
-        "lineSep", "\n\n").text(path)
+    docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id").select("text").write.text(path)
     return read_corpus(spark, path)

@@ -20,11 +20,22 @@ WS = lit(T.WS)
 WS_PLUS = lit(T.WS + "+")
 
 
+def marked_stops(text: str, lang: str) -> str:
+    """``text`` with the stops of initials and abbreviations marked."""
+    out = f"regexp_replace({text}, {lit(T.INITIALS)}, '\\1\\2' || chr(2) || '\\3\\4' || chr(2), 'g')"
+    cases = " ".join(
+        f"WHEN lower({lang}) IN ('{long}', '{code}') THEN regexp_replace({out}, {lit(T.abbreviation_pattern(code))}, '\\1\\2' || chr(2), 'g')"
+        for long, code in T.LANGUAGE_CODES.items()
+    )
+    return f"CASE {cases} ELSE {out} END"
+
+
 def sentences_cte(source: str = "documents") -> str:
+    """``source`` has doc_id, lang and text."""
     return f"""
 chunks AS (
   SELECT doc_id, unnest(c) AS raw, unnest(range(len(c))) AS sent_idx
-  FROM (SELECT doc_id, string_split(regexp_replace(text, {lit(T.SENTENCE_END)}, '\\1' || chr(1), 'g'), chr(1)) AS c
+  FROM (SELECT doc_id, string_split(regexp_replace({marked_stops('text', 'lang')}, {lit(T.SENTENCE_END)}, '\\1' || chr(1), 'g'), chr(1)) AS c
         FROM {source})
 ),
 sentences AS (
@@ -83,13 +94,13 @@ def U(seed: int, tag: str, *cols: str) -> str:
     return f"(('0x' || substr(md5(concat_ws('|', {key})), 1, 13))::BIGINT / 4503599627370496::DOUBLE)"
 
 
-def fnv(expr: str, modulus: int, offset: int = 1) -> str:
-    """FNV-1a 64 of the UTF-8 bytes of ``expr`` modulo ``modulus`` plus ``offset``."""
+def fnv(expr: str, modulus: int | str, offset: int = 1) -> str:
+    """FNV-1a 64 of the UTF-8 bytes of ``expr`` modulo ``modulus`` (a number or an SQL value) plus ``offset``."""
     return (
         f"CAST((list_reduce(list_transform(range(1, octet_length(encode({expr})) + 1), "
         f"lambda i: ('0x' || substr(hex(encode({expr})), 2 * i - 1, 2))::HUGEINT), "
         f"lambda a, b: (xor(a, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT, "
-        f"14695981039346656037::HUGEINT) % {int(modulus)}) + {int(offset)} AS INTEGER)"
+        f"14695981039346656037::HUGEINT) % {modulus}) + {int(offset)} AS INTEGER)"
     )
 
 

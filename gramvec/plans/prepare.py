@@ -19,15 +19,8 @@ from gramvec.operators import pairs as PA
 from gramvec.operators import samples as SA
 from gramvec.operators import text as TX
 from gramvec.operators import vocab as VO
+from gramvec.operators.ordinals import materialize
 from gramvec.params import Params
-from gramvec.session import scratch_path
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared checkpoint folder and read back (cuts lineage)."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
 
 
 class Pipeline:
@@ -71,7 +64,9 @@ class Pipeline:
     @cached_property
     def samples(self) -> DataFrame:
         """Subsampled, labelled pairs (F4 + J1 fused)."""
-        return PA.labelled_samples(self.pairs, self.vocab, self.frequent, self.p.seed, self.p.vocabulary_size)
+        return PA.labelled_samples(
+            self.pairs, self.vocab, self.frequent, self.p.seed, self.p.vocabulary_size, self.p.rejection_threshold
+        )
 
     @cached_property
     def word_buckets(self) -> DataFrame:

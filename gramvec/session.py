@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -32,9 +34,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this must be set (a shared file system). Only when it is
-    unset, as in local tests, a fresh folder under the system temp dir is
-    created and registered.
+    On a cluster it must be set (a file system that all executors share).
+    Only a session whose master is ``local`` gets a fresh temporary folder
+    where nothing is set; any other session without one is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -42,22 +44,43 @@ def checkpoint_root(spark: SparkSession) -> str:
         return current
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="gramvec-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors' Python, once per application.
+
+    Tasks import it by name; without this they find it only where it is
+    installed or on their path.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="gramvec-ship-"), "gramvec.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.join("gramvec", os.path.relpath(full, root)))
+    sc.addPyFile(target)
+    _shipped.add(sc.applicationId)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A unique path for a written intermediate table in the shared folder."""
     root = checkpoint_root(spark).rstrip("/")
     return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def is_local_path(path: str) -> bool:
-    return path.startswith("/") or path.startswith("file:")
-
-
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Existence check through the Hadoop file system (works for any scheme)."""
     jvm = spark.sparkContext._jvm
@@ -73,10 +96,3 @@ def list_dir(spark: SparkSession, path: str) -> list[str]:
     if not fs.exists(jpath):
         return []
     return [str(s.getPath().getName()) for s in fs.listStatus(jpath)]
-
-
-def env_int(name: str, default: int) -> int:
-    try:
-        return int(os.environ.get(name, default))
-    except ValueError:
-        return default

@@ -2,11 +2,9 @@
 
 * ``read_documents``: the ``documents`` parquet table, re-split so that one big
   file does not become one task.
-* ``read_corpus``: a text file or a directory of text files. Files are read
-  with a blank-line record separator, so a large file is split by the scan into
-  many paragraphs (no word is ever cut and nothing is lost, unlike cutting a
-  string into character chunks). ``doc_id`` follows the file order (sorted
-  path), then the position of the paragraph inside the file.
+* ``read_corpus``: a text file or a directory of text files, scanned line by
+  line, so any large file is split by the scan. Sentences that run over line
+  ends or splits are put together again; each is one record.
 """
 
 from __future__ import annotations
@@ -14,7 +12,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gramvec.operators.ordinals import global_ordinal
+from gramvec.functions.text import STOP_MARK, WS, mark_sentences
+from gramvec.operators.ordinals import global_ordinal, materialize
+
+#: Lines whose sentence starts one window counts.
+LINES_PER_PART = 1 << 16
 
 DOCUMENT_COLUMNS = ["doc_id", "lang", "text"]
 
@@ -58,15 +60,19 @@ def read_text_corpus(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     raise ValueError(f"unknown corpus table {name}")
 
 
-def read_corpus(spark: SparkSession, path: str, language: str = "german", paragraph_sep: str = "\n\n") -> DataFrame:
-    """Text file or directory of files (not recursive) -> ``documents(doc_id, lang, text)``.
+def read_corpus(spark: SparkSession, path: str, language: str = "german") -> DataFrame:
+    """Text file or directory of files (not recursive) -> ``documents(doc_id, lang, text)``, a row per sentence.
 
-    Rows are paragraphs; order key = (file path, block start, row in block),
-    turned into a dense ``doc_id`` by a distributed global ordinal.
+    Lines are numbered in file order (path, then position) by a distributed
+    ordinal. A line is cut after its sentence marks; the first cut piece goes
+    on with what the lines before left open. The number of a sentence is the
+    count of sentence starts before it: counts per block of lines, then a
+    window inside each block. A file always starts a sentence. Text without
+    any sentence mark is one sentence and so one row. Line ends inside a
+    sentence are kept as one line feed; blank sentences are left out.
     """
     raw = (
-        spark.read.option("lineSep", paragraph_sep)
-        .option("recursiveFileLookup", "false")
+        spark.read.option("recursiveFileLookup", "false")
         .text(path)
         .select(
             F.col("value").alias("text"),
@@ -75,5 +81,20 @@ def read_corpus(spark: SparkSession, path: str, language: str = "german", paragr
             F.monotonically_increasing_id().alias("_row"),
         )
     )
-    docs = global_ordinal(raw, ["_path", "_block", "_row"], "doc_id")
+    lines = global_ordinal(raw, ["_path", "_block", "_row"], "line")
+    first = lines.groupBy("_path").agg(F.min("line").alias("line")).select("line", F.lit(1).alias("_first"))
+    pieces = mark_sentences(F.concat("text", F.lit("\n")), F.lit(language))
+    lines = lines.select("line", pieces.alias("pieces")).join(first, "line", "left")
+    lines = lines.withColumn("starts", F.size("pieces") - 1 + F.coalesce("_first", F.lit(0)))
+    lines = materialize(lines.withColumn("part", F.floor(F.col("line") / LINES_PER_PART)), "lines")
+    parts = lines.groupBy("part").agg(F.sum("starts").alias("n"))
+    before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    inside = Window.partitionBy("part").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = lines.withColumn("open", F.sum("starts").over(inside) - (F.size("pieces") - 1)).join(before, "part")
+    sentence = F.col("before") + F.col("open") + F.col("k")
+    found = numbered.select("line", "before", "open", F.posexplode("pieces").alias("k", "piece")).select(sentence.alias("sentence"), "line", "k", "piece")
+    joined = found.groupBy("sentence").agg(F.array_join(F.array_sort(F.collect_list(F.struct("line", "k", "piece")))["piece"], "").alias("text"))
+    text = F.regexp_replace(F.regexp_replace("text", f"^{WS}+|{WS}+$", ""), STOP_MARK, ".")
+    rows = joined.select("sentence", text.alias("text")).where("text <> ''")
+    docs = global_ordinal(rows, ["sentence"], "doc_id")
     return docs.select("doc_id", F.lit(language).alias("lang"), "text")

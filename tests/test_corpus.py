@@ -34,16 +34,24 @@ def test_unpunctuated_is_one_sentence(spark, tmpdir_path):
 
 def test_large_file_split_keeps_everything_in_order(spark, tmpdir_path):
     path = os.path.join(tmpdir_path, "big.txt")
-    paras = [f"Absatz {i} hat worte. Und noch einen satz {i}." for i in range(20000)]
     with open(path, "w") as f:
-        f.write("\n\n".join(paras))
+        f.write("\n".join(f"absatz {i} hat\nworte. und noch {i} satz." for i in range(20000)))
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
     try:
-        docs = read_corpus(spark, path)
-        assert docs.rdd.getNumPartitions() >= 1
-        rows = docs.orderBy("doc_id").collect()
+        assert spark.read.text(path).rdd.getNumPartitions() > 4
+        rows = read_corpus(spark, path).orderBy("doc_id").collect()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
-    assert [r["text"] for r in rows] == paras
-    assert [r["doc_id"] for r in rows] == list(range(20000))
+    assert [r["text"] for r in rows] == [t for i in range(20000) for t in (f"absatz {i} hat\nworte.", f"und noch {i} satz.")]
+    assert [r["doc_id"] for r in rows] == list(range(40000))
+
+
+def test_line_ends_and_file_ends(spark, tmpdir_path):
+    folder = os.path.join(tmpdir_path, "f")
+    os.makedirs(folder)
+    for name, text in {"a": "Eins ist da.\r\nZwei ist\r\nauch da! Drei", "b": "Vier.\n\n\n  Fünf geht\n\nweiter.\n", "c": "", "d": "\n \n"}.items():
+        with open(os.path.join(folder, name), "w", newline="") as f:
+            f.write(text)
+    rows = read_corpus(spark, folder).orderBy("doc_id").collect()
+    assert [r["text"] for r in rows] == ["Eins ist da.", "Zwei ist\nauch da!", "Drei", "Vier.", "Fünf geht\n\nweiter."]

@@ -1,6 +1,7 @@
 """Training rounds: tiny end-to-end run, resume, and one step == sgd_step."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from gramvec.operators import model as MO
@@ -9,7 +10,7 @@ from gramvec.plans import fit as FT
 from gramvec.plans.infer import compute_similarities, format_similarities
 from gramvec.plans.prepare import prepare
 from gramvec.sources import model_io as IO
-from tests.conftest import UNPUNCTUATED, docs
+from tests.conftest import SMALL_CORPUS, UNPUNCTUATED, docs
 
 
 def test_tiny_training_run(spark, tmpdir_path):
@@ -54,7 +55,7 @@ def test_first_step_equals_sgd_step(spark, tmpdir_path):
     emb1, ow1, _, _ = IO.load_model(spark, tmpdir_path + "/model", 1)
     negs = MO.negative_samples(first.select("batch_id"), p.vocabulary_size, p.num_sampled, p.seed)
     logits = MO.nce_logits(first, emb0, ow0, negs, p.vocabulary_size, p.num_buckets, p.embedding_size)
-    e2, w2 = MO.sgd_step(emb0, ow0, MO.nce_gradients(first, logits, p.batch_size), p.learnrate)
+    e2, w2 = MO.sgd_step(emb0, ow0, MO.nce_gradients(first, logits, p.batch_size, p.embedding_size), p.learnrate, p.embedding_size)
     a = {r["bucket_id"]: r["vec"] for r in e2.collect()}
     b = {r["bucket_id"]: r["vec"] for r in emb1.collect()}
     assert a.keys() == b.keys()
@@ -65,3 +66,43 @@ def test_first_step_equals_sgd_step(spark, tmpdir_path):
     for k in wa:
         np.testing.assert_allclose(wa[k][0], wb[k][0], rtol=1e-4, atol=1e-6)
         assert abs(wa[k][1] - wb[k][1]) < 1e-6
+
+
+def test_resume_on_other_batches(spark, tmpdir_path):
+    p = Params(steps=4, vocabulary_size=20, num_sampled=3, batch_size=16, embedding_size=8, num_buckets=2000, passes=20)
+    _, first = prepare(docs(spark, [UNPUNCTUATED], "en"), p, tmpdir_path + "/one")
+    _, other = prepare(docs(spark, [SMALL_CORPUS * 4]), p.replace(rejection_threshold=1.0), tmpdir_path + "/two")
+    model = tmpdir_path + "/model"
+    FT.fit(first, p, model, workers=2, local_steps=2)
+    before = {r["bucket_id"]: r["vec"] for r in IO.load_model(spark, model)[0].collect()}
+    log = FT.fit(other, p.replace(steps=8), model, workers=2, local_steps=2)
+    steps = {r["step"] for r in log.collect()}
+    assert steps <= set(range(8)) and max(steps) >= 4
+    after = {r["bucket_id"]: r["vec"] for r in IO.load_model(spark, model)[0].collect()}
+    needed = {i for r in other.collect() for one in r["inputs"] for i in one if i}
+    assert needed - before.keys() and set(after) == set(before) | needed
+    assert IO.complete_rounds(spark, model) == [1, 2]
+
+
+def test_a_missing_row_is_an_error():
+    ids = np.array([3, 5, 9])
+    assert FT._positions(ids, np.array([9, 3, 0]), np.array([True, True, False])).tolist() == [2, 0, 0]
+    for wanted in ([4], [10], [0]):
+        with pytest.raises(ValueError):
+            FT._positions(ids, np.array(wanted))
+
+
+def test_every_batch_is_used_in_an_epoch(spark):
+    rows = [(i, [[1, 2]], [0]) for i in range(97)]
+    batches = spark.createDataFrame(rows, "batch_id long, inputs array<array<int>>, labels array<int>")
+    ordered, counts = FT.order_batches(batches, 3, 1, 7)
+    steps = 3 * max(counts.values())
+    seen = []
+    for r in range(-(-steps // 21)):
+        got = FT.round_schedule(ordered, counts, r, 7, 3, steps, 7)
+        every = ordered.where(F.lit(True))
+        want = FT.round_schedule(every.withColumn("block", F.lit(0)), counts, r, 7, 3, steps, 10**6)
+        rows = sorted(tuple(x) for x in got.select("batch_id", "t", "step").collect())
+        assert rows == sorted(tuple(x) for x in want.select("batch_id", "t", "step").collect())
+        seen += [x[0] for x in rows]
+    assert set(seen) == set(range(97))

@@ -7,6 +7,7 @@ from gramvec.operators.text import clean_sentences, sentences
 from tests.conftest import docs
 
 
+# Inputs and results of these goldens must match.
 def test_char_ngrams_golden(spark):
     df = spark.createDataFrame([("diesisteintest",)], "w string")
     got = df.select(char_ngrams("w", 3).alias("g")).first()["g"]
@@ -46,6 +47,7 @@ def test_hash_uniform_golden(spark):
     assert u == 0.8496266610179932
 
 
+# Inputs and results of these goldens must match.
 def test_clean_sentences_goldens(spark):
     df = docs(spark, ["Ich bin der este Satz! Und ich bin, der zweite.",
                       "I'm the first sentence. Are you the second one?"])
@@ -60,3 +62,20 @@ def test_blank_and_letterless_sentences(spark):
     df = docs(spark, ["", "   \n ", "... !!! Hallo Welt. 123 ?", "no end mark"])
     rows = sorted((r["doc_id"], r["sent_idx"], r["sentence"]) for r in clean_sentences(sentences(df)).collect())
     assert rows == [(2, 0, ""), (2, 1, ""), (2, 2, "hallo welt"), (2, 3, ""), (3, 0, "no end mark")]
+
+
+def test_abbreviations_and_initials_end_no_sentence(spark):
+    df = docs(spark, ["Herr Dr. Meier kam z. B. heute. Er ging (Nr. 5) nicht.", "A. B. Weber sah d.h. nichts. Ja."])
+    rows = clean_sentences(sentences(df)).orderBy("doc_id", "sent_idx").collect()
+    assert [r["sentence"] for r in rows] == [
+        "herr dr meier kam z b heute", "er ging nr nicht", "a b weber sah dh nichts", "ja"]
+    english = docs(spark, ["Mr. Bell met Dr. Low at St. Mary. He left.", "Der Nr. Eins ist da."], "en")
+    rows = clean_sentences(sentences(english)).orderBy("doc_id", "sent_idx").collect()
+    assert [r["sentence"] for r in rows] == ["mr bell met dr low at st mary", "he left", "der nr", "eins ist da"]
+
+
+def test_every_unicode_space_parts_words(spark):
+    spaces = "\u0085\u00a0\u1680\u2000\u2005\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+    df = docs(spark, ["x".join(["und", *[f"{s}so" for s in spaces]]).replace("x", ""), "eins.\u00a0zwei"])
+    rows = clean_sentences(sentences(df)).orderBy("doc_id", "sent_idx").collect()
+    assert [r["sentence"] for r in rows] == ["und" + " so" * len(spaces), "eins", "zwei"]

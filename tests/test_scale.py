@@ -36,3 +36,43 @@ def test_batches_partition_invariant(spark):
         assert run(1) == run(6)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_large_tables_are_neither_broadcast_nor_skewed(spark):
+    from gramvec.operators.joins import bounded_join
+
+    big = spark.range(0, 60000, 1, 4).select(F.when(F.col("id") % 2 == 0, F.lit("the")).otherwise(F.concat(F.lit("w"), F.col("id") % 50)).alias("context"), "id")
+    side = spark.createDataFrame([("the", 0), *((f"w{i}", i + 1) for i in range(1000))], "context string, label int")
+    old = spark.conf.get("gramvec.broadcast.maxBytes", None)
+    joined = bounded_join(big, side, "context", 1_000_000, 96)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    # only the table of hot keys, 256 rows at most, is broadcast
+    assert "SortMergeJoin [context" in plan and plan.count("BroadcastHashJoin") == 2
+    assert joined.columns == ["context", "id", "label"]
+    assert joined.where("(context = 'the') <> (label = 0)").count() == 0 and joined.count() == 60000
+    left = bounded_join(big, side.where("label = 0"), "context", 1_000_000, 96, "left")
+    assert left.count() == 60000 and left.where("label is null").count() == 30000
+    assert old is None
+
+
+def test_a_cluster_needs_a_shared_folder():
+    import pytest
+
+    from gramvec.session import checkpoint_root
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return default
+
+    with pytest.raises(ValueError):
+        checkpoint_root(Session())
