@@ -39,8 +39,10 @@ MAGIC = b"HUFIDS01"
 MAX_BITS = 16
 BLOCK_IDS = 4096
 FILE_IDS = 1 << 26
+#: Ids that are encoded at once.
+ENCODED = 1 << 18
 #: Blocks that are decoded side by side.
-LANES = 2048
+LANES = 1024
 TAIL = struct.Struct("<QQQQI8s")
 
 
@@ -78,13 +80,22 @@ def id_counts(tokens: DataFrame) -> DataFrame:
     """``(id, n)`` over the whole table; at most one row per id of the vocabulary leaves a task."""
 
     def run(batches):
-        total = np.zeros(0, np.int64)
+        total, held, n_held = np.zeros(0, np.int64), [], 0
+
+        def counted():
+            nonlocal total, held, n_held
+            n = np.bincount(np.concatenate(held), minlength=len(total))
+            n[: len(total)] += total
+            total, held, n_held = n, [], 0
+
         for batch in batches:
-            for data in batch.column("ids").to_pylist():
-                n = np.bincount(unsqueeze(data))
-                if len(n) > len(total):
-                    total = np.pad(total, (0, len(n) - len(total)))
-                total[: len(n)] += n
+            for data in batch.column("ids"):
+                held.append(unsqueeze(data.as_py()))
+                n_held += len(held[-1])
+                if n_held >= ENCODED:
+                    counted()
+        if held:
+            counted()
         seen = np.flatnonzero(total)
         yield pa.record_batch([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
 
@@ -189,20 +200,31 @@ class IdFile:
         self.bits, self.n_ids, self.stream = BitWriter(lengths), 0, 0
         self.checkpoints: list[np.ndarray] = []
         self.docs: list[tuple[int, int, int]] = []
+        self.held: list[np.ndarray] = []
+        self.n_held = 0
         self.file.write(MAGIC + struct.pack("<IB", len(lengths), max_bits) + lengths.tobytes())
 
-    def add(self, docs: list[tuple[int | None, np.ndarray]]) -> None:
-        ids = np.concatenate([x for _, x in docs])
-        data, offsets = self.bits.add(ids)
-        self.checkpoints.append(offsets[-self.n_ids % self.block_ids :: self.block_ids])
-        self.docs += [(d or 0, d is None, len(x)) for d, x in docs]
-        self.n_ids += len(ids)
-        self.stream += len(data)
-        self.file.write(data)
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        self.docs.append((doc_id or 0, doc_id is None, len(ids)))
+        self.held.append(ids)
+        self.n_held += len(ids)
+        if self.n_held >= ENCODED:
+            self.flush()
+
+    def flush(self) -> None:
+        ids = np.concatenate(self.held) if self.held else np.empty(0, np.uint32)
+        self.held, self.n_held = [], 0
+        for at in range(0, len(ids), ENCODED):
+            data, offsets = self.bits.add(ids[at : at + ENCODED])
+            self.checkpoints.append(offsets[-self.n_ids % self.block_ids :: self.block_ids])
+            self.n_ids += len(offsets)
+            self.stream += len(data)
+            self.file.write(data)
 
     def close(self) -> str:
+        self.flush()
         last = self.bits.close()
-        points = np.concatenate(self.checkpoints).astype("<u8")
+        points = np.concatenate([np.empty(0, np.int64), *self.checkpoints]).astype("<u8")
         docs = np.array(self.docs, [("id", "<i8"), ("null", "u1"), ("n", "<u8")])
         self.file.write(last + points.tobytes() + docs.tobytes())
         self.file.write(TAIL.pack(self.n_ids, len(docs), len(points), self.stream + len(last), self.block_ids, MAGIC))
@@ -289,14 +311,12 @@ def write_ids(tokens: DataFrame, folder: str, max_bits: int = MAX_BITS, block_id
             made.append((part, len(made), out.close(), out.n_ids, len(out.docs)))
 
         for batch in batches:
-            rows = list(zip(batch.column("doc_id").to_pylist(), map(unsqueeze, batch.column("ids").to_pylist())))
-            if not rows:
-                continue
-            out = out or IdFile(folder, f"part-{part:06d}", lengths, max_bits, block_ids)
-            out.add(rows)
-            if out.n_ids >= FILE_IDS:
-                done()
-                out = None
+            for doc_id, data in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
+                out = out or IdFile(folder, f"part-{part:06d}", lengths, max_bits, block_ids)
+                out.add(doc_id, unsqueeze(data.as_py()))
+                if out.n_ids >= FILE_IDS:
+                    done()
+                    out = None
         if out:
             done()
         columns = zip(*made) if made else [[]] * 5
@@ -332,10 +352,8 @@ def read_documents(spark: SparkSession, folder: str, manifest: DataFrame) -> Dat
                     start += n
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    files = manifest.count()
-    return manifest.repartition(max(1, files), "file_no").select("name", "first_id").mapInArrow(
-        run, "doc_id long, start long, n_tokens long, ids_crc32 long"
-    )
+    files = manifest.select("name", "first_id").repartition(max(1, manifest.count()))
+    return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_ids(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
@@ -348,7 +366,7 @@ def read_ids(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame
                     ids = np.concatenate(parts) if parts else np.empty(0, np.uint32)
                     yield pa.record_batch([pa.array([doc_id], pa.int64()), pa.array([ids.astype(np.int64)])], ["doc_id", "ids"])
 
-    return manifest.repartition(max(1, manifest.count()), "file_no").select("name").mapInArrow(run, "doc_id long, ids array<long>")
+    return manifest.select("name").repartition(max(1, manifest.count())).mapInArrow(run, "doc_id long, ids array<long>")
 
 
 def huffman_round_trip(docs: DataFrame, tokenizer_path: str | None = None, end_id: int = 2) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Runs that the cache may hold when a chunk begins; beyond this size it starts anew.
-CACHE_RUNS = 400_000
+CACHE_RUNS = 300_000
 #: Characters that are encoded together.
 CHUNK_CHARS = 12_000_000
 
@@ -108,16 +108,16 @@ class WordEncoder:
     def _distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct words: one pool and the bounds of each word in it."""
         plain = pc.match_substring_regex(words, _PLAIN).to_numpy(zero_copy_only=False)
-        found = _RUNS.findall("\n".join(words.filter(pa.array(plain)).to_pylist()).lower() + "\n")
+        found = _RUNS.findall("\n".join(strings(words.filter(pa.array(plain)))).lower() + "\n")
         coded = pa.array(found, pa.string()).dictionary_encode()
         del found
-        kinds, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        kinds, index = strings(coded.dictionary), coded.indices.to_numpy()
         last = kinds.index("\n")
         ids, ends = gather(*pooled(self._runs(kinds)), index)
         starts = np.concatenate([[0], ends[1:][index == last]])[: int(plain.sum()) + 1]
         if plain.all():
             return ids, starts
-        other = [np.array(self._direct(w), np.uint32) for w in words.filter(pa.array(~plain)).to_pylist()]
+        other = [np.array(self._direct(w), np.uint32) for w in strings(words.filter(pa.array(~plain)))]
         lens = np.empty(len(words), np.int64)
         lens[plain], lens[~plain] = np.diff(starts), [len(x) for x in other]
         pool = np.concatenate([ids, *other])
@@ -133,6 +133,7 @@ class WordEncoder:
             runs.clear()
         runs["\n"] = b""
         new = [r for r in kinds if r not in runs]
+        new.sort(key=str.isascii)  # those of ASCII letters together: they are shown as they are
         for at in range(0, len(new), 20_000):
             some = new[at : at + 20_000]
             found = self.of_runs.encode_batch_fast([" ".join(some).translate(self.shown)], add_special_tokens=False)[0]
@@ -143,6 +144,10 @@ class WordEncoder:
         return [runs[r] for r in kinds]
 
 
+def strings(values: pa.Array) -> list[str]:
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
 def pooled(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all ``values`` one after another, and the bounds of each."""
     lens = np.fromiter(map(len, values), np.int64, len(values)) // 4
