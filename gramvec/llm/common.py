@@ -32,20 +32,3 @@ def partitions(spark: SparkSession) -> int:
 def words_of(text: Column) -> Column:
     """Array of the words of ``text`` (NULL text: empty array)."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({WORD})"), F.lit(1))
-
-
-def hot_keys(df: DataFrame, key: str, count: str, salt_rows: int = 20_000) -> DataFrame:
-    """``(key, n_salts)`` of the keys that hold over 1/256 of all rows, so 256 rows at most.
-
-    ``df`` has one row per ``key`` with its row ``count``. A hot key gets one
-    salt per ``salt_rows`` rows, 1024 at most.
-    """
-    total = df.agg(F.sum(count).alias("_total"))
-    return (
-        df.crossJoin(F.broadcast(total))  # one row
-        .where((F.col(count) * 256 > F.col("_total")) & (F.col(count) > salt_rows))
-        .select(
-            F.col(key).alias("key"),
-            F.least(F.ceil(F.col(count) / salt_rows), F.lit(1024)).cast("int").alias("n_salts"),
-        )
-    )

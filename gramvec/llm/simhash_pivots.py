@@ -36,8 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gramvec.llm.common import hot_keys, partitions, staged
-from gramvec.operators.joins import salted_join
+from gramvec.llm.common import partitions, staged
+from gramvec.operators.joins import hot_keys, salted_join
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
 BLOCKS, PER_BLOCK, SPREAD = (13, 13, 13, 13, 12), 16, 16

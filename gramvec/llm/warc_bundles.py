@@ -32,9 +32,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramvec.llm.common import hot_keys, partitions, staged
+from gramvec.llm.common import partitions, staged
 from gramvec.llm.files import NewFile, open_file
-from gramvec.operators.joins import salted_join
+from gramvec.operators.joins import hot_keys, salted_join
 from gramvec.session import scratch_path
 
 MIN_REVISIT = 100
@@ -231,8 +231,8 @@ def read_bundles(spark: SparkSession, folder: str, index: DataFrame) -> DataFram
         refers_to = headers.get("WARC-Refers-To")
         return number(headers["WARC-Record-ID"]), size, digest, kind, number(refers_to) if refers_to else None
 
-    names = index.select("bundle").distinct()
-    return names.repartition(partitions(spark), "bundle").mapInArrow(run, READ)
+    names = [(r["bundle"],) for r in index.select("bundle").distinct().collect()]  # one for each 64 MB, about
+    return spark.createDataFrame(names, "bundle string").repartition(max(1, len(names))).mapInArrow(run, READ)
 
 
 def fetch_records(index: DataFrame, folder: str) -> DataFrame:
