@@ -166,17 +166,15 @@ def certified_cutoffs(stats: DataFrame, labels: DataFrame, alpha: float = ALPHA,
         .groupBy("stratum")
         .agg(*[F.percentile_approx(r, points, 20_000).alias(r) for r in RULES])
     )
-    over = [
-        F.greatest(*[F.when(F.col(r) > F.col("cut")[r][k] * factor, 1).otherwise(0) for r in RULES])
-        for k, (_, factor) in enumerate(LEVELS)
-    ]
-    tested = (
-        rows.join(fitted.select("stratum", F.struct(*RULES).alias("cut")), "stratum")
-        .groupBy("stratum", "good", "fit")
-        .agg(F.count(F.lit(1)).alias("n"), *[F.sum(x).alias(f"over{k}") for k, x in enumerate(over)])
-        .collect()
-    )
     cuts = {r["stratum"]: r.asDict() for r in fitted.collect()}
+    over = []
+    for k, (_, factor) in enumerate(LEVELS):
+        found = F.lit(0)
+        for name, cut in cuts.items():
+            beyond = [F.when(F.col(r) > F.lit(cut[r][k] * factor), 1).otherwise(0) for r in RULES]
+            found = F.when(F.col("stratum") == name, F.greatest(*beyond)).otherwise(found)
+        over.append(F.sum(found).alias(f"over{k}"))
+    tested = rows.groupBy("stratum", "good", "fit").agg(F.count(F.lit(1)).alias("n"), *over).collect()
     out = {}
     for name, cut in sorted(cuts.items()):
         of = {(r["good"], r["fit"]): [r["n"], *(r[f"over{k}"] for k in range(len(LEVELS)))] for r in tested if r["stratum"] == name}
