@@ -2,7 +2,7 @@
 
 from gramvec.functions.hashing import fnv1a_bucket, hash_uniform, bucket_ids
 from gramvec.functions.text import char_ngrams, clean_sentence_words, mark_sentences
-from gramvec.functions.vectors import dot, l2_norm, normalize, cosine, axpy
+from gramvec.functions.vectors import dot, l2_norm, normalize
 
 __all__ = [
     "fnv1a_bucket",
@@ -14,6 +14,4 @@ __all__ = [
     "dot",
     "l2_norm",
     "normalize",
-    "cosine",
-    "axpy",
 ]

@@ -47,25 +47,6 @@ def hash_uniform(*parts) -> Column:
     return uniform_from_hex(hash_hex(*parts), 0)
 
 
-def fnv1a_bucket_sql(expr: str, modulus: int, offset: int = 1) -> str:
-    """SQL text: ``fnv1a_64(utf8(expr)) % modulus + offset`` (exact for modulus < 2^31)."""
-    m = int(modulus)
-    if m < 1 or m >= 2**31:
-        raise ValueError("modulus must be in 1..2^31-1")
-    two32_mod = (2**32) % m
-    return (
-        f"aggregate("
-        f"transform(sequence(1, octet_length({expr})), "
-        f"i -> cast(conv(substr(hex(encode({expr}, 'UTF-8')), 2 * i - 1, 2), 16, 10) as bigint)), "
-        f"named_struct('hi', bigint({FNV_OFFSET_HI}), 'lo', bigint({FNV_OFFSET_LO})), "
-        f"(a, b) -> named_struct("
-        f"'hi', ((a.hi * {FNV_PRIME_LOW}) + shiftright((a.lo ^ b) * {FNV_PRIME_LOW}, 32) "
-        f"+ shiftleft((a.lo ^ b), 8)) & 4294967295, "
-        f"'lo', ((a.lo ^ b) * {FNV_PRIME_LOW}) & 4294967295), "
-        f"a -> cast((((a.hi % {m}) * {two32_mod}) + (a.lo % {m})) % {m} + {int(offset)} as int))"
-    )
-
-
 def fnv1a_bucket(col, modulus: int, offset: int = 1) -> Column:
     """Bucket of one string column (``octet_length`` 0 gives the basis hash)."""
     return _fnv_lambda(_as_col(col), modulus, offset)

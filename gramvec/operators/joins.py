@@ -16,18 +16,8 @@ def broadcast_limit(spark) -> int:
         return DEFAULT_BROADCAST_MAX_BYTES
 
 
-def bounded(small: DataFrame, max_rows: int, row_bytes: int) -> DataFrame:
-    """``broadcast(small)`` if ``max_rows * row_bytes`` (a bound known from the
-    parameters, not an estimate of the data) fits the limit; otherwise
-    ``small`` with a merge hint, so that no estimate of Spark's makes it a
-    broadcast after all. Join keys that may be hot then belong in
-    ``salted_join``."""
-    if fits(small.sparkSession, max_rows, row_bytes):
-        return F.broadcast(small)
-    return small.hint("merge")
-
-
 def fits(spark, max_rows: int, row_bytes: int) -> bool:
+    """Whether a table of this bound (known from parameters, not an estimate of the data) may be broadcast."""
     return int(max_rows) * int(row_bytes) <= broadcast_limit(spark)
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 # Defaults and bounds that must equal the original trainer's.
 DEFAULTS = dict(
@@ -25,9 +25,6 @@ VOCABULARY_SIZE_MAX = 10251098
 NGRAM_SIZE_RANGE = (3, 6)
 LEARNRATE_RANGE = (0.01, 1.0)
 LOSS_REPORT_EVERY = 2000
-VALIDATION_EVERY = 10000
-CHECKPOINT_EVERY = 10000
-SHARD_SWITCH_EVERY = 1000
 LANGUAGES = ("german", "english", "french", "spanish", "de", "en", "fr", "es")
 
 
@@ -59,8 +56,6 @@ class Params:
     count_empty: bool = True
     query_ngram_size: int | None = None
     negative_oversample: int = 8
-    shuffle_batches: bool = True
-    extra: dict = field(default_factory=dict)
 
     def __post_init__(self):
         self.validate()
@@ -118,6 +113,4 @@ class Params:
         return dataclasses.replace(self, **kw)
 
     def to_dict(self) -> dict:
-        d = dataclasses.asdict(self)
-        d.pop("extra", None)
-        return d
+        return dataclasses.asdict(self)
