@@ -93,15 +93,15 @@ def pack(
                 for start in range(0, len(own), seq_len):
                     piece = own[start : start + seq_len]
                     keep = with_ids or len(piece) < seq_len
-                    rows.append((group, doc_id, start, len(piece), len(own), crc(piece), squeeze(piece) if keep else None))
-            kinds = [pa.int64()] * 6 + [pa.binary()]
+                    rows.append((group, doc_id or 0, doc_id is None, start, len(piece), len(own), crc(piece), squeeze(piece) if keep else None))
+            kinds = [pa.int64(), pa.int64(), pa.bool_()] + [pa.int64()] * 4 + [pa.binary()]
             yield pa.record_batch(
-                [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 7, kinds)],
-                ["grp", "doc_id", "start", "length", "doc_tokens", "crc", "ids"],
+                [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 8, kinds)],
+                ["grp", "doc_id", "none", "start", "length", "doc_tokens", "crc", "ids"],
             )
 
     def place(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "crc", "start"], ascending=[False, True, True, True], na_position="last", kind="stable")
+        pdf = pdf.sort_values(["length", "none", "doc_id", "crc", "start"], ascending=[False, True, True, True, True], kind="stable")
         full = pdf["length"].to_numpy() == seq_len
         n_full, rest = int(full.sum()), pdf[~full]
         base = int(key[0]) << 32
@@ -110,9 +110,10 @@ def pack(
         head = pdf[full]
         item, cut, length, seq, offset = (np.array(c, np.int64) for c in (zip(*placed) if placed else [[]] * 5))
         src = rest.iloc[item]
+        doc_id, none = (np.concatenate([head[c], src[c]]) for c in ("doc_id", "none"))
         out = pd.DataFrame(
             {
-                "doc_id": pd.concat([head["doc_id"], src["doc_id"]]).astype("Int64").to_numpy(dtype=object, na_value=None),
+                "doc_id": np.where(none.astype(bool), None, doc_id.astype(object)),
                 "start": np.concatenate([head["start"], src["start"].to_numpy() + cut]).astype(np.int64),
                 "length": np.concatenate([head["length"], length]).astype(np.int64),
                 "ids_crc32": np.array([*head["crc"], *(crc(ids[i][c : c + n]) for i, c, n, _, _ in placed)], np.int64),
@@ -126,5 +127,5 @@ def pack(
             out["ids"] = [unsqueeze(x).tolist() for x in head["ids"]] + [ids[i][c : c + n].tolist() for i, c, n, _, _ in placed]
         return out
 
-    pieces = docs.mapInArrow(tokenize, "grp long, doc_id long, start long, length long, doc_tokens long, crc long, ids binary")
+    pieces = docs.mapInArrow(tokenize, "grp long, doc_id long, none boolean, start long, length long, doc_tokens long, crc long, ids binary")
     return pieces.groupBy("grp").applyInPandas(place, PIECES + (", ids array<long>" if with_ids else ""))

@@ -124,6 +124,8 @@ def test_pieces_cover_all_ids_without_padding(spark):
             at += n
         assert at == 4096 or at & (at - 1) == 0
     assert K.pack(empty(spark)).count() == 0
+    large = spark.createDataFrame([((1 << 62) + 1, "a b", None, None, None), (None, "c", None, None, None)], SCHEMA)
+    assert {r["doc_id"] for r in K.pack(large).collect()} == {(1 << 62) + 1, None}
 
 
 def test_assignment_is_balanced():
