@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from gramvec.llm.common import partitions, staged
 from gramvec.llm.files import NewFile, open_file
-from gramvec.llm.tokens import encoder
+from gramvec.llm.tokens import encoder, slices
 from gramvec.session import scratch_path
 
 MAGIC = b"HUFIDS01"
@@ -66,7 +66,7 @@ def token_ids(docs: DataFrame, tokenizer_path: str | None = None, end_id: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
-        for batch in batches:
+        for batch in slices(batches):
             ids, at = enc.encode(batch.column("text").to_pylist())
             one = [squeeze(np.append(ids[a:b], np.uint32(end_id))) for a, b in zip(at[:-1], at[1:])]
             yield pa.record_batch(

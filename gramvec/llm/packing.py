@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gramvec.llm.huffman_ids import squeeze, unsqueeze
-from gramvec.llm.tokens import encoder
+from gramvec.llm.tokens import encoder, slices
 
 SEQ_LEN = 4096
 #: Cost of a token, and of a token pair in attention, for a model 4096 wide.
@@ -84,7 +84,7 @@ def pack(
 
     def tokenize(batches):
         enc = encoder(tokenizer_path)
-        for batch in batches:
+        for batch in slices(batches):
             ids, at = enc.encode(batch.column("text").to_pylist())
             rows = []
             for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist()):

@@ -12,16 +12,17 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Runs that the cache may hold when a chunk begins; beyond this size it starts anew.
-CACHE_RUNS = 300_000
-#: Characters that are encoded together.
-CHUNK_CHARS = 12_000_000
+CACHE_RUNS = 200_000
+#: Rows of a batch that are taken together, and characters that are encoded together.
+SLICE_ROWS = 2_000
+CHUNK_CHARS = 6_000_000
 
 # Printable ASCII and the composed letters below U+0250; U+0130 is left out, as it is two characters in lower case.
 _PLAIN = r"^[\x21-\x7eÀ-ÖØ-öø-įı-ɏ]*$"
@@ -164,6 +165,13 @@ def gather(pool: np.ndarray, bounds: np.ndarray, index: np.ndarray) -> tuple[np.
     return pool[at], ends
 
 
+def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of ``SLICE_ROWS`` rows, so that a task holds the ids of few documents at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
 _encoders: dict[str | None, WordEncoder] = {}
 
 
