@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from gramvec.llm.common import WORD, partitions, staged
+from gramvec.llm.common import WORD, staged
 
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2.0
@@ -213,7 +213,7 @@ def mix_digest(docs: DataFrame) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
-    """The documents of the mix, shard by shard in their order, with the columns of ``docs``.
+    """The documents of the mix with the columns of ``docs``; each partition has them by shard and position.
 
     A document that is cut keeps its text up to its last word taken, and
     ``n_chars``, if there, follows. Copies are rows of their own.
@@ -228,11 +228,8 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("_of_n_chars", F.when(cut, F.length("_of_text").cast(kind)).otherwise(F.col("_of_n_chars")))
-    return (
-        out.repartition(partitions(docs.sparkSession), "shard")
-        .sortWithinPartitions("shard", "position")
-        .select(*[F.col(f"_of_{c}").alias(c) for c in docs.columns])
-    )
+    ordered = out.sortWithinPartitions("shard", "position")
+    return ordered.select(*[F.col(f"_of_{c}").alias(c) for c in docs.columns])
 
 
 def oracle() -> str:
