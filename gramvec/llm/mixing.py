@@ -44,6 +44,10 @@ BLOCK_DOCS = 64
 BLOCK_DIGITS = 4
 #: Words of an output shard, about.
 SHARD_WORDS = 1_000_000
+#: Partitions that the shards are written to, at most.
+SHARD_FILES = 10_000
+#: Blocks whose shards are broadcast, at most.
+BROADCAST_BLOCKS = 500_000
 
 
 def word_count(text: Column) -> Column:
@@ -71,20 +75,20 @@ def targets(sizes: list[int], weights: list[float], share: float = SHARE, most:
     return out
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """``_mix_row, doc_id, source, size`` and ``key``, by which a source's documents are permuted.
-
-    ``_mix_row`` tells equal rows apart; it is made here unless ``docs`` has it.
-    """
-    row = F.col("_mix_row") if "_mix_row" in docs.columns else F.monotonically_increasing_id().alias("_mix_row")
+def sized_columns() -> list[Column]:
+    """``doc_id, source, size`` and ``key``, by which a source's documents are permuted."""
     key = F.md5(F.concat_ws("|", F.lit(str(SEED)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    return docs.select(
-        row,
-        F.col("doc_id").cast("long"),
-        F.col("source").cast("string"),
+    return [
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("source").cast("string").alias("source"),
         word_count(F.col("text")).alias("size"),
         F.concat(key, F.hex(F.xxhash64("text"))).alias("key"),
-    )
+    ]
+
+
+def sized(docs: DataFrame) -> DataFrame:
+    """``_mix_row`` and ``sized_columns``; ``_mix_row`` tells equal rows apart."""
+    return docs.select(F.monotonically_increasing_id().alias("_mix_row"), *sized_columns())
 
 
 def source_plan(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -115,14 +119,17 @@ def with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
     return rows.join(small, rows["source"].eqNullSafe(F.col("_source"))).drop("_source")
 
 
+def with_block(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("block", F.expr(f"shiftright(cast(conv(substring(key, 1, {BLOCK_DIGITS}), 16, 10) as int), shift)"))
+
+
 def taken_words(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """``rows`` (``sized``) with their plan, ``block``, and ``first``: words of the last, partial pass that they give.
 
     Words before a document are those of earlier blocks plus those of earlier
     documents in its block, so no window holds a whole source's documents.
     """
-    block = F.expr(f"shiftright(cast(conv(substring(key, 1, {BLOCK_DIGITS}), 16, 10) as int), shift)")
-    all_rows = with_plan(rows, plan).withColumn("block", block)
+    all_rows = with_block(with_plan(rows, plan))
     blocks = all_rows.groupBy("source", "block").agg(F.sum("size").alias("words"))
     before = blocks.select(
         F.col("source").alias("_s"),
@@ -168,22 +175,17 @@ def shard_runs(spark: SparkSession, quotas: list[int], shards: int) -> DataFrame
     return spark.range(shards).mapInPandas(run, "number long, shard long, n long")
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> tuple[DataFrame, DataFrame]:
-    """``(mix, rows)``.
+def passes_of(rows: DataFrame) -> DataFrame:
+    """A row for each ``copy`` of a row that gives ``words``: ``size`` in a whole pass, ``first`` in the partial one."""
+    copies = F.expr("transform(sequence(0, cast(passes as int)), c -> if(c < passes, size, first))")
+    return rows.select("*", F.posexplode(copies).alias("copy", "words")).where("words > 0")
 
-    ``mix``: ``shard, position, _mix_row, doc_id, copy, size, words`` of every document
-    taken, ``words`` being its size unless it is cut. ``rows``: all documents,
-    as ``sized``, with the plan of their source.
-    """
-    spark = docs.sparkSession
-    rows = staged(sized(docs), "mix-rows")
-    plan = source_plan(rows, weights, share, most)
-    drawn = staged(taken_words(rows, plan), "mix-drawn")
+
+def shard_plan(drawn: DataFrame) -> tuple[DataFrame, int]:
+    """``_s, _c, _b, shard``: the shard of every block that a source gives in a pass; and the number of shards."""
+    spark = drawn.sparkSession
     # Blocks in the order they are drawn: those of pass 0, of pass 1, ..., each pass in permuted order.
-    copies = F.expr("transform(sequence(0, cast(passes as int)), c -> if(c < passes, size, first))")
-    pieces = drawn.select("_mix_row", "source", "doc_id", "key", "size", "block", F.posexplode(copies).alias("copy", "words"))
-    pieces = pieces.where("words > 0")
-    blocks = pieces.groupBy("source", "copy", "block").agg(F.sum("words").alias("words"))
+    blocks = passes_of(drawn).groupBy("source", "copy", "block").agg(F.sum("words").alias("words"))
     blocks = blocks.withColumn("turn", F.row_number().over(W.partitionBy("source").orderBy("copy", "block")).cast("long") - 1)
     blocks = staged(blocks, "mix-blocks")
     found = blocks.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("words").alias("words")).collect()
@@ -198,37 +200,77 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     placed = numbered.join(runs, ["number", "turn"]).select(
         F.col("source").alias("_s"), F.col("copy").alias("_c"), F.col("block").alias("_b"), "shard"
     )
+    return staged(placed, "mix-placed"), shards
+
+
+def with_shard(pieces: DataFrame, placed: DataFrame) -> DataFrame:
+    """``pieces`` with their shard and ``turn``, by which (and ``_mix_row``) a shard's documents are ordered."""
     of_block = pieces["source"].eqNullSafe(F.col("_s")) & (F.col("copy") == F.col("_c")) & (F.col("block") == F.col("_b"))
-    order = W.partitionBy("shard").orderBy(F.md5(F.concat_ws("|", "shard", "copy", "key")), "_mix_row")
-    out = pieces.join(placed, of_block).withColumn("position", F.row_number().over(order).cast("long") - 1)
+    small = F.broadcast(placed) if placed.count() <= BROADCAST_BLOCKS else placed
+    return pieces.join(small, of_block).drop("_s", "_c", "_b").withColumn("turn", F.md5(F.concat_ws("|", "shard", "copy", "key")))
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> tuple[DataFrame, DataFrame]:
+    """``(mix, rows)``.
+
+    ``mix``: ``shard, position, _mix_row, doc_id, copy, size, words`` of every document
+    taken, ``words`` being its size unless it is cut. ``rows``: all documents,
+    as ``sized``, with the plan of their source.
+    """
+    rows = staged(sized(docs), "mix-rows")
+    plan = source_plan(rows, weights, share, most)
+    drawn = staged(taken_words(rows, plan), "mix-drawn")
+    out = with_shard(passes_of(drawn), shard_plan(drawn)[0])
+    order = W.partitionBy("shard").orderBy("turn", "_mix_row")
+    out = out.withColumn("position", F.row_number().over(order).cast("long") - 1)
     return out.select("shard", "position", "_mix_row", "doc_id", "copy", "size", "words"), with_plan(rows, plan)
 
 
 def mix_digest(docs: DataFrame) -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` of every document; ``taken`` adds up its rows of the mix."""
+    """``doc_id, size, source_size, target, taken`` of every document; ``taken`` adds up its rows of the mix.
+
+    The mix is written with its shards and positions, and read back for the sums.
+    """
     mixed, rows = mix(docs)
-    taken = mixed.groupBy("_mix_row").agg(F.sum("words").alias("_taken"))
+    taken = staged(mixed, "mix-shards").groupBy("_mix_row").agg(F.sum("words").alias("_taken"))
     found = rows.join(taken, "_mix_row", "left")
     return found.select("doc_id", "size", "source_size", "target", F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"))
 
 
-def mix_documents(docs: DataFrame) -> DataFrame:
-    """The documents of the mix with the columns of ``docs``; each partition has them by shard and position.
+def mix_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """The documents of the mix with the columns of ``docs``: partition i is shard i, in the order of ``mix``.
 
+    More than ``SHARD_FILES`` shards: each partition has a run of whole shards, one after another.
     A document that is cut keeps its text up to its last word taken, and
     ``n_chars``, if there, follows. Copies are rows of their own.
+
+    Texts are shuffled once, to their shards: a document's block follows from
+    its key, and which documents of the partial pass are taken, from the last of them in each source.
     """
-    kept = staged(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "mix-documents")
-    mixed = mix(kept)[0].select("_mix_row", "shard", "position", "words", F.col("size").alias("_size"))
-    joined = kept.withColumnsRenamed({c: f"_of_{c}" for c in docs.columns}).join(mixed, "_mix_row")
+    own = [F.col(c).alias(f"_of_{c}") for c in docs.columns]
+    kept = staged(docs.select(F.monotonically_increasing_id().alias("_mix_row"), F.struct(*sized_columns()).alias("_mix"), *own), "mix-documents")
+    rows = kept.select("_mix_row", "_mix.*")
+    plan = source_plan(rows, weights, share, most)
+    drawn = staged(taken_words(rows, plan), "mix-drawn")
+    placed, shards = shard_plan(drawn)
+    last = drawn.where("first > 0").groupBy(F.col("source").alias("_l")).agg(F.max(F.struct("block", "key", "_mix_row", "first")).alias("last"))
+    ends = staged(plan.join(last, plan["source"].eqNullSafe(F.col("_l")), "left").drop("_l"), "mix-ends")
+    full = with_block(with_plan(kept.select("_mix_row", "_mix.*", *[f"_of_{c}" for c in docs.columns]), ends))
+    at = F.struct("block", "key", "_mix_row")
+    end = F.struct(*[F.col(f"last.{c}").alias(c) for c in ("block", "key", "_mix_row")])
+    first = F.when(F.col("last").isNull() | (at > end), F.lit(0)).when(at < end, F.col("size")).otherwise(F.col("last.first"))
+    out = with_shard(passes_of(full.withColumn("first", first.cast("long"))), placed)
     words = F.regexp_extract_all("_of_text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
-    cut = F.col("words") < F.col("_size")
+    cut = F.col("words") < F.col("size")
     text = F.when(cut, F.array_join(F.slice(words, 1, F.col("words").cast("int")), "")).otherwise(F.col("_of_text"))
-    out = joined.withColumn("_of_text", text)
+    out = out.withColumn("_of_text", text)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("_of_n_chars", F.when(cut, F.length("_of_text").cast(kind)).otherwise(F.col("_of_n_chars")))
-    ordered = out.sortWithinPartitions("shard", "position")
+    parts = min(shards, SHARD_FILES)
+    needed = out.select("shard", "turn", "_mix_row", *[f"_of_{c}" for c in docs.columns])
+    dealt = needed.repartitionById(parts, F.expr(f"cast(shard * {parts} div {shards} as int)"))
+    ordered = dealt.sortWithinPartitions("shard", "turn", "_mix_row")
     return ordered.select(*[F.col(f"_of_{c}").alias(c) for c in docs.columns])
 
 

@@ -196,6 +196,25 @@ def test_mixed_documents_are_whole_but_one_per_source(spark):
         assert sorted(r["position"] for r in rows if r["shard"] == shard) == list(range(sum(r["shard"] == shard for r in rows)))
 
 
+@pytest.mark.parametrize("files, broadcast", [(10_000, 500_000), (2, 0)])
+def test_mixed_documents_stand_in_their_shards(spark, monkeypatch, files, broadcast):
+    monkeypatch.setattr(M, "SHARD_WORDS", 4000)
+    monkeypatch.setattr(M, "BLOCK_DOCS", 2)
+    monkeypatch.setattr(M, "SHARD_FILES", files)
+    monkeypatch.setattr(M, "BROADCAST_BLOCKS", broadcast)
+    docs = corpus(spark).where("doc_id IS NULL OR doc_id != 7").repartition(3)
+    text = {r["doc_id"]: r["text"] or "" for r in docs.collect() if r["doc_id"] is not None}
+    want = defaultdict(list)
+    for r in sorted(M.mix(docs)[0].collect(), key=lambda r: (r["shard"], r["position"])):
+        want[r["shard"]].append((r["doc_id"], r["words"]))
+    shards = max(want) + 1
+    parts = min(shards, files)
+    expected = [[x for s in range(shards) if s * parts // shards == p for x in want[s]] for p in range(parts)]
+    found = M.mix_documents(docs).rdd.glom().collect()
+    assert shards > 5 and [[(r["doc_id"], len((r["text"] or "").split())) for r in p] for p in found] == expected
+    assert all(text[r["doc_id"]].startswith(r["text"]) for p in found for r in p if r["doc_id"] is not None)
+
+
 # ---------------------------------------------------------------- op8
 def pages(spark):
     long = "<p>" + "é" * 60 + "</p>"
