@@ -3,7 +3,7 @@
 Each stage reads what the stage before wrote: documents with poor quality go,
 one document of each near-duplicate group stays, secrets are masked, sources
 are mixed to their target weights, and the rest is packed. The last stage
-returns the pieces of the sequences.
+returns the pieces of the sequences with their token ids.
 """
 
 from __future__ import annotations
@@ -39,8 +39,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all sequences."""
-    return pack(docs)
+    """The pieces of all sequences, with their ids."""
+    return pack(docs, with_ids=True)
 
 
 STAGES = [

@@ -77,7 +77,10 @@ def pack(
     quadratic: float = QUADRATIC,
     with_ids: bool = False,
 ) -> DataFrame:
-    """One row per piece (``PIECES``, with ``ids`` if ``with_ids``); ``sequence_id`` is group * 2^32 + number in the group."""
+    """One row per piece (``PIECES``, with ``ids`` if ``with_ids``); ``sequence_id`` is group * 2^32 + number in the group.
+
+    The sequences are built with all their ids; ``ids`` and ``ids_crc32`` are read from them.
+    """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     size = docs.agg(F.sum(F.octet_length("text")).alias("b"), F.count(F.lit(1)).alias("n")).first()
     groups = ((size["b"] or 0) + 8 * size["n"]) // GROUP_BYTES + 1
@@ -92,8 +95,7 @@ def pack(
                 group = zlib.crc32(b"%d|%d" % (-1 if doc_id is None else doc_id, crc(own))) % groups
                 for start in range(0, len(own), seq_len):
                     piece = own[start : start + seq_len]
-                    keep = with_ids or len(piece) < seq_len
-                    rows.append((group, doc_id or 0, doc_id is None, start, len(piece), len(own), crc(piece), squeeze(piece) if keep else None))
+                    rows.append((group, doc_id or 0, doc_id is None, start, len(piece), len(own), crc(piece), squeeze(piece)))
             kinds = [pa.int64(), pa.int64(), pa.bool_()] + [pa.int64()] * 4 + [pa.binary()]
             yield pa.record_batch(
                 [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 8, kinds)],
@@ -105,18 +107,30 @@ def pack(
         full = pdf["length"].to_numpy() == seq_len
         n_full, rest = int(full.sum()), pdf[~full]
         base = int(key[0]) << 32
-        ids = [unsqueeze(x) for x in rest["ids"]]
-        placed = assign(rest["length"].to_numpy(), capacities(int(rest["length"].sum()), seq_len), linear, quadratic)
+        held = capacities(int(rest["length"].sum()), seq_len)
+        placed = assign(rest["length"].to_numpy(), held, linear, quadratic)
         head = pdf[full]
         item, cut, length, seq, offset = (np.array(c, np.int64) for c in (zip(*placed) if placed else [[]] * 5))
         src = rest.iloc[item]
         doc_id, none = (np.concatenate([head[c], src[c]]) for c in ("doc_id", "none"))
+        # the sequences, one after another, and where each piece stands in them
+        room = np.concatenate([np.full(n_full, seq_len, np.int64), held])
+        begin = np.cumsum(room) - room
+        sequences = np.zeros(int(room.sum()), np.uint32)
+        at = np.concatenate([begin[:n_full], begin[n_full + seq] + offset]).astype(np.int64)
+        lengths = np.concatenate([head["length"], length]).astype(np.int64)
+        for i, x in enumerate(head["ids"]):
+            sequences[at[i] : at[i] + seq_len] = unsqueeze(x)
+        ids = [unsqueeze(x) for x in rest["ids"]]
+        for to, (i, c, n, _, _) in zip(at[n_full:].tolist(), placed):
+            sequences[to : to + n] = ids[i][c : c + n]
+        pieces = [sequences[a : a + n] for a, n in zip(at.tolist(), lengths.tolist())]
         out = pd.DataFrame(
             {
                 "doc_id": np.where(none.astype(bool), None, doc_id.astype(object)),
                 "start": np.concatenate([head["start"], src["start"].to_numpy() + cut]).astype(np.int64),
-                "length": np.concatenate([head["length"], length]).astype(np.int64),
-                "ids_crc32": np.array([*head["crc"], *(crc(ids[i][c : c + n]) for i, c, n, _, _ in placed)], np.int64),
+                "length": lengths,
+                "ids_crc32": np.array([crc(x) for x in pieces], np.int64),
                 "doc_tokens": np.concatenate([head["doc_tokens"], src["doc_tokens"]]).astype(np.int64),
                 "sequence_id": base + np.concatenate([np.arange(n_full), n_full + seq]).astype(np.int64),
                 "offset": np.concatenate([np.zeros(n_full, np.int64), offset]).astype(np.int64),
@@ -124,7 +138,7 @@ def pack(
         )
         out["cost"] = linear * out["length"] + quadratic * out["length"] ** 2.0
         if with_ids:
-            out["ids"] = [unsqueeze(x).tolist() for x in head["ids"]] + [ids[i][c : c + n].tolist() for i, c, n, _, _ in placed]
+            out["ids"] = [x.astype(np.int64) for x in pieces]
         return out
 
     pieces = docs.mapInArrow(tokenize, "grp long, doc_id long, none boolean, start long, length long, doc_tokens long, crc long, ids binary")

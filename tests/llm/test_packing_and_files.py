@@ -128,6 +128,21 @@ def test_pieces_cover_all_ids_without_padding(spark):
     assert {r["doc_id"] for r in K.pack(large).collect()} == {(1 << 62) + 1, None}
 
 
+def test_packing_stage_holds_all_ids(spark):
+    import corpus_pipeline as C
+
+    docs = corpus(spark, extra=False).where("doc_id < 200 AND doc_id != 7")
+    want = {r["doc_id"]: plain_ids(r["text"]) for r in docs.select("doc_id", "text").collect()}
+    rows = C.packing(spark, docs, "").collect()
+    assert any(r["length"] == K.SEQ_LEN and r["doc_tokens"] > K.SEQ_LEN for r in rows)
+    got = defaultdict(list)
+    for r in sorted(rows, key=lambda r: r["start"]):
+        assert len(got[r["doc_id"]]) == r["start"] and crc(r["ids"]) == r["ids_crc32"]
+        got[r["doc_id"]] += r["ids"]
+    assert got == want
+    assert Counter(tuple(r) for r in K.pack(docs).collect()) == Counter(tuple(r)[:-1] for r in rows)
+
+
 def test_assignment_is_balanced():
     rng = np.random.default_rng(2)
     lengths = np.sort(rng.integers(1, 4096, 900))[::-1]
