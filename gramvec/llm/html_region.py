@@ -5,8 +5,9 @@ around them, tags by their name: words for the region, tags against it. The
 weights are log-odds from labelled pages, those that mark their own content
 with ``article`` or ``main``: how often a feature stands inside and outside.
 One linear scan (``best_region``) finds the contiguous part with the highest
-sum. If it lies in an ``article`` or ``main`` it is widened to that element,
-otherwise to whole blocks.
+sum. It is only ever widened: to whole blocks, and where it begins or ends in
+an ``article`` or ``main``, to the whole of that element (those inside another
+are part of the outer one).
 
 Elements that are never main text by name, class, id or role (``SKIPPED``,
 ``SKIPPED_NAMES``: menus, headers, footers, sidebars, notices, adverts, forms,
@@ -137,7 +138,7 @@ class Page:
                     elif name == "br" and self.blocks[-1]:
                         self.blocks[-1].append(" ")
                 elif name in CONTAINERS or name in SKIPPED or (out and name not in BLOCKS):
-                    if name in CONTENT and not out and not skipped:
+                    if name in CONTENT and not out and not skipped and not article:
                         articles += 1
                         article = articles
                     stack.append((name, out, name == "header" and article > 0, article))
@@ -266,13 +267,11 @@ def main_text(html: str | None, weights: dict[str, float]) -> str:
         return ""
     inside = [t for t in page.tokens[region[0] : region[1] + 1] if t.words]
     first, last = inside[0].block, inside[-1].block
-    words: Counter = Counter()
-    for t in inside:
-        words[t.article] += t.words
-    article = words.most_common(1)[0][0]
-    if article:
-        own = [i for i, a in enumerate(page.article_of) if a == article]
-        first, last = own[0], own[-1]
+    article = inside[0].article, inside[-1].article
+    if article[0]:
+        first = min(first, page.article_of.index(article[0]))
+    if article[1]:
+        last = max(last, len(page.article_of) - 1 - page.article_of[::-1].index(article[1]))
     return page.text_of(first, last)
 
 

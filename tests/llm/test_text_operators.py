@@ -34,6 +34,22 @@ def test_main_text(body, text):
     assert H.main_text(PAGE % body, {}) == text
 
 
+@pytest.mark.parametrize(
+    "body, text",
+    [
+        ("<main><h1>Title</h1><p>lead</p><article><p>a body of many words is here</p></article></main>", "Title\nlead\na body of many words is here"),
+        ("<main><article><p>one two three four</p></article><p>x</p><article><p>five six seven eight nine</p></article></main>",
+         "one two three four\nx\nfive six seven eight nine"),
+        ("<article><p>one two three four five six</p></article><article><p>seven eight nine ten eleven twelve thirteen</p></article>",
+         "one two three four five six\nseven eight nine ten eleven twelve thirteen"),
+        ("<article><h2>Head</h2><p>one two three four five six seven</p></article><p>and some more words after it</p>",
+         "Head\none two three four five six seven\nand some more words after it"),
+    ],
+)
+def test_region_is_only_widened(body, text):
+    assert H.main_text(PAGE % body, {}) == text
+
+
 def test_broken_and_empty_pages():
     assert H.main_text(None, {}) == H.main_text("", {}) == H.main_text("<p></p>", {}) == ""
     assert H.main_text(" just \n text &lt;x&gt; ", {}) == "just text <x>"
