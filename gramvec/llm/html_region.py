@@ -14,6 +14,13 @@ Elements that are never main text by name, class, id or role (``SKIPPED``,
 scripts, styles, reader comments) score as a single tag and their text is left
 out, inside the region too. Of a header inside an article its headings stay.
 
+A class, id or role counts if all of it is known names, but for affixes
+(``AFFIXES``: "nav-menu", "site-footer", "comments-wrapper"); ids of headings
+and text blocks don't count. Inside an article an element named so, other than
+reader comments, goes only if half of its words are links or it has
+``FEW_WORDS`` at most; a heading or text block only by its links. Outside, an
+element that holds an article stays.
+
 Character references are decoded, white space inside a block becomes one
 space, and blocks are joined by a line feed in page order. A null or empty
 html gives an empty text; html without tags is one block; unclosed tags,
@@ -53,7 +60,14 @@ SKIPPED_NAMES = set(
 )
 COMMENTS = {"comment", "comments", "reply", "replies"}
 # A name that says something about the page around it, such as "has-sidebar".
-ABOUT = {"has", "no", "with", "without", "is", "wrap", "wrapper", "layout"}
+ABOUT = {"has", "no", "with", "without", "is", "layout"}
+#: Parts of a name that don't change what its other parts say.
+AFFIXES = set(
+    """area bar block body bottom box container desktop entry footer global header holder inner item items left link links list
+    main mobile outer page panel post primary right secondary section site slot top unit wrap wrapper""".split()
+)
+#: Words of an element inside an article that its name alone can take out, at most; and how much of it is looked at.
+FEW_WORDS, LOOKED_AT = 30, 20_000
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that hold blocks, and blocks that the next block ends.
@@ -67,7 +81,7 @@ TAG = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)",
     re.S,
 )
-NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+NAMES = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?=\s|/|$)|hidden\s*=|aria-hidden\s*=\s*[\"']?true)", re.I)
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 SPACE = re.compile(r"\s+")
@@ -82,6 +96,49 @@ class Token(NamedTuple):
     article: int
 
 
+def names_of(name: str, attributes: str) -> set[str]:
+    """The parts of each class, id and role of element ``name`` that is made of ``SKIPPED_NAMES`` and affixes."""
+    out: set[str] = set()
+    for m in NAMES.finditer(attributes):
+        if m[1].lower() == "id" and name in BLOCKS:
+            continue
+        for one in (m[2] or m[3] or m[4] or "").split():
+            parts = {x for x in re.split(r"[^a-z]+", CAMEL.sub("-", one).lower()) if len(x) > 1}
+            if not parts & ABOUT and parts <= SKIPPED_NAMES | AFFIXES:
+                out |= parts & SKIPPED_NAMES
+    return out
+
+
+def looked_at(name: str, html: str, at: int) -> tuple[int, int, bool]:
+    """Words of the element ``name`` that begins at ``at``, those in links, and whether it holds an ``article`` or ``main``."""
+    end = min(len(html), at + LOOKED_AT)
+    words, linked, content, link, depth = 0, 0, False, False, 1
+    while at < end:
+        m = TAG.search(html, at)
+        n = len(html[at : min(end, m.start()) if m else end].split())
+        words += n
+        linked += n if link else 0
+        if not m or m.start() >= end:
+            break
+        at = m.end()
+        closing, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        tag = (tag or "").lower()
+        if not closing and name in BLOCKS and (tag in BLOCKS or tag in CONTAINERS):
+            break
+        if not closing and tag in CONTENT and not names_of(tag, attributes or "") & COMMENTS:
+            content = True
+        if tag == "a":
+            link = not closing
+        if tag == name:
+            depth += -1 if closing else 1
+            if not depth:
+                break
+        if tag in RAW and not closing:
+            stop = re.compile(rf"</{tag}", re.I).search(html, at)
+            at = stop.start() if stop else at
+    return words, linked, content
+
+
 class Page:
     """The tokens of a page and the texts of its blocks."""
 
@@ -124,7 +181,7 @@ class Page:
                 continue
             name = name.lower()
             if not closing:
-                out = self._skips(name, attributes or "", article)
+                out = not skipped and self._skips(name, attributes or "", article, html, at)
                 if not skipped:
                     self.tokens.append(Token(f"tag {'inline' if name in INLINE else 'skipped' if out else name}", 0, len(self.blocks) - 1, article))
                 if name in RAW and not (attributes or "").endswith("/"):
@@ -169,7 +226,7 @@ class Page:
                     part()
 
     @staticmethod
-    def _skips(name: str, attributes: str, article: int) -> bool:
+    def _skips(name: str, attributes: str, article: int, html: str, at: int) -> bool:
         if name in SKIPPED:
             return True
         if name in ("html", "body"):
@@ -178,14 +235,17 @@ class Page:
             return True
         if not attributes:
             return False
-        found: set[str] = set()
-        for m in NAMES.finditer(attributes):
-            for one in (m[1] or m[2] or m[3] or "").split():
-                parts = {x for x in re.split(r"[^a-z]+", CAMEL.sub("-", one).lower()) if x}
-                found |= parts if not parts & ABOUT else set()
+        found = names_of(name, attributes)
         if name in CONTENT:
             return bool(found & COMMENTS)
-        return bool(found & SKIPPED_NAMES) or bool(HIDDEN.search(attributes))
+        if found & COMMENTS or HIDDEN.search(attributes):
+            return True
+        if not found:
+            return False
+        words, linked, content = looked_at(name, html, at)
+        if not article:
+            return not content
+        return 2 * linked >= max(1, words) or (name not in BLOCKS and words <= FEW_WORDS)
 
     def text_of(self, first: int, last: int) -> str:
         """Blocks ``first`` to ``last`` (inclusive), cleaned and joined."""

@@ -50,6 +50,40 @@ def test_region_is_only_widened(body, text):
     assert H.main_text(PAGE % body, {}) == text
 
 
+LONG = " ".join(["word"] * 40)
+
+
+@pytest.mark.parametrize(
+    "part, kept",
+    [
+        ("<h2 id='related-work'>Some text</h2>", True),
+        ("<h2 id='social'>Some text</h2>", True),
+        ("<h2 id='social-impact'>Some text</h2>", True),
+        (f"<section id='legal-basis'><p>Some text {LONG}</p></section>", True),
+        (f"<section id='legal'><p>Some text {LONG}</p></section>", True),
+        ("<div class='survey-results'><p>Some text</p></div>", True),
+        ("<p class='teaser'>Some text</p>", True),
+        ("<p class='related'><a href='/x'>Some text</a></p>", False),
+        ("<div class='newsletter-box'><p>Some text</p></div>", False),
+        (f"<div class='related'><a href='/x'>Some text {LONG}</a></div>", False),
+        (f"<div class='comments-wrapper'><p>Some text {LONG}</p></div>", False),
+        (f"<section id='post-comments'><p>Some text {LONG}</p></section>", False),
+        ("<div class='nav-wrapper'><p>Some text</p></div>", False),
+    ],
+)
+def test_names_inside_an_article(part, kept):
+    found = H.main_text(PAGE % f"<article><p>{LONG}</p>{part}<p>{LONG}</p></article>", {})
+    assert ("Some text" in found) == kept and found.count(LONG) >= 2
+
+
+def test_names_outside_an_article():
+    for name in ("site-footer", "sidebar-wrapper", "cookieNotice", "teaser"):
+        page = f"<div class='{name}'><p>Some text {LONG}</p></div>"
+        assert H.main_text(PAGE % f"<p>{LONG}</p>{page}<p>{LONG}</p>", {}) == f"{LONG}\n{LONG}"
+    page = f"<div class='sidebar-wrapper'><main><p>{LONG}</p></main></div>"
+    assert H.main_text(PAGE % page, {}) == LONG
+
+
 def test_broken_and_empty_pages():
     assert H.main_text(None, {}) == H.main_text("", {}) == H.main_text("<p></p>", {}) == ""
     assert H.main_text(" just \n text &lt;x&gt; ", {}) == "just text <x>"
