@@ -9,14 +9,19 @@ from gramvec.llm.common import table
 from gramvec.llm.html_region import extract
 from gramvec.llm.huffman_ids import huffman_round_trip
 from gramvec.llm.language_codes import identify
+from gramvec.llm.merkle_butterfly import lowered, verified_manifest
+from gramvec.llm.merkle_butterfly import oracle as merkle_oracle
 from gramvec.llm.mixing import mix_digest
 from gramvec.llm.mixing import oracle as mixing_oracle
 from gramvec.llm.packing import pack
+from gramvec.llm.phrase_fingerprints import collocations
+from gramvec.llm.phrase_fingerprints import oracle as phrase_oracle
 from gramvec.llm.risk_rules import quality_verdicts
 from gramvec.llm.scaled_sketch import edit_likeness
 from gramvec.llm.secret_index import listed, secret_spans
 from gramvec.llm.secret_index import oracle as secret_oracle
 from gramvec.llm.simhash_pivots import near_duplicates
+from gramvec.llm.subword_quality import quality_scores
 from gramvec.llm.warc_bundles import warc_round_trip
 
 QUERIES: dict = {}
@@ -109,3 +114,22 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and the components of those within two bits."""
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register("op11_subword_quality")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of all documents, learned from the folds that aren't held out."""
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op12_merkle_butterfly", merkle_oracle())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Merkle manifest of all documents, held against a copy in which every third text is in lower case."""
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    return verified_manifest(table(spark, sf_dir, "documents"), tampered, {"text": lowered(F.col("text"))})
+
+
+@register("op13_phrase_fingerprints", phrase_oracle())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The collocations of all documents, per language."""
+    return collocations(table(spark, sf_dir, "documents"))

@@ -4,7 +4,7 @@ import random
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that the operators use for columns of their own.
-CLASHING = ["fp", "n", "key", "root", "ids", "size", "words", "block", "spans", "stratum", "start", "first", "rules", "n_words", "u", "v", "row"]
+CLASHING = ["fp", "n", "key", "root", "ids", "size", "words", "block", "spans", "stratum", "start", "first", "rules", "n_words", "u", "v", "row", "tree", "leaf", "other", "at", "label", "held_out", "w", "own", "id", "phrase"]
 
 
 def words(rng, n, stems=("an", "be", "co", "du", "el", "fi", "go", "hu")):
