@@ -6,8 +6,8 @@ contiguous occurrences, by Rabin-Karp fingerprints:
 
 1. Texts are packed into blocks of one language and about ``BLOCK`` bytes.
    A longer text is cut at a break; where it has none, between words, and the
-   block carries the next words, so that every phrase lies in one block as its
-   own.
+   block carries the next words along, uncounted, so that every phrase lies
+   whole in the block that counts it.
 2. In each block, prefix polynomials over the bytes give the hash of every
    word and prefix polynomials over these the fingerprint of every run of 1 to
    ``LONGEST`` words. The block's distinct fingerprints, in order, go with
@@ -17,15 +17,21 @@ contiguous occurrences, by Rabin-Karp fingerprints:
    with a bit per pointer: whether the total reaches ``LEAST``.
 4. Each block follows the pointers with a bit set into its text, compares
    every occurrence with the first one of its fingerprint, word by word, and
-   writes phrases with exact counts; occurrences that merely collide are
-   written under their own text. The counts by text are the result; only
-   fingerprints that may be frequent were ever turned into text.
-
-A collision can only let a rare phrase through to step 4, where its own count
-drops it. Blocks are bounded by bytes and buckets hold about ``PER_BUCKET``
-blocks' worth of fingerprints; a frequent phrase has one fingerprint a block,
-so no group follows its frequency. With more memory a task, raise both: the
-number of (block, bucket) rows falls with their product.
+   sends the phrases of a bucket there, as text, with their counts; occurrences
+   that merely collide go under their own text.
+5. A bucket adds up the counts of equal texts, which settles collisions between
+   blocks too, and answers each block with the totals of its phrases and which
+   of them it is the first to hold.
+6. The parts of a phrase stand where it stands, so each block has all counts
+   that the score of its phrases needs: it writes each phrase that it is the
+   first to hold with its best cut, and marks the shorter ones it covers.
+
+A collision can only let a rare phrase through to step 4; its own count drops
+it. Only fingerprints that may be frequent are ever turned into text. Blocks
+are bounded by bytes and buckets hold about ``PER_BUCKET`` blocks' worth of
+fingerprints; a frequent phrase has one entry a block, so no group follows its
+frequency. With more memory a task, raise both: the number of (block, bucket)
+rows falls with their product.
 
 Null texts are empty, a null language is ``und``. Rows without doc_id and
 repeated rows count like any other; extra columns are ignored; an empty table
@@ -42,13 +48,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gramvec.llm.common import staged
 from gramvec.operators.joins import bounded_join
-from gramvec.session import scratch_path
 
 LONGEST = 3
 LEAST = 10
@@ -93,11 +99,12 @@ def cut(data: bytes, block: int) -> Iterator[tuple[bytes, int]]:
 
 
 def blocks_of(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``id, lang, own, text``: all texts in lower case, packed by language, written once."""
+    """``id, lang, own, text``: all texts in lower case, packed by language, written once (and as Zstandard frames)."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def row(lang: str, own: int, data: bytes) -> pa.RecordBatch:
-            return pa.record_batch([pa.array([lang], pa.string()), pa.array([own], pa.int64()), pa.array([data], pa.binary())], ["lang", "own", "text"])
+            packed = zstandard.ZstdCompressor(level=3).compress(data)
+            return pa.record_batch([pa.array([lang], pa.string()), pa.array([own], pa.int64()), pa.array([packed], pa.binary())], ["lang", "own", "text"])
 
         held: dict[str, list[bytes]] = {}
         size: Counter = Counter()
@@ -118,9 +125,11 @@ def blocks_of(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text").cast("binary").alias("text"))
     packed = rows.mapInArrow(pack, "lang string, own long, text binary").withColumn("id", F.monotonically_increasing_id())
-    path = scratch_path(docs.sparkSession, "phrase-blocks")
-    packed.write.option("compression", "zstd").parquet(path)
-    return docs.sparkSession.read.parquet(path)
+    return staged(packed, "phrase-blocks")
+
+
+def plain(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
 
 
 # ----------------------------------------------------------------- fingerprints
@@ -171,8 +180,8 @@ class Words:
         self.hash = (h ^ (h >> np.uint64(32))) * _MIX
 
     def keys(self, n: int, lang: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """Fingerprints (``bits`` + ``TAIL`` bits) of the own runs of ``n`` words, and the words where they start."""
-        at = np.arange(min(self.own, max(0, len(self.first) - n + 1)))
+        """Fingerprints (``bits`` + ``TAIL`` bits) of all runs of ``n`` words, and the words where they start; own ones come first."""
+        at = np.arange(max(0, len(self.first) - n + 1))
         at = at[self.piece[at] == self.piece[at + n - 1]]
         seed = int.from_bytes(hashlib.blake2b(f"{n}|{lang}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big")
         h = run_hashes(self.hash, at, at + n) + np.uint64(seed)
@@ -236,7 +245,11 @@ def sent(blocks: DataFrame, bits: int, longest: int) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 at, lang, own, data = (batch.column(c)[i].as_py() for c in ("id", "lang", "own", "text"))
-                keys, counts = np.unique(np.concatenate([k for k, _ in all_keys(Words(data, own), lang, bits, longest)]), return_counts=True)
+                words = Words(plain(data), own)
+                found = all_keys(words, lang, bits, longest)
+                keys, counts = np.unique(np.concatenate([k for k, _ in found]), return_counts=True)
+                for k, at_word in found:  # runs that start in the words carried along have pointers but no count
+                    np.subtract.at(counts, np.searchsorted(keys, k[at_word >= words.own]), 1)
                 edge = bucket_edges(keys, bits)
                 full = np.flatnonzero(np.diff(edge))
                 small = np.minimum(counts, 255).astype(np.uint8)
@@ -277,116 +290,210 @@ def answered(rows: DataFrame, least: int) -> DataFrame:
     return rows.groupBy("bucket").applyInPandas(run, "id long, bucket long, bits binary")
 
 
-def frequent_in(words: Words, lang: str, bits: int, longest: int, answers: list) -> Iterator[tuple[int, bytes, int]]:
-    """``(n, phrase, count)`` of the block's runs whose pointer was answered with a set bit, told apart by text."""
-    found = all_keys(words, lang, bits, longest)
-    keys = np.unique(np.concatenate([k for k, _ in found]))
-    edge = bucket_edges(keys, bits)
-    wanted = np.zeros(len(keys), bool)
-    for a in answers:
-        lo, hi = edge[a["bucket"]], edge[a["bucket"] + 1]
-        wanted[lo:hi] = np.unpackbits(np.frombuffer(a["bits"], np.uint8), count=hi - lo).astype(bool)
-    keys = keys[wanted]
-    if not len(keys):
-        return
-    ids = words.ids()
-    for n, (own, at) in enumerate(found, 1):
-        place = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-        hit = keys[place] == own
-        place, at = place[hit], at[hit]
-        if not len(at):
-            continue
-        order = np.argsort(place, kind="stable")
-        place, at = place[order], at[order]
-        begin = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-        rep = np.repeat(at[begin], np.diff(np.append(begin, len(at))))
-        same = np.ones(len(at), bool)
-        for k in range(n):
-            same &= ids[at + k] == ids[rep + k]
-        for first, count in zip(at[begin].tolist(), np.add.reduceat(same.astype(np.int64), begin).tolist()):
-            yield n, words.text(first, n), count
-        for phrase, count in Counter(words.text(i, n) for i in at[~same]).items():
-            yield n, phrase, count
-
-
-def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, block: int = BLOCK, per_bucket: int = PER_BUCKET) -> DataFrame:
-    """``lang, words, phrase, f``: exact counts of all runs of up to ``longest`` words that occur ``least`` times or more.
-
-    A row with ``words`` 0 has the number of word occurrences of the language.
+class Entries:
+    """The phrases of a block whose pointers were answered with a set bit, told apart by text, in order of bucket.
+
+    ``size``, ``first`` and ``counts``: words of each phrase, the word where it
+    first starts, and its occurrences. ``of[n]``: the phrase of ``n`` words that
+    starts at each word, or -1. ``edge``: where each bucket's phrases begin.
     """
-    blocks = blocks_of(docs, block)
-    bits = max(5, (blocks.count() // per_bucket).bit_length())
-    answers = answered(sent(blocks, bits, longest), least).groupBy("id").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers"))
+
+    def __init__(self, words: Words, lang: str, bits: int, longest: int, answers: list):
+        self.words = words
+        found = all_keys(words, lang, bits, longest)
+        keys = np.unique(np.concatenate([k for k, _ in found]))
+        edge = bucket_edges(keys, bits)
+        wanted = np.zeros(len(keys), bool)
+        for a in answers:
+            lo, hi = edge[a["bucket"]], edge[a["bucket"] + 1]
+            wanted[lo:hi] = np.unpackbits(np.frombuffer(a["bits"], np.uint8), count=hi - lo).astype(bool)
+        keys = keys[wanted]
+        ids = words.ids() if len(keys) else None
+        size, first, counts, bucket, of = [], [], [], [], [np.zeros(0, np.int64)]
+        total = 0
+        for n, (own, at) in enumerate(found, 1):
+            numbers = np.full(len(words.first), -1, np.int64)
+            if len(keys):
+                place = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+                hit = keys[place] == own
+                place, at = place[hit], at[hit]
+                order = np.argsort(place, kind="stable")
+                place, at = place[order], at[order]
+                begin = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(at) else np.zeros(0, np.int64)
+                group = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(at))))
+                rep = at[begin][group]
+                same = np.ones(len(at), bool)
+                for k in range(n):
+                    same &= ids[at + k] == ids[rep + k]
+                starts, held = at[begin].tolist(), keys[place[begin]].tolist()
+                if not same.all():  # collisions within the block: entries of their own
+                    others: dict[tuple, int] = {}
+                    for j in np.flatnonzero(~same).tolist():
+                        text = (held[group[j]], words.text(at[j], n))
+                        if text not in others:
+                            others[text] = len(starts)
+                            starts.append(int(at[j]))
+                            held.append(text[0])
+                        group[j] = others[text]
+                numbers[at] = total + group
+                size.append(np.full(len(starts), n, np.int64))
+                first.append(np.array(starts, np.int64))
+                counts.append(np.bincount(group[at < words.own], minlength=len(starts)))
+                bucket.append(np.array(held, np.uint64) >> np.uint64(TAIL))
+                total += len(starts)
+            of.append(numbers)
+        empty = [np.zeros(0, np.int64)]
+        bucket = np.concatenate(bucket or empty).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        back = np.empty(total + 1, np.int64)
+        back[order], back[total] = np.arange(total), -1
+        self.size, self.first, self.counts = (np.concatenate(x or empty)[order] for x in (size, first, counts))
+        self.of = [back[x] for x in of]
+        self.edge = np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
+
+    def texts(self, some: slice) -> bytes:
+        """The texts of some entries, each ended by a line feed."""
+        w, n = self.words, self.size[some]
+        start, last = w.first[self.first[some]], w.last[self.first[some] + n - 1]
+        odd = np.zeros(len(n), bool)  # words that more or other than one space parts
+        for k in range(1, int(n.max(initial=1))):
+            at = self.first[some][n > k] + k
+            odd[n > k] |= (w.first[at] - w.last[at - 1] != 1) | (w.bytes[w.first[at] - 1] != 32)
+        source = w.bytes
+        if odd.any():
+            made = [w.text(i, k) for i, k in zip(self.first[some][odd].tolist(), n[odd].tolist())]
+            sizes = np.array([len(x) for x in made])
+            start, last = start.copy(), last.copy()
+            start[odd] = len(source) + np.cumsum(sizes) - sizes
+            last[odd] = start[odd] + sizes
+            source = np.concatenate([source, np.frombuffer(b"".join(made), np.uint8)])
+        long = last - start + 1
+        to = np.cumsum(long)
+        out = source[np.minimum(np.arange(to[-1] if len(to) else 0) + np.repeat(start - to + long, long), len(source) - 1)]
+        out[to - 1] = 10
+        return out.tobytes()
+
+
+def told(blocks: DataFrame, bits: int, longest: int) -> DataFrame:
+    """``id, lang, bucket, texts, counts``: each block's phrases that may be frequent, by bucket. ``blocks`` has their ``answers``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for i in range(batch.num_rows):
-                lang, own, data, answer = (batch.column(c)[i].as_py() for c in ("lang", "own", "text", "answers"))
-                words = Words(data, own)
-                rows = [(0, b"", words.own), *(frequent_in(words, lang, bits, longest, answer) if answer else [])]
-                for at in range(0, len(rows), 1 << 15):
-                    n, phrase, count = zip(*rows[at : at + (1 << 15)])
+                at, lang, own, data, answers = (batch.column(c)[i].as_py() for c in ("id", "lang", "own", "text", "answers"))
+                e = Entries(Words(plain(data), own), lang, bits, longest, answers)
+                full = np.flatnonzero(np.diff(e.edge))
+                for some in np.array_split(full, -(-len(full) // 64)) if len(full) else []:
+                    spans = [slice(e.edge[b], e.edge[b + 1]) for b in some]
                     yield pa.record_batch(
-                        [pa.array([lang] * len(n), pa.string()), pa.array(n, pa.int32()), pa.array(phrase, pa.binary()), pa.array(count, pa.int64())],
-                        ["lang", "words", "phrase", "f"],
+                        [
+                            pa.array([at] * len(some), pa.int64()),
+                            pa.array([lang] * len(some), pa.string()),
+                            pa.array(some, pa.int64()),
+                            pa.array([pack.compress(e.texts(s)) for s in spans], pa.binary()),
+                            pa.array([pack.compress(e.counts[s].astype(np.uint32).tobytes()) for s in spans], pa.binary()),
+                        ],
+                        ["id", "lang", "bucket", "texts", "counts"],
                     )
 
-    # only the answers are held in memory by the join, a bit for each fingerprint of the blocks of a partition
-    joined = blocks.join(answers.hint("shuffle_hash"), "id", "left").select("lang", "own", "text", "answers")
-    counted = joined.mapInArrow(run, "lang string, words int, phrase binary, f long").groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"))
-    exact = counted.where((F.col("f") >= least) | (F.col("words") == 0))
-    return staged(exact.select("lang", "words", F.col("phrase").cast("string").alias("phrase"), "f"), "phrase-counts")
+    return blocks.mapInArrow(run, "id long, lang string, bucket long, texts binary, counts binary")
 
 
-# ----------------------------------------------------------------- collocations
-def key_of(lang: Column, phrase: Column) -> Column:
-    """One string for language and phrase; a phrase has no line end."""
-    return F.concat(lang, F.lit("\n"), phrase)
+def settled(rows: DataFrame) -> DataFrame:
+    """``id, bucket, totals``: for each phrase of a block's bucket twice its total by text, and 1 more where the block is the first."""
 
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("id")
+        known: dict[tuple[str, bytes], int] = {}
+        totals: list[int] = []
+        places = []
+        for lang, texts, counts in zip(group["lang"], group["texts"], group["counts"]):
+            place = []
+            for text, n in zip(plain(texts).split(b"\n"), np.frombuffer(plain(counts), np.uint32).tolist()):
+                at = known.setdefault((lang, text), len(totals))
+                if at == len(totals):
+                    totals.append(n)
+                    place.append(2 * at + 1)
+                else:
+                    totals[at] += n
+                    place.append(2 * at)
+            places.append(np.array(place, np.int64))
+        summed, pack = np.array(totals, np.int64), zstandard.ZstdCompressor(level=3)
+        answers = [pack.compress((2 * summed[p >> 1] + (p & 1)).tobytes()) for p in places]
+        return pd.DataFrame({"id": group["id"], "bucket": group["bucket"], "totals": answers})
+
+    return rows.groupBy("bucket").applyInPandas(run, "id long, bucket long, totals binary")
+
+
+def best_cut(a: int, parts: list[tuple[int, int]]) -> tuple[int, int, int]:
+    """``(score, l, r)`` of the lowest-scoring cut, the earliest of equal ones; exact at any size."""
+    return min(((1_000_000 * a * a // (left * right), left, right) for left, right in parts), key=lambda x: x[0])
+
+
+def scored(blocks: DataFrame, bits: int, longest: int, least: int, covered: int) -> DataFrame:
+    """Rows of phrases with ``a, l, r, score``, of phrases ``dropped``, and of each block's words ``n`` (no phrase)."""
+    names = ["lang", "phrase", "a", "l", "r", "score", "dropped", "n"]
+
+    def rows_of(e: Entries, totals: np.ndarray, first: np.ndarray) -> Iterator[tuple]:
+        seen: set[int] = set()
+        for x in np.flatnonzero(first & (e.size > 1) & (totals >= least)).tolist():
+            n, at, a = int(e.size[x]), int(e.first[x]), int(totals[x])
+            count = [[int(totals[e.of[m][at + i]]) for i in range(n - m + 1)] for m in range(1, n)]
+            score, left, right = best_cut(a, [(count[k - 1][0], count[n - k - 1][k]) for k in range(1, n)])
+            yield e.words.text(at, n), a, left, right, score, False, None
+            for m in range(2, n):
+                for i in range(n - m + 1):
+                    inner = int(e.of[m][at + i])
+                    if 100 * a >= covered * count[m - 1][i] and inner not in seen:
+                        seen.add(inner)
+                        yield e.words.text(at + i, m), None, None, None, None, True, None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.binary(), *[pa.int64()] * 4, pa.bool_(), pa.int64()]
+        for batch in batches:
+            for i in range(batch.num_rows):
+                lang, own, data, answers, sums = (batch.column(c)[i].as_py() for c in ("lang", "own", "text", "answers", "sums"))
+                words = Words(plain(data), own)
+                rows = [(None, None, None, None, None, False, words.own)]
+                if sums:
+                    e = Entries(words, lang, bits, longest, answers)
+                    totals = np.zeros(len(e.size), np.int64)
+                    for s in sums:
+                        totals[e.edge[s["bucket"]] : e.edge[s["bucket"] + 1]] = np.frombuffer(plain(s["totals"]), np.int64)
+                    rows += rows_of(e, totals >> 1, totals & 1 == 1)
+                for at in range(0, len(rows), 1 << 15):
+                    some = list(zip(*rows[at : at + (1 << 15)]))
+                    yield pa.record_batch([pa.array([lang] * len(some[0]), pa.string()), *map(pa.array, some, kinds)], names)
 
-def score(a: Column, left: Column, right: Column) -> Column:
-    """``floor(1000000 * a * a / (left * right))``, exact up to counts of 10^15."""
-    a, left, right = (c.cast("decimal(19,0)") for c in (a, left, right))
-    return F.call_function("div", a * a * F.lit(1_000_000).cast("decimal(7,0)"), left * right)
+    return blocks.mapInArrow(run, "lang string, phrase binary, a long, l long, r long, score long, dropped boolean, n long")
 
 
-def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, covered: int = COVERED, top: int = TOP, **sizes) -> DataFrame:
+def collocations(
+    docs: DataFrame, longest: int = LONGEST, least: int = LEAST, covered: int = COVERED, top: int = TOP, block: int = BLOCK, per_bucket: int = PER_BUCKET
+) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score`` of the ``top`` phrases of each language.
 
-    Of the ways to cut a phrase in two, the lowest-scoring one counts (ties:
-    the earliest). Phrases inside a longer one that has ``covered`` per cent of
-    their count or more are dropped.
+    ``least`` is 1 or more. Of the ways to cut a phrase in two, the
+    lowest-scoring one counts (ties: the earliest). Phrases inside a longer one
+    that has ``covered`` per cent of their count or more are dropped.
     """
-    counts = phrase_counts(docs, longest, least, **sizes)
-    table = counts.where("words > 0").select(key_of(F.col("lang"), F.col("phrase")).alias("key"), "f")
-    rows, wide = table.agg(F.count(F.lit(1)), F.max(F.octet_length("key"))).first()
-    width = 48 + (wide or 0)  # measured: the counts are broadcast only if all of them fit
-    found = counts.where("words > 1").select("lang", "phrase", F.split("phrase", " ").alias("w"), F.col("f").alias("a"))
-    size = F.size("w")
-    parts = found.select("lang", "phrase", "w", "a", F.explode(F.sequence(F.lit(1), size - 1)).alias("k"))
-    sides = parts.select(
-        "lang",
-        "phrase",
-        "a",
-        "k",
-        key_of(F.col("lang"), F.array_join(F.slice("w", F.lit(1), F.col("k")), " ")).alias("left_key"),
-        key_of(F.col("lang"), F.array_join(F.slice("w", F.col("k") + 1, F.size("w")), " ")).alias("right_key"),
-    )
-    for side, name in (("left_key", "l"), ("right_key", "r")):
-        sides = bounded_join(sides, table.select(F.col("key").alias(side), F.col("f").alias(name)), side, rows, width)
-    best = sides.withColumn("score", score(F.col("a"), F.col("l"), F.col("r"))).groupBy("lang", "phrase").agg(
-        F.first("a").alias("a"), F.min(F.struct("score", "k", "l", "r")).alias("cut")
-    )
-    # the most frequent longer phrase around each phrase
-    inner = found.where(size > 2).select("lang", "w", F.col("a").alias("around"), F.explode(F.sequence(F.lit(2), size - 1)).alias("m"))
-    inner = inner.select("lang", "around", "w", "m", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("m") + 1)).alias("at"))
-    longer = inner.groupBy("lang", F.array_join(F.slice("w", F.col("at"), F.col("m")), " ").alias("phrase")).agg(F.max("around").alias("around"))
-    kept = best.join(longer, ["lang", "phrase"], "left").where(F.col("around").isNull() | (100 * F.col("around") < covered * F.col("a")))
-    kept = staged(kept.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score"), "phrase-scores")
-    totals = counts.where("words = 0").select("lang", F.col("f").alias("n"))
+    blocks = blocks_of(docs, block)
+    bits = max(5, (blocks.count() // per_bucket).bit_length())
+    # the joins hold answers in memory, not texts: bits and totals for the phrases of a partition's blocks
+    bits_of = answered(sent(blocks, bits, longest), least).groupBy("id").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers"))
+    asked = staged(bits_of, "phrase-answers")
+    held = told(blocks.join(asked.hint("shuffle_hash"), "id"), bits, longest)
+    sums = settled(held).groupBy("id").agg(F.collect_list(F.struct("bucket", "totals")).alias("sums"))
+    full = blocks.join(asked.join(sums, "id").hint("shuffle_hash"), "id", "left")
+    rows = scored(full, bits, longest, least, covered).groupBy("lang", "phrase")
+    columns = [F.max(c).alias(c) for c in ("a", "l", "r", "score", "dropped")]
+    table = staged(rows.agg(*columns, F.sum("n").alias("n")).withColumn("phrase", F.col("phrase").cast("string")), "phrase-scores")
+    kept = table.where("a IS NOT NULL AND NOT dropped").select("lang", "phrase", "a", "l", "r", "score")
+    totals = table.where("phrase IS NULL").select("lang", "n")
     langs, wide = totals.agg(F.count(F.lit(1)), F.max(F.octet_length("lang"))).first()
-    full = bounded_join(ranked(kept, top), totals, "lang", langs, 48 + (wide or 0))
-    return full.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    found = bounded_join(ranked(kept, top), totals, "lang", langs, 48 + (wide or 0))
+    return found.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
 def ranked(rows: DataFrame, top: int) -> DataFrame:

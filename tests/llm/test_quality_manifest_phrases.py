@@ -246,12 +246,25 @@ def test_collisions_are_told_apart_by_text():
     data = b"aa bb aa cc. bb aa bb dd\naa\tbb"
     words = Same(data, len(data))
     assert len(set(words.ids().tolist())) == 4
-    answers = [{"bucket": 0, "bits": bytes([0b11100000])}]
-    found = Counter()
-    for n, phrase, count in P.frequent_in(words, "en", 5, 3, answers):
-        found[n, phrase.decode()] += count
+    e = P.Entries(words, "en", 5, 3, [{"bucket": 0, "bits": bytes([0b11100000])}])
+    texts = e.texts(slice(0, len(e.size))).decode().split("\n")[:-1]
     f, _ = brute_counts([("en", data.decode())])
-    assert {k[1]: v for k, v in found.items() if v} == {k[1]: v for k, v in f.items()}
+    assert dict(zip(texts, e.counts.tolist())) == {k[1]: v for k, v in f.items()} and len(texts) == len(f)
+    for n in (1, 2, 3):
+        for at in range(len(words.first)):
+            if e.of[n][at] >= 0:
+                assert texts[e.of[n][at]] == words.text(at, n).decode()
+
+
+def test_collisions_between_blocks_are_settled_by_text(spark):
+    import zstandard
+
+    pack = zstandard.ZstdCompressor().compress
+    count = lambda *n: pack(np.array(n, np.uint32).tobytes())
+    rows = [(4, "en", 7, pack(b"a b\nc\n"), count(3, 4)), (2, "en", 7, pack(b"a b\n"), count(8)), (9, "de", 7, pack(b"c\n"), count(5)), (10, "en", 7, pack(b"d\n"), count(1))]
+    df = spark.createDataFrame(rows, "id long, lang string, bucket long, texts binary, counts binary")
+    got = {r["id"]: np.frombuffer(P.plain(r["totals"]), np.int64).tolist() for r in P.settled(df).collect()}
+    assert got == {2: [2 * 11 + 1], 4: [2 * 11, 2 * 4 + 1], 9: [2 * 5 + 1], 10: [2 * 1 + 1]}
 
 
 def test_long_texts_are_cut_between_words():
@@ -263,7 +276,7 @@ def test_long_texts_are_cut_between_words():
         for p, own in parts:
             words = P.Words(p, own)
             _, at = words.keys(3, "en", 5)
-            again.update(words.text(i, 3) for i in at)
+            again.update(words.text(i, 3) for i in at[at < words.own])
         assert again == whole
 
 
@@ -275,7 +288,7 @@ def test_phrases_of_odd_rows(spark):
     assert P.collocations(empty(spark)).count() == 0
 
 
-def test_scores_are_exact_beyond_64_bits(spark):
+def test_scores_are_exact_beyond_64_bits():
     a, l, r = 123_456_789_012, 987_654_321_098, 123_456_789_013
-    row = spark.createDataFrame([(a, l, r)], "a long, l long, r long")
-    assert row.select(P.score(F.col("a"), F.col("l"), F.col("r"))).first()[0] == 1_000_000 * a * a // (l * r)
+    assert P.best_cut(a, [(l, r)]) == (1_000_000 * a * a // (l * r), l, r)
+    assert P.best_cut(10, [(20, 20), (40, 10), (10, 40)]) == (250_000, 20, 20)
