@@ -5,23 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gramvec.functions.hashing import hash_uniform
-from gramvec.operators.ordinals import global_ordinal
-from gramvec.operators.pairs import PAIR_KEY
+from gramvec.functions.permute import permuted
+from gramvec.operators.coded import coded_pairs, coded_samples
+from gramvec.operators.ordinals import ordinal_in_place
 from gramvec.operators.samples import pad_expr
 
 # Fixed value: the sharded writer moves to the next file every 1000 batches.
 SHARD_SWITCH_EVERY = 1000
 
 
-def sample_ordinals(samples: DataFrame, batch_size: int):
+def sample_ordinals(sentences: DataFrame, batch_size: int, skip_window: int, seed: int):
     """Position of every sample in stream order (pass, doc, sentence, pos, off).
 
-    Returns ``(DataFrame with ord and batch_id, total samples)``. The
-    numbering is a distributed global ordinal, not a one-partition window.
+    ``sentences`` are coded and in stream order (``ordered_sentences``), so
+    their samples are too: a sample's number is the count of earlier
+    partitions plus its place in its own. No sample is shuffled or sorted; the
+    samples are written once. Returns ``(DataFrame with ord and batch_id, total
+    samples)``.
     """
-    df, total = global_ordinal(samples, PAIR_KEY, "ord", with_total=True, stage_input=True)
-    return df.withColumn("batch_id", F.floor(F.col("ord") / int(batch_size)).cast("bigint")), total
+    samples = coded_samples(coded_pairs(sentences, skip_window, seed), seed)
+    out, total = ordinal_in_place(samples, "ord")
+    return out.withColumn("batch_id", F.floor(F.col("ord") / int(batch_size)).cast("bigint")), total
 
 
 def full_batches(total: int, batch_size: int) -> int:
@@ -64,10 +68,9 @@ def with_shards(b: DataFrame, num_batch_files: int) -> DataFrame:
     )
 
 
-def shuffle_order(b: DataFrame, seed: int, round_: int = 0) -> DataFrame:
-    """A full deterministic shuffle: ``shuffle_rank`` by a keyed draw per batch."""
-    ordered = b.select("batch_id").withColumn("_u", hash_uniform(F.lit(int(seed)), F.lit("shuffle"), F.lit(int(round_)), "batch_id"))
-    return global_ordinal(ordered, ["_u", "batch_id"], "shuffle_rank").select("batch_id", "shuffle_rank")
+def shuffle_order(b: DataFrame, n: int, seed: int, round_: int = 0) -> DataFrame:
+    """A full deterministic shuffle of the ``n`` batches: ``shuffle_rank`` by a keyed permutation, without a sort."""
+    return b.select("batch_id", permuted(F.col("batch_id"), n, seed, "shuffle", round_).alias("shuffle_rank"))
 
 
 def flatten_inputs(b: DataFrame) -> DataFrame:

@@ -87,21 +87,3 @@ def lookup_label(pairs: DataFrame, vocab: DataFrame, vocabulary_size: int, frequ
     """``label`` = vocabulary id of the context; out-of-vocabulary contexts vanish."""
     side = vocab.select(F.col("word").alias("context"), F.col("word_id").alias("label"))
     return _vocab_join(pairs, side, vocabulary_size, frequent).select(*PAIR_KEY, "target", "label")
-
-
-def labelled_samples(
-    pairs: DataFrame,
-    vocab: DataFrame,
-    frequent: DataFrame,
-    seed: int,
-    vocabulary_size: int,
-    threshold: float = DEFAULTS["rejection_threshold"],
-) -> DataFrame:
-    """F4 + J1 fused: one join brings the context's label and ``drop_p``, the
-    other the target's ``drop_p``. Same rows as ``lookup_label(subsample(...))``."""
-    side = vocab.select(F.col("word").alias("context"), F.col("word_id").alias("label"), F.col("drop_p").alias("_dp_c"))
-    p = _vocab_join(pairs, side, vocabulary_size, frequent)
-    p = p.where((F.col("_dp_c") <= 0) | (_u(seed, "sub_c", *PAIR_KEY) >= F.col("_dp_c")))
-    p = _with_drop_p(p, frequent, "target", "_dp_t", threshold)
-    p = p.where(F.col("_dp_t").isNull() | (_u(seed, "sub_t", *PAIR_KEY) >= F.col("_dp_t")))
-    return p.select(*PAIR_KEY, "target", "label")

@@ -1,4 +1,4 @@
-"""N-grams and hashed samples."""
+"""N-grams, buckets and padding of words."""
 
 from __future__ import annotations
 
@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from gramvec.functions.hashing import bucket_ids
 from gramvec.functions.text import char_ngrams
-from gramvec.operators.joins import salted_join
-from gramvec.operators.pairs import PAIR_KEY
 
 
 def word_ngrams(words: DataFrame, n: int) -> DataFrame:
@@ -38,24 +36,6 @@ def hot_targets(frequent: DataFrame) -> DataFrame:
     )
 
 
-def hashed_samples(samples: DataFrame, wb: DataFrame, frequent: DataFrame) -> DataFrame:
-    """Attach the target's bucket ids to each sample (P9 + P12).
-
-    The join to the per-word table is salted on the frequent targets (the
-    only keys that can be hot: a word below the threshold holds less than
-    ``threshold`` of the tokens), so no task receives a hot word whole.
-    """
-    j = salted_join(
-        samples,
-        wb.select(F.col("word").alias("_w"), "bucket_ids"),
-        "target",
-        "_w",
-        hot_targets(frequent),
-        PAIR_KEY,
-    )
-    return j.drop("_w")
-
-
 def pad_expr(arr, width) -> F.Column:
     """Right-pad an int array with 0 to ``width`` (never truncates)."""
     a = F.col(arr) if isinstance(arr, str) else arr

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gramvec.functions import text as T
+from gramvec.functions.permute import permuted_ctes
 from gramvec.params import Params
 from gramvec.plans import oracle as O
 from gramvec.sources.corpus import read_documents
@@ -108,6 +109,7 @@ def q_vocabulary(spark, sf_dir):
 
 # ---------------------------------------------------------------- shared builders
 from gramvec.operators import batches as BA  # noqa: E402
+from gramvec.operators import coded as CO  # noqa: E402
 from gramvec.operators import pairs as PA  # noqa: E402
 from gramvec.operators import samples as SA  # noqa: E402
 from gramvec.plans.prepare import Pipeline  # noqa: E402
@@ -190,8 +192,8 @@ def q_repeated_pairs(spark, sf_dir):
     O.with_(*_BASE, _DROPP, _PAIRS, O.subsampled_cte(QP.seed)) + "SELECT * FROM subsampled",
 )
 def q_subsampled_pairs(spark, sf_dir):
-    pl = _pipeline(spark, sf_dir)
-    return PA.subsample(pl.pairs, pl.frequent, QP.seed, QP.rejection_threshold)
+    kept = CO.coded_subsample(_pipeline(spark, sf_dir).coded_pairs, QP.seed)
+    return kept.select(*PA.PAIR_KEY, F.col("tgt")["word"].alias("target"), F.col("ctx")["word"].alias("context"))
 
 
 @register(
@@ -209,9 +211,7 @@ def q_labelled_pairs(spark, sf_dir):
     + "SELECT pass, doc_id, sent_idx, pos, off, label, array_to_string(bucket_ids, ',') AS bucket_ids FROM hashed",
 )
 def q_hashed_samples(spark, sf_dir):
-    pl = _pipeline(spark, sf_dir)
-    h = SA.hashed_samples(pl.samples, pl.word_buckets, pl.frequent)
-    return h.select(*PA.PAIR_KEY, "label", _ints_str("bucket_ids").alias("bucket_ids"))
+    return _pipeline(spark, sf_dir).hashed.select(*PA.PAIR_KEY, "label", _ints_str("bucket_ids").alias("bucket_ids"))
 
 
 @register(
@@ -264,22 +264,25 @@ def q_batch_shards(spark, sf_dir):
 
 @register(
     "shuffled_batches",
-    O.with_(*_ORDERED_CTES)
-    + "SELECT batch_id, CAST(row_number() OVER (ORDER BY u, batch_id) - 1 AS BIGINT) AS shuffle_rank FROM "
-    f"(SELECT DISTINCT batch_id, {O.U(QP.seed, 'shuffle', '0', 'batch_id')} AS u FROM full_hashed)",
+    O.with_(*_ORDERED_CTES, "batch_ids AS (SELECT DISTINCT batch_id FROM full_hashed)", permuted_ctes("batch_ids", "batch_id", QP.seed, "shuffle")).replace(
+        "WITH", "WITH RECURSIVE", 1
+    )
+    + "SELECT batch_id, rank AS shuffle_rank FROM permuted",
 )
 def q_shuffled_batches(spark, sf_dir):
-    return BA.shuffle_order(_pipeline(spark, sf_dir).batches, QP.seed, 0)
+    pl = _pipeline(spark, sf_dir)
+    return BA.shuffle_order(pl.batches, BA.full_batches(pl.total_samples, QP.batch_size), QP.seed, 0)
 
 
-@register(
-    "batch_roundtrip",
-    O.with_(*_ORDERED_CTES)
-    + "SELECT batch_id, string_agg(array_to_string(list_concat(bucket_ids, "
+_STORED_SQL = O.with_(*_ORDERED_CTES) + (
+    "SELECT batch_id, string_agg(array_to_string(list_concat(bucket_ids, "
     "list_transform(range(width - len(bucket_ids)), lambda x: 0)), ','), ';' ORDER BY ord) AS inputs, "
     "string_agg(CAST(label AS VARCHAR), ',' ORDER BY ord) AS labels, CAST(max(width) AS INTEGER) AS width, "
-    f"CAST((batch_id // 1000) % {SHARD_FILES} AS INTEGER) AS shard FROM full_hashed GROUP BY batch_id",
+    f"CAST((batch_id // 1000) % {SHARD_FILES} AS INTEGER) AS shard FROM full_hashed GROUP BY batch_id"
 )
+
+
+@register("batch_roundtrip", _STORED_SQL)
 def q_batch_roundtrip(spark, sf_dir):
     """Write the padded batches as sharded parquet, read them back and reshape."""
     from gramvec.session import scratch_path
@@ -291,6 +294,16 @@ def q_batch_roundtrip(spark, sf_dir):
     return _batch_view(back).join(back.select("batch_id", "shard"), "batch_id")
 
 
+@register("prepare", _STORED_SQL)
+def q_prepare(spark, sf_dir):
+    """The whole preprocessing composite (M1): documents to stored batches, as training reads them."""
+    from gramvec.plans.prepare import prepare
+    from gramvec.session import scratch_path
+
+    _, back = prepare(read_documents(spark, sf_dir), QP.replace(num_batch_files=SHARD_FILES), scratch_path(spark, "prepared"))
+    return _batch_view(back).join(back.select("batch_id", "shard"), "batch_id")
+
+
 # ---------------------------------------------------------------- model
 from gramvec.operators import model as MO  # noqa: E402
 from gramvec.operators import vocab as _VO  # noqa: E402,F401
@@ -480,16 +493,16 @@ def q_nce_loss(spark, sf_dir):
 
 
 def _mean_grads(spark, sf_dir):
-    pl, b, emb, ow, logits = _nce_inputs(spark, sf_dir)
-    grads = MO.nce_gradients(b, logits, QP.batch_size, QP.embedding_size)
-    mean = grads.groupBy("kind", "id").agg(MO.vec_mean(F.col("grad"), QP.embedding_size).alias("mg"), F.avg("grad_bias").alias("mb"))
-    return emb, ow, grads, mean
+    """The initial model and every row's mean gradient; logits and means are written once, both are read twice."""
+    _, b, emb, ow, logits = _nce_inputs(spark, sf_dir)
+    grads = MO.nce_gradients(b, materialize(logits, "logits"), QP.batch_size, QP.embedding_size)
+    return emb, ow, materialize(MO.mean_gradients(grads, QP.embedding_size), "mean-gradients")
 
 
 @register("nce_gradients", O.with_(*_NCE_SQL_BASE, O.nce_grad_ctes(QP.batch_size)) + "SELECT kind, id, d, round(g, 9) AS g FROM grads")
 def q_nce_gradients(spark, sf_dir):
     """Gradient of every touched row, averaged over the batches that touched it (bias of output rows as d = -1)."""
-    _, _, _, mean = _mean_grads(spark, sf_dir)
+    _, _, mean = _mean_grads(spark, sf_dir)
     vec = mean.select("kind", "id", F.posexplode("mg").alias("d", "g"))
     bias = mean.where(F.col("kind") == "w").select("kind", "id", F.lit(-1).alias("d"), F.col("mb").alias("g"))
     out = vec.select("kind", "id", F.col("d").cast("int").alias("d"), "g").unionByName(bias)
@@ -513,16 +526,12 @@ _LR0 = QP.learnrate  # learn rate at step 0
 )
 def q_sgd_step(spark, sf_dir):
     """One synchronous SGD step with every batch's gradient; the rows it updated."""
-    emb, ow, grads, _ = _mean_grads(spark, sf_dir)
-    e2, w2 = MO.sgd_step(emb, ow, grads, _LR0, QP.embedding_size)
-    touched = grads.select("kind", "id").distinct()
-    te = touched.where(F.col("kind") == "e").select(F.col("id").alias("bucket_id"))
-    tw = touched.where(F.col("kind") == "w").select(F.col("id").alias("word_id"))
-    e_rows = _long(e2.join(te, "bucket_id", "left_semi"), ["bucket_id"], "vec", None).select(
+    emb, ow, mean = _mean_grads(spark, sf_dir)
+    e2, w2 = MO.apply_mean(emb, ow, mean, _LR0, touched=True)
+    e_rows = _long(e2, ["bucket_id"], "vec", None).select(
         F.lit("e").alias("kind"), F.col("bucket_id").alias("id"), "d", "x")
-    w_sel = w2.join(tw, "word_id", "left_semi")
-    w_rows = _long(w_sel, ["word_id"], "vec", None).select(F.lit("w").alias("kind"), F.col("word_id").alias("id"), "d", "x")
-    b_rows = w_sel.select(F.lit("w").alias("kind"), F.col("word_id").alias("id"), F.lit(-1).alias("d"), F.col("bias").cast("double").alias("x"))
+    w_rows = _long(w2, ["word_id"], "vec", None).select(F.lit("w").alias("kind"), F.col("word_id").alias("id"), "d", "x")
+    b_rows = w2.select(F.lit("w").alias("kind"), F.col("word_id").alias("id"), F.lit(-1).alias("d"), F.col("bias").cast("double").alias("x"))
     out = e_rows.unionByName(w_rows).unionByName(b_rows)
     return out.select("kind", "id", "d", F.round("x", 9).alias("x"))
 
@@ -592,6 +601,39 @@ def q_fit(spark, sf_dir):
     return log.select("step", "loss", "learnrate")
 
 
+# one batch as its own stream: the first in training order, its negatives drawn for step 0
+_FIRST_BATCH = (
+    "batch_ids AS (SELECT DISTINCT batch_id FROM full_hashed)",
+    permuted_ctes("batch_ids", "batch_id", QP.seed, "order"),
+    f"""one AS (SELECT CAST(0 AS BIGINT) AS batch_id, ord - batch_id * {QP.batch_size} AS ord, label, bucket_ids FROM full_hashed
+      WHERE batch_id = (SELECT batch_id FROM permuted WHERE rank = 0))""",
+)
+
+
+@register(
+    "fit_first_step",
+    O.with_(
+        *_ORDERED_CTES,
+        O.CORPUS_BUCKETS_CTE,
+        O.init_emb_cte(QP.embedding_size, QP.num_buckets, QP.seed),
+        "ow_ids AS (SELECT CAST(unnest(range(%d)) AS INTEGER) AS word_id)" % QP.vocabulary_size,
+        O.init_ow_cte(QP.embedding_size, QP.seed, "ow_ids"),
+        *_FIRST_BATCH,
+        _NEG.replace("full_hashed", "one"),
+        O.nce_ctes(QP.vocabulary_size, QP.batch_size).replace("full_hashed", "one"),
+    ).replace("WITH", "WITH RECURSIVE", 1)
+    + f"SELECT CAST(0 AS BIGINT) AS step, round(sum(greatest(z, 0) - z * y + ln(1 + exp(-abs(z)))) / {QP.batch_size}, 4) AS loss, "
+    f"{QP.learnrate!r} AS learnrate FROM logit",
+)
+def q_fit_first_step(spark, sf_dir):
+    """Training's first step on one worker: the stored batches in training order, the seeded model, the logged loss."""
+    from gramvec.session import scratch_path
+
+    batches = materialize(_pipeline(spark, sf_dir).padded_batches, "batches")
+    log = FT.fit(batches, QP, scratch_path(spark, "model"), workers=1, local_steps=1, max_rounds=1)
+    return log.select("step", F.round("loss", 4).alias("loss"), "learnrate")
+
+
 _CORPUS_TEXT = "text || chr(10) || '.'"
 
 

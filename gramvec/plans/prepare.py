@@ -1,9 +1,10 @@
 """Preprocessing composite (M1): documents -> vocabulary and training batches.
 
 Order follows the original pipeline: sentences, tokens, counts, total,
-drop probabilities, top-k vocabulary; then pairs -> subsample -> label ->
-n-grams -> hash -> batch -> pad. Two tables are written to the shared
-checkpoint folder on the way (word counts and the ordered samples) so the
+drop probabilities, top-k vocabulary; then sentences coded by a dictionary of
+drop probabilities, labels and n-gram buckets -> pairs -> subsample -> label ->
+number -> batch -> pad. Written to the shared checkpoint folder on the way:
+word counts, dictionary, coded tokens and the numbered samples, so the
 expensive upstream runs once and lineage stays short.
 """
 
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gramvec.operators import batches as BA
+from gramvec.operators import coded as CO
 from gramvec.operators import pairs as PA
 from gramvec.operators import samples as SA
 from gramvec.operators import text as TX
@@ -61,36 +63,52 @@ class Pipeline:
     def pairs(self) -> DataFrame:
         return PA.skipgram_pairs(self.sentences, self.p.skip_window, self.p.seed, self.p.passes)
 
+    @cached_property
+    def word_buckets(self) -> DataFrame:
+        return SA.word_buckets(self.word_counts.select("word"), self.p.ngram_size, self.p.num_buckets)
+
+    def _coded_tokens(self, with_buckets: bool) -> DataFrame:
+        """Tokens with what the dictionary, written once, has of their words."""
+        words = CO.dictionary(self.drop_probability, self.vocab, self.p.vocabulary_size, self.word_buckets if with_buckets else None)
+        return CO.coded_tokens(self.sentences, materialize(words, "dictionary"), self.frequent)
+
+    @cached_property
+    def coded(self) -> DataFrame:
+        """Sentences with drop probabilities and labels, in any order."""
+        return CO.coded_sentences(self._coded_tokens(False), self.p.skip_window)
+
+    @cached_property
+    def coded_pairs(self) -> DataFrame:
+        return CO.coded_pairs(self.coded, self.p.skip_window, self.p.seed, self.p.passes)
+
     @cached_property
     def samples(self) -> DataFrame:
-        """Subsampled, labelled pairs (F4 + J1 fused)."""
-        return PA.labelled_samples(
-            self.pairs, self.vocab, self.frequent, self.p.seed, self.p.vocabulary_size, self.p.rejection_threshold
-        )
+        """Subsampled, labelled pairs."""
+        return CO.coded_samples(self.coded_pairs, self.p.seed)
 
     @cached_property
-    def word_buckets(self) -> DataFrame:
-        return SA.word_buckets(self.word_counts.select("word"), self.p.ngram_size, self.p.num_buckets)
+    def hashed(self) -> DataFrame:
+        """Samples with the buckets of their targets (P9, P12), in any order."""
+        coded = CO.coded_sentences(self._coded_tokens(True), self.p.skip_window)
+        return CO.coded_samples(CO.coded_pairs(coded, self.p.skip_window, self.p.seed, self.p.passes), self.p.seed)
 
     @cached_property
     def _ordered(self):
-        return BA.sample_ordinals(self.samples, self.p.batch_size)
+        sentences = CO.ordered_sentences(materialize(self._coded_tokens(True), "coded-tokens"), self.p.skip_window, self.p.passes)
+        return BA.sample_ordinals(sentences, self.p.batch_size, self.p.skip_window, self.p.seed)
 
     @property
     def ordered(self) -> DataFrame:
+        """Hashed samples with their ordinal and batch, written once."""
         return self._ordered[0]
 
     @property
     def total_samples(self) -> int:
         return self._ordered[1]
 
-    @cached_property
-    def hashed(self) -> DataFrame:
-        return SA.hashed_samples(self.ordered, self.word_buckets, self.frequent)
-
     @cached_property
     def batches(self) -> DataFrame:
-        return BA.batches(self.hashed, self.total_samples, self.p.batch_size)
+        return BA.batches(self.ordered, self.total_samples, self.p.batch_size)
 
     @cached_property
     def padded_batches(self) -> DataFrame:

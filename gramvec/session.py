@@ -58,7 +58,8 @@ def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors' Python, once per application.
 
     Tasks import it by name; without this they find it only where it is
-    installed or on their path.
+    installed or on their path. Operators call it, most of them through
+    ``scratch_path``; tasks that name the package are made after it.
     """
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
@@ -76,7 +77,8 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A unique path for a written intermediate table in the shared folder."""
+    """A unique path for a written intermediate table in the shared folder; also sends the package to the executors."""
+    ship_package(spark)
     root = checkpoint_root(spark).rstrip("/")
     return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
 
@@ -96,3 +98,23 @@ def list_dir(spark: SparkSession, path: str) -> list[str]:
     if not fs.exists(jpath):
         return []
     return [str(s.getPath().getName()) for s in fs.listStatus(jpath)]
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or a folder with all in it, through the Hadoop file system."""
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
+def require_path(spark: SparkSession, path: str, what: str) -> str:
+    """``path`` if it exists on its file system; else an error that names ``what``."""
+    if not path_exists(spark, path):
+        raise FileNotFoundError(f"no {what} at {path}")
+    return path
+
+
+def make_folder(spark: SparkSession, path: str) -> str:
+    """``path`` as a folder, made if it isn't there."""
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(jpath)
+    return path

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gramvec.functions.text import STOP_MARK, WS, mark_sentences
-from gramvec.operators.ordinals import global_ordinal, materialize
+from gramvec.operators.ordinals import global_ordinal, materialize, prefix_sums
+from gramvec.session import require_path
 
 #: Lines whose sentence starts one window counts.
 LINES_PER_PART = 1 << 16
@@ -71,6 +72,7 @@ def read_corpus(spark: SparkSession, path: str, language: str = "german") -> Dat
     any sentence mark is one sentence and so one row. Line ends inside a
     sentence are kept as one line feed; blank sentences are left out.
     """
+    require_path(spark, path, "corpus")
     raw = (
         spark.read.option("recursiveFileLookup", "false")
         .text(path)
@@ -88,7 +90,7 @@ def read_corpus(spark: SparkSession, path: str, language: str = "german") -> Dat
     lines = lines.withColumn("starts", F.size("pieces") - 1 + F.coalesce("_first", F.lit(0)))
     lines = materialize(lines.withColumn("part", F.floor(F.col("line") / LINES_PER_PART)), "lines")
     parts = lines.groupBy("part").agg(F.sum("starts").alias("n"))
-    before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    before = prefix_sums(parts, ["part"], "n", "before").select("part", "before")
     inside = Window.partitionBy("part").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     numbered = lines.withColumn("open", F.sum("starts").over(inside) - (F.size("pieces") - 1)).join(before, "part")
     sentence = F.col("before") + F.col("open") + F.col("k")

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from gramvec.functions.permute import permuted
 from gramvec.operators import batches as BA
 from gramvec.operators.ordinals import global_ordinal
 from gramvec.params import Params
@@ -72,6 +73,30 @@ def test_too_little_data_raises(spark, tmpdir_path):
 
 
 def test_shuffle_is_permutation(pipe):
-    s = BA.shuffle_order(pipe.batches, 42, 0).collect()
-    assert sorted(r["shuffle_rank"] for r in s) == list(range(len(s)))
+    n = BA.full_batches(pipe.total_samples, P.batch_size)
+    s = BA.shuffle_order(pipe.batches, n, 42, 0).collect()
+    assert sorted(r["shuffle_rank"] for r in s) == list(range(n))
     assert [r["batch_id"] for r in sorted(s, key=lambda r: r["shuffle_rank"])] != sorted(r["batch_id"] for r in s)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 97, 1000, 10_007])
+def test_permutation_has_every_place_once(spark, n):
+    ids = spark.range(n)
+    one, other = (ids.select("id", permuted(F.col("id"), n, seed, "t").alias("rank")).toPandas() for seed in (1, 2))
+    assert sorted(one["rank"]) == list(range(n)) == sorted(other["rank"])
+    if n > 90:
+        assert (one["rank"] == other["rank"]).mean() < 0.1
+        assert abs(one["rank"].corr(one["id"])) < 0.2
+        # halves mix: numbers of the first half land in the second as often as not
+        assert 0.35 < (one["rank"][: n // 2] >= n // 2).mean() < 0.65
+
+
+def test_sample_ordinals_over_passes(spark):
+    p = P.replace(passes=3, rejection_threshold=1.0)
+    pipe = Pipeline(docs(spark, [SMALL_CORPUS] * 5), p)
+    rows = sorted(pipe.ordered.select("ord", "pass", "doc_id", "sent_idx", "pos", "off").collect())
+    assert [r["ord"] for r in rows] == list(range(pipe.total_samples))
+    keys = [tuple(r)[1:] for r in rows]
+    assert keys == sorted(keys) and {k[0] for k in keys} == {0, 1, 2}
+    want = pipe.samples.select("pass", "doc_id", "sent_idx", "pos", "off").collect()
+    assert sorted(map(tuple, want)) == keys

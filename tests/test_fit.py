@@ -81,7 +81,39 @@ def test_resume_on_other_batches(spark, tmpdir_path):
     after = {r["bucket_id"]: r["vec"] for r in IO.load_model(spark, model)[0].collect()}
     needed = {i for r in other.collect() for one in r["inputs"] for i in one if i}
     assert needed - before.keys() and set(after) == set(before) | needed
-    assert IO.complete_rounds(spark, model) == [1, 2]
+    assert IO.complete_rounds(spark, model) == [0, 1, 2] == IO.log_rounds(spark, model, 2)
+
+
+def _values(spark, model, r=None):
+    emb, ow, _, _ = IO.load_model(spark, model, r)
+    rows = {("e", x["bucket_id"]): tuple(x["vec"]) for x in emb.collect()}
+    return rows | {("w", x["word_id"]): (*x["vec"], x["bias"]) for x in ow.collect()}
+
+
+def test_rounds_store_only_what_they_change(spark, tmpdir_path):
+    """An uncompacted log and a compacted one are the same model; a run resumes on either."""
+    p = Params(steps=14, vocabulary_size=300, num_sampled=3, batch_size=16, embedding_size=8, num_buckets=20000, passes=40)
+    _, batches = prepare(docs(spark, [UNPUNCTUATED], "en"), p, tmpdir_path + "/prep")
+    args = dict(workers=2, local_steps=1, keep_rounds=100)
+    log, whole, cut = (f"{tmpdir_path}/{x}" for x in ("log", "whole", "cut"))
+    FT.fit(batches, p, log, compact_every=100, **args)
+    FT.fit(batches, p, whole, compact_every=1, **args)
+    assert IO.log_rounds(spark, log, 7) == list(range(8)) and IO.log_rounds(spark, whole, 7) == [7]
+    sizes = [spark.read.parquet(f"{log}/round={r}/rows").count() for r in range(8)]
+    assert all(n < 0.7 * sizes[0] for n in sizes[1:])
+    for r in range(1, 8):
+        before, after = _values(spark, log, r - 1), _values(spark, log, r)
+        stored = spark.read.parquet(f"{log}/round={r}/rows")
+        assert {(x["kind"], x["id"]) for x in stored.collect()} == {k for k in after if before[k] != after[k]}
+    assert _values(spark, log) == _values(spark, whole)
+    FT.fit(batches, p, cut, compact_every=3, max_rounds=4, **args)
+    assert IO.log_rounds(spark, cut, 4) == [3, 4]
+    FT.fit(batches, p, cut, compact_every=100, **args)
+    assert IO.log_rounds(spark, cut, 7) == [3, 4, 5, 6, 7] and _values(spark, cut) == _values(spark, log)
+    IO.drop_rounds(spark, cut, 2)
+    assert IO.complete_rounds(spark, cut) == [3, 4, 5, 6, 7]
+    IO.drop_rounds(spark, whole, 2)
+    assert IO.complete_rounds(spark, whole) == [6, 7]
 
 
 def test_a_missing_row_is_an_error():

@@ -5,9 +5,12 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from gramvec.operators import coded as CO
 from gramvec.operators import pairs as PA
+from gramvec.operators import samples as SA
 from gramvec.operators import text as TX
 from gramvec.operators import vocab as VO
+from gramvec.operators.ordinals import materialize
 from tests.conftest import SMALL_CORPUS, docs
 
 
@@ -92,11 +95,61 @@ def test_subsample_keep_rate(spark):
     assert keep[(False, False)] == kinds[(False, False)]
 
 
-def test_fused_sample_path_equals_two_steps(spark, small_sents):
-    counts = VO.word_counts(TX.tokens(small_sents))
-    dp = VO.drop_probability(counts, 0.05)
-    vocab = VO.vocabulary(counts, 6, 0.05)
+def _tables(sents, threshold, vocabulary_size):
+    counts = VO.word_counts(TX.tokens(sents))
+    dp = VO.drop_probability(counts, threshold)
+    return counts, dp, VO.vocabulary(counts, vocabulary_size, threshold), VO.frequent_words(dp)
+
+
+@pytest.mark.parametrize("limit, chunk", [("67108864", 4096), ("0", 4096), ("67108864", 4)])
+def test_coded_sentences_equal_pair_joins(spark, small_sents, limit, chunk):
+    """The same rows as joins on pairs: dictionary broadcast, salted shuffle, sentences cut into chunks."""
+    counts, dp, vocab, frequent = _tables(small_sents, 0.05, 6)
     pairs = PA.skipgram_pairs(small_sents, 3, 5, passes=4)
-    a = PA.lookup_label(PA.subsample(pairs, VO.frequent_words(dp), 5), vocab, 6)
-    b = PA.labelled_samples(pairs, vocab, VO.frequent_words(dp), 5, 6)
-    assert sorted(tuple(r) for r in a.collect()) == sorted(tuple(r) for r in b.collect())
+    kept = PA.subsample(pairs, frequent, 5, 0.05)
+    want = PA.lookup_label(kept, vocab, 6).join(SA.word_buckets(counts.select("word"), 3, 1000), F.col("target") == F.col("word")).drop("word")
+    spark.conf.set("gramvec.broadcast.maxBytes", limit)
+    try:
+        words = materialize(CO.dictionary(dp, vocab, 6, SA.word_buckets(counts.select("word"), 3, 1000)), "dictionary")
+        made = CO.coded_pairs(CO.coded_sentences(CO.coded_tokens(small_sents, words, frequent), 3, chunk), 3, 5, 4)
+        sub = CO.coded_subsample(made, 5).select(*PA.PAIR_KEY, F.col("tgt")["word"], F.col("ctx")["word"])
+        got = CO.coded_samples(made, 5)
+        assert sorted(map(tuple, sub.collect())) == sorted(map(tuple, kept.collect()))
+        assert sorted(map(str, got.select(*sorted(got.columns)).collect())) == sorted(map(str, want.select(*sorted(got.columns)).collect()))
+    finally:
+        spark.conf.unset("gramvec.broadcast.maxBytes")
+
+
+def test_no_join_and_no_shuffle_above_the_pairs(spark, small_sents):
+    counts, dp, vocab, frequent = _tables(small_sents, 0.05, 6)
+    words = materialize(CO.dictionary(dp, vocab, 6), "dictionary")
+    tokens = materialize(CO.coded_tokens(small_sents, words, frequent), "coded-tokens")
+    for passes in (1, 3):  # the one exchange is the range shuffle of tokens, which the grouping keeps
+        samples = CO.coded_samples(CO.coded_pairs(CO.ordered_sentences(tokens, 3, passes), 3, 5), 5)
+        plan = samples._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange ") == 1 and "rangepartitioning" in plan and "Join" not in plan
+
+
+def test_repeated_documents_keep_their_own_sentences(spark):
+    twice = TX.sentences(docs(spark, ["one two three four. five six."]).union(docs(spark, ["one two three four. five six."])))
+    counts, dp, vocab, frequent = _tables(twice, 0.05, 6)
+    words = materialize(CO.dictionary(dp, vocab, 6), "dictionary")
+    got = CO.coded_pairs(CO.coded_sentences(CO.coded_tokens(twice, words, frequent), 3), 3, 5)
+    want = PA.skipgram_pairs(twice, 3, 5)
+    got = got.select(*PA.PAIR_KEY, F.col("tgt")["word"], F.col("ctx")["word"])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_chunks_of_a_long_sentence(spark):
+    """A text without marks makes many rows, and each pair once, in stream order."""
+    long = TX.sentences(docs(spark, [" ".join(f"w{i % 37}" + "xyz"[i % 3] for i in range(900)), "a b c"]))
+    counts, dp, vocab, frequent = _tables(long, 0.05, 60)
+    words = materialize(CO.dictionary(dp, vocab, 60), "dictionary")
+    tokens = materialize(CO.coded_tokens(long, words, frequent), "coded-tokens")
+    for chunk in (6, 100, 450, 899, 900, 901):
+        coded = CO.ordered_sentences(tokens, 5, 1, chunk)
+        assert coded.count() == -(-900 // chunk) + 1
+        got = CO.coded_pairs(coded, 5, 5).select(*PA.PAIR_KEY, F.col("tgt")["word"], F.col("ctx")["word"])
+        want = sorted(map(tuple, PA.skipgram_pairs(long, 5, 5).collect()))
+        assert sorted(map(tuple, got.collect())) == want
+        assert list(map(tuple, got.collect())) == want
