@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramvec.session import scratch_path
+from gramvec.session import scratch_path, ship_package
 
 #: A word: a run of characters other than the ASCII space and the controls 0x09-0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,6 +25,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def shipped(df: DataFrame) -> DataFrame:
+    """``df``, for tasks that need this package: it is sent to the executors before their function is made."""
+    ship_package(df.sparkSession)
+    return df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -32,3 +38,10 @@ def partitions(spark: SparkSession) -> int:
 def words_of(text: Column) -> Column:
     """Array of the words of ``text`` (NULL text: empty array)."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({WORD})"), F.lit(1))
+
+
+def fresh(df: DataFrame, prefix: str) -> str:
+    """``prefix``, longer by underscores where a column of ``df`` begins with it."""
+    while any(c.lower().startswith(prefix.lower()) for c in df.columns):
+        prefix = "_" + prefix
+    return prefix

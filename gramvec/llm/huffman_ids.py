@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramvec.llm.common import partitions, staged
+from gramvec.llm.common import partitions, shipped, staged
 from gramvec.llm.files import NewFile, open_file
 from gramvec.llm.tokens import encoder, slices
 from gramvec.session import scratch_path
@@ -73,7 +73,7 @@ def token_ids(docs: DataFrame, tokenizer_path: str | None = None, end_id: int =
                 [batch.column("doc_id"), pa.array(np.diff(at) + 1), pa.array(one, pa.binary())], ["doc_id", "n_tokens", "ids"]
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return shipped(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
 
 def id_counts(tokens: DataFrame) -> DataFrame:
@@ -99,7 +99,7 @@ def id_counts(tokens: DataFrame) -> DataFrame:
         seen = np.flatnonzero(total)
         yield pa.record_batch([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
 
-    return tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return shipped(tokens).select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 # -------------------------------------------------------------------- code

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gramvec.llm.common import WORD, staged
+from gramvec.llm.common import WORD, fresh, shipped, staged
 
 WORDS = re.compile(WORD)
 SYMBOLS = "#*$%&|<>"
@@ -110,7 +110,7 @@ def with_counts(docs: DataFrame, prefix: str = "") -> DataFrame:
             yield pa.record_batch([*batch.columns, *map(pa.array, np.ascontiguousarray(made.T))], [*batch.schema.names, *names])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"`{c}` long" for c in names])
-    return docs.mapInArrow(run, schema)
+    return shipped(docs).mapInArrow(run, schema)
 
 
 def base_failed(prefix: str = "") -> Column:
@@ -218,5 +218,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: f
     """
     stats = staged(with_counts(docs.select("doc_id", "lang", "text")).drop("text"), "quality-counts")
     cutoffs = certified_cutoffs(stats, labels, alpha, delta)
-    p = "_quality_"
+    p = fresh(docs, "_quality_")
     return with_counts(docs, p).where(~base_failed(p) & ~learned_reject(cutoffs, p)).select(*docs.columns)

@@ -28,6 +28,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gramvec.llm.common import fresh
+
 
 class Rule(NamedTuple):
     kind: str
@@ -206,13 +208,14 @@ def _named(number: int, kind: str):
 
 def with_spans(docs: DataFrame, rules: list[Rule] = RULES, name: str = "spans") -> DataFrame:
     """``docs`` with all spans of their text, by start, then in the order of the rules."""
-    listed = candidates(docs, rules).select(F.col("doc_id").alias("_secret_doc"), F.col("rules").alias("_secret_rules"))
-    joined = docs.join(listed.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("_secret_doc")), "left")
+    own = fresh(docs, "_secret_")
+    listed = candidates(docs, rules).select(F.col("doc_id").alias(f"{own}doc"), F.col("rules").alias(f"{own}rules"))
+    joined = docs.join(listed.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col(f"{own}doc")), "left")
     found = []
     for number, rule in enumerate(rules):
         spans = F.transform(rule_spans(docs["text"], rule), _named(number, rule.kind))
         if trigram_query(rule.pattern):
-            spans = F.when(F.array_contains("_secret_rules", rule.kind), spans)
+            spans = F.when(F.array_contains(f"{own}rules", rule.kind), spans)
         found.append(F.coalesce(spans, F.array().cast(SPANS)))
     # one generated row, so that no later column evaluates the patterns again
     made = F.explode(F.array(F.array_sort(F.concat(*found)))).alias(name)
@@ -231,7 +234,8 @@ def secret_spans(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
 
 def redact(docs: DataFrame, rules: list[Rule] = RULES, mask: str = MASK) -> DataFrame:
     """``docs`` with every span (overlapping ones as one) replaced by ``mask``; ``n_chars``, if there, follows."""
-    name = "_secret_spans"
+    own = fresh(docs, "_secret_")
+    name, changed = f"{own}spans", f"{own}hit"
     text = F.col("text")
     cut = F.aggregate(
         F.col(name),
@@ -250,10 +254,10 @@ def redact(docs: DataFrame, rules: list[Rule] = RULES, mask: str = MASK) -> Data
     marked = with_spans(docs, rules, name)
     hit = F.size(name) > 0
     new = {"text": F.when(hit, cut).otherwise(text)}
-    out = marked.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns], hit.alias("_secret_hit"))
+    out = marked.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns], hit.alias(changed))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("_secret_hit"), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(changed), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 

@@ -11,7 +11,9 @@ references that differ from a base reference inside that block only, so their
 distances minus the base's depend on that block alone. Two fingerprints within
 ``MAX_BITS`` = 2 differ in two blocks at most and have the same relative
 coordinates in three of the five: classes meet under each choice of three
-blocks. Among those that meet, ``SPREAD`` further references all over the 64
+blocks. Said plainly, these coordinates spell out a block's bits: candidates
+come from agreeing blocks, written as distances to pivots, and the maximum
+coordinate difference only discards. Among those that meet, ``SPREAD`` further references all over the 64
 bits discard each pair whose coordinates differ by more than ``MAX_BITS``
 anywhere (the distance to a reference can't change by more than the distance of
 the pair), and the survivors are verified by their differing bits. No link is
@@ -36,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gramvec.llm.common import partitions, staged
+from gramvec.llm.common import fresh, partitions, shipped, staged
 from gramvec.operators.joins import hot_keys, salted_join
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
@@ -74,7 +76,7 @@ def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFr
             yield pa.record_batch([*(batch.column(c) for c in keep), pa.array(made)], [*keep, "fp"])
 
     rows = docs.select(*[F.col(c).cast("long") for c in keep], "text")
-    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in [*keep, "fp"]))
+    return shipped(rows).mapInArrow(run, ", ".join(f"{c} long" for c in [*keep, "fp"]))
 
 
 # -------------------------------------------------------------- pivot tables
@@ -256,9 +258,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each component, with all columns: that of the smallest doc_id (null last), of equal ones the first row."""
-    rows = staged(docs.withColumn("_near_row", F.monotonically_increasing_id()), "near-documents")
-    fps = staged(fingerprints(rows, ("_near_row", "doc_id")), "fingerprints")
-    rooted = _beside(fps, named_classes(fps), "root", "_near_row")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_near_row")
-    kept = rooted.groupBy("root").agg(F.min(order)["_near_row"].alias("_near_row")).select("_near_row")
-    return rows.join(kept, "_near_row", "left_semi").select(*docs.columns)
+    row = fresh(docs, "_near_row")
+    rows = staged(docs.withColumn(row, F.monotonically_increasing_id()), "near-documents")
+    fps = staged(fingerprints(rows, (row, "doc_id")), "fingerprints")
+    rooted = _beside(fps, named_classes(fps), "root", row)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", row)
+    kept = rooted.groupBy("root").agg(F.min(order)[row].alias(row)).select(row)
+    return rows.join(kept, row, "left_semi").select(*docs.columns)

@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gramvec.llm.common import shipped
+
 GRAMS = (2, 3, 4)
 BUCKETS = 1 << 16
 DIM = 8
@@ -184,7 +186,7 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> DataFr
                     ["at", "label", "buckets", "counts"],
                 )
 
-    bags = rows.select("at", "label", "text").mapInArrow(count, "at long, label int, buckets binary, counts binary")
+    bags = shipped(rows).select("at", "label", "text").mapInArrow(count, "at long, label int, buckets binary, counts binary")
     return bags.groupBy("at").agg(F.min(F.struct("label", "buckets", "counts")).alias("b")).select("at", "b.*")
 
 
@@ -218,7 +220,7 @@ def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (fold(F.col("doc_id")) == HELD).alias("held_out"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return shipped(rows).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

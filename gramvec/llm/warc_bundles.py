@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramvec.llm.common import partitions, staged
+from gramvec.llm.common import partitions, shipped, staged
 from gramvec.llm.files import NewFile, open_file
 from gramvec.operators.joins import hot_keys, salted_join
 from gramvec.session import scratch_path
@@ -205,7 +205,7 @@ def write_bundles(pages: DataFrame, folder: str, min_bytes: int = MIN_REVISIT, f
             yield done()
 
     ordered = with_revisits(pages, min_bytes).sortWithinPartitions("page_id")
-    return staged(ordered.mapInArrow(run, INDEX), "warc-index")
+    return staged(shipped(ordered).mapInArrow(run, INDEX), "warc-index")
 
 
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -232,7 +232,7 @@ def read_bundles(spark: SparkSession, folder: str, index: DataFrame) -> DataFram
         return number(headers["WARC-Record-ID"]), size, digest, kind, number(refers_to) if refers_to else None
 
     names = [(r["bundle"],) for r in index.select("bundle").distinct().collect()]  # one for each 64 MB, about
-    return spark.createDataFrame(names, "bundle string").repartition(max(1, len(names))).mapInArrow(run, READ)
+    return shipped(spark.createDataFrame(names, "bundle string")).repartition(max(1, len(names))).mapInArrow(run, READ)
 
 
 def fetch_records(index: DataFrame, folder: str) -> DataFrame:
@@ -253,7 +253,7 @@ def fetch_records(index: DataFrame, folder: str) -> DataFrame:
 
     n = partitions(index.sparkSession)
     wanted = index.select("bundle", "frame", "offset", "length", "page_id")
-    return wanted.repartition(n, "bundle", "frame").sortWithinPartitions("bundle", "frame", "offset").mapInArrow(run, "page_id long, payload binary")
+    return shipped(wanted).repartition(n, "bundle", "frame").sortWithinPartitions("bundle", "frame", "offset").mapInArrow(run, "page_id long, payload binary")
 
 
 def warc_round_trip(pages: DataFrame) -> DataFrame:
