@@ -623,7 +623,7 @@ _FIRST_BATCH = (
         O.nce_ctes(QP.vocabulary_size, QP.batch_size).replace("full_hashed", "one"),
     ).replace("WITH", "WITH RECURSIVE", 1)
     + f"SELECT CAST(0 AS BIGINT) AS step, round(sum(greatest(z, 0) - z * y + ln(1 + exp(-abs(z)))) / {QP.batch_size}, 4) AS loss, "
-    f"{QP.learnrate!r} AS learnrate FROM logit",
+    f"CAST({QP.learnrate!r} AS DOUBLE) AS learnrate FROM logit",
 )
 def q_fit_first_step(spark, sf_dir):
     """Training's first step on one worker: the stored batches in training order, the seeded model, the logged loss."""
