@@ -53,15 +53,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gramvec.llm.common import staged
+from gramvec.llm.common import shipped, staged
 from gramvec.operators.joins import bounded_join
 
 LONGEST = 3
 LEAST = 10
 COVERED = 50
 TOP = 2000
-BLOCK = 1 << 23
-PER_BUCKET = 2
+BLOCK = 1 << 22
+PER_BUCKET = 4
 #: Bits of a fingerprint beside those of its bucket.
 TAIL = 40
 
@@ -124,7 +124,7 @@ def blocks_of(docs: DataFrame, block: int = BLOCK) -> DataFrame:
             yield row(lang, size[lang], b"\n".join(texts))
 
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text").cast("binary").alias("text"))
-    packed = rows.mapInArrow(pack, "lang string, own long, text binary").withColumn("id", F.monotonically_increasing_id())
+    packed = shipped(rows).mapInArrow(pack, "lang string, own long, text binary").withColumn("id", F.monotonically_increasing_id())
     return staged(packed, "phrase-blocks")
 
 
