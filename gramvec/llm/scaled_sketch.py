@@ -2,16 +2,19 @@
 
 A document's shingles are its runs of ``SHINGLE`` words (lower case; fewer
 words: the whole sequence). Each is hashed to 64 bits, and the sketch keeps
-every hash below ``2^64 / SCALE``, counted as unsigned: a fixed fraction of the
-distinct shingles whatever the document's length. Sketches of the same scale
-merge by union, give the sketch of a coarser scale by dropping hashes, and
-estimate containment between documents of very unequal length: the share of
-one sketch's hashes that the other has.
+every hash below ``2^64 / scale``, counted as unsigned: a fixed fraction of the
+distinct shingles. The scale is ``SCALE``, for texts of fewer than ``SMALL``
+distinct shingles 1, and a sketch whose hashes are all above the limit keeps
+the lowest one, so that only texts without words have an empty sketch.
+Sketches merge by union, give the sketch of a coarser scale by dropping hashes,
+and are compared at the coarser of their scales. They estimate containment
+between documents of very unequal length: the share of one sketch's hashes
+that the other has.
 
 ``fingerprint`` writes a sketch as text: number of distinct shingles, scale,
-and the hashes in order. Texts with equal words have equal fingerprints. Null
-and empty texts have no shingles; likeness is 1 between two sketches without
-hashes if the texts are equal, else 0.
+and the hashes in order. Texts with equal words have equal fingerprints, and
+equal fingerprints have likeness 1, those of null, empty and other texts
+without words among them.
 
 A null doc_id comes after all others in descending order; rows with equal
 doc_id are ordered by text. A single row is its own next one. An empty table
@@ -27,7 +30,10 @@ from pyspark.sql import Window as W
 from gramvec.llm.common import partitions, words_of
 
 SHINGLE = 5
+#: A power of two: one hash in so many is kept.
 SCALE = 4
+SMALL = 64
+_SIGN = -(1 << 63)
 
 
 def _once(df: DataFrame, **made: Column) -> DataFrame:
@@ -36,54 +42,66 @@ def _once(df: DataFrame, **made: Column) -> DataFrame:
     return df.select(F.inline(F.array(row)))
 
 
-def _kept(h: Column, scale: int) -> Column:
-    """Whether a signed 64-bit hash is, unsigned, below 2^64 / ``scale`` (2 at least)."""
-    limit = (1 << 64) // scale
-    return (h >= 0) & (h < F.lit(limit)) if limit < 1 << 63 else h >= 0
+def _at(hashes: Column, scale: Column) -> Column:
+    """Of all hashes (or those of a finer scale) the ones kept at ``scale``: at least the lowest."""
+    shift = F.lit(64) - F.log2(scale).cast("int")
+    kept = F.when(scale == 1, hashes).otherwise(F.filter(hashes, lambda h: F.call_function("shiftrightunsigned", h, shift) == 0))
+    lowest = F.array_min(F.transform(hashes, lambda h: h.bitwiseXOR(F.lit(_SIGN)))).bitwiseXOR(F.lit(_SIGN))
+    return F.when((F.size(kept) == 0) & (F.size(hashes) > 0), F.array(lowest)).otherwise(kept)
 
 
 def with_sketch(df: DataFrame, text: str, name: str, k: int = SHINGLE, scale: int = SCALE) -> DataFrame:
-    """``df`` with ``name``: struct of ``n`` (distinct shingles) and ``hashes`` (those kept, in order)."""
+    """``df`` with ``name``: struct of ``n`` (distinct shingles), ``scale`` and ``hashes`` (those kept, in order)."""
     words, shingles = f"_{name}_words", f"_{name}_all"
     out = _once(df, **{words: F.transform(words_of(F.lower(F.col(text))), lambda w: F.xxhash64(w))})
     size = F.size(F.col(words))
     starts = F.when(size > 0, F.sequence(F.lit(0), F.greatest(size - k, F.lit(0)))).otherwise(F.array().cast("array<int>"))
     hashes = F.transform(starts, lambda i: F.xxhash64(*[F.get(F.col(words), i + j) for j in range(k)]))
     out = _once(out, **{shingles: F.array_distinct(hashes)}).drop(words)
-    kept = F.array_sort(F.filter(F.col(shingles), lambda h: _kept(h, scale)))
-    return _once(out, **{name: F.struct(F.size(shingles).alias("n"), kept.alias("hashes"))}).drop(shingles)
+    n = F.size(shingles)
+    used = F.when(n < SMALL, 1).otherwise(scale)
+    kept = F.array_sort(_at(F.col(shingles), used))
+    return _once(out, **{name: F.struct(n.alias("n"), used.alias("scale"), kept.alias("hashes"))}).drop(shingles)
 
 
-def fingerprint(sketch: Column, scale: int = SCALE) -> Column:
-    return F.concat_ws(":", sketch["n"], F.lit(scale), F.array_join(F.transform(sketch["hashes"], lambda h: F.lower(F.hex(h))), "."))
+def fingerprint(sketch: Column) -> Column:
+    return F.concat_ws(":", sketch["n"], sketch["scale"], F.array_join(F.transform(sketch["hashes"], lambda h: F.lower(F.hex(h))), "."))
 
 
-def coarser(sketch: Column, scale: int) -> Column:
-    """The sketch at a larger ``scale``."""
-    return F.struct(sketch["n"].alias("n"), F.filter(sketch["hashes"], lambda h: _kept(h, scale)).alias("hashes"))
+def coarser(sketch: Column, scale) -> Column:
+    """The sketch at a larger ``scale`` (a number or a column)."""
+    scale = scale if isinstance(scale, Column) else F.lit(scale)
+    to = F.greatest(sketch["scale"], scale)
+    return F.struct(sketch["n"].alias("n"), to.alias("scale"), _at(sketch["hashes"], to).alias("hashes"))
 
 
-def _shared(a: Column, b: Column) -> Column:
-    return F.size(F.array_intersect(a["hashes"], b["hashes"]))
+def _shared(a: Column, b: Column) -> tuple[Column, Column, Column]:
+    """Hashes of either and of both at the coarser scale."""
+    to = F.greatest(a["scale"], b["scale"])
+    one, other = _at(a["hashes"], to), _at(b["hashes"], to)
+    return F.size(one), F.size(other), F.size(F.array_intersect(one, other))
 
 
 def containment(a: Column, b: Column) -> Column:
-    """Estimated share of ``a``'s shingles that ``b`` has (null if ``a`` keeps none)."""
-    return F.when(F.size(a["hashes"]) > 0, _shared(a, b) / F.size(a["hashes"]))
+    """Estimated share of ``a``'s shingles that ``b`` has (null if ``a`` has none)."""
+    one, _, both = _shared(a, b)
+    return F.when(one > 0, both / one)
 
 
-def likeness(a: Column, b: Column, same: Column) -> Column:
-    """Estimated Jaccard similarity of the shingles; ``same`` decides where neither sketch keeps a hash."""
-    shared = _shared(a, b)
-    union = F.size(a["hashes"]) + F.size(b["hashes"]) - shared
-    return F.when(same, 1.0).when(union > 0, shared / union).otherwise(0.0)
+def likeness(a: Column, b: Column) -> Column:
+    """Estimated Jaccard similarity of the shingles; 1 between equal sketches."""
+    one, other, both = _shared(a, b)
+    union = one + other - both
+    return F.when(union > 0, both / union).otherwise(1.0)
 
 
 def merged(sketches: DataFrame, key: str, name: str = "sketch") -> DataFrame:
-    """Per ``key`` the sketch of all its documents together; ``n`` is estimated by the kept share."""
-    rows = sketches.select(key, F.explode(F.col(name)["hashes"]).alias("_h")).distinct()
-    hashes = F.array_sort(F.collect_list("_h"))
-    return rows.groupBy(key).agg(F.struct((F.count(F.lit(1)) * SCALE).cast("int").alias("n"), hashes.alias("hashes")).alias(name))
+    """Per ``key`` the sketch of all its documents together, at their coarsest scale; ``n`` is estimated by the kept share."""
+    rows = sketches.select(key, F.col(name)["scale"].alias("_scale"), F.explode(F.col(name)["hashes"]).alias("_h"))
+    once = rows.groupBy(key, "_h").agg(F.max("_scale").alias("_scale"))
+    found = once.groupBy(key).agg(F.max("_scale").alias("scale"), F.collect_list("_h").alias("_all"))
+    kept = found.select(key, "scale", F.array_sort(_at(F.col("_all"), F.col("scale"))).alias("hashes"))
+    return kept.select(key, F.struct((F.size("hashes") * F.col("scale")).cast("int").alias("n"), "scale", "hashes").alias(name))
 
 
 # --------------------------------------------------------------- next document
@@ -140,8 +158,8 @@ def edit_likeness(docs: DataFrame, k: int = SHINGLE, scale: int = SCALE) -> Data
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
         F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
-        fingerprint(own, scale).alias("fingerprint"),
-        fingerprint(other, scale).alias("edited_fingerprint"),
-        likeness(own, other, F.col("text") == F.col("edited")).alias("near_edited"),
-        likeness(own, after, F.col("text") == F.col("next_text")).alias("near_next"),
+        fingerprint(own).alias("fingerprint"),
+        fingerprint(other).alias("edited_fingerprint"),
+        likeness(own, other).alias("near_edited"),
+        likeness(own, after).alias("near_next"),
     )

@@ -98,30 +98,70 @@ def plain_sketch(text):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
+def sketch_of(text):
+    """Distinct shingles, scale and kept hashes, as unsigned numbers."""
+    w = WORD.findall((text or "").lower())
+    word = [xxhash.xxh64(x.encode(), seed=42).intdigest() for x in w]
+    found = set()
+    for i in range(max(1, len(w) - 4)) if w else ():
+        h = 42
+        for x in word[i : i + 5]:
+            h = xxhash.xxh64(x.to_bytes(8, "little"), seed=h).intdigest()
+        found.add(h)
+    scale = 1 if len(found) < S.SMALL else S.SCALE
+    kept = {h for h in found if h < 2**64 // scale} or set(sorted(found)[:1])
+    return len(found), scale, kept
+
+
+def plain_likeness(a, b):
+    to = max(a[1], b[1])
+    one, other = ({h for h in x[2] if h < 2**64 // to} or set(sorted(x[2])[:1]) for x in (a, b))
+    return len(one & other) / len(one | other) if one | other else 1.0
+
+
 def test_edits_and_next_documents(spark):
     docs = corpus(spark)
+    rng = np.random.default_rng(3)
+    more = [(2000 + i, " ".join(f"w{x}" for x in rng.integers(0, 40, n)), "en", "a", None) for i, n in enumerate([1, 2, 4, 5, 6, 9, 20, 60, 68, 70, 150, 400])]
+    more += [(3000, "alpha", "en", "a", 5), (3001, "Alpha", "en", "a", 5), (3002, "red", "en", "a", 3), (3003, "blue", "en", "a", 4)]
+    docs = docs.select("doc_id", "text", "lang", "source", "n_chars").union(spark.createDataFrame(more, SCHEMA))
     rows = sorted(docs.select("doc_id", "text").collect(), key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
     texts = [r["text"] or "" for r in rows]
     want = Counter()
-    near = {}
     for i, t in enumerate(texts):
         after, half = texts[(i + 1) % len(texts)], len(t) // 2
         edited = t[: len(t) - half] + after[:half]
-        want[rows[i]["doc_id"], len(t), hashlib.sha256(edited.encode()).hexdigest()] += 1
-        a, b = plain_sketch(t), plain_sketch(edited)
-        near[rows[i]["doc_id"], len(t)] = len(a & b) / len(a | b) if a | b else 1.0
+        own = sketch_of(t)
+        near = plain_likeness(own, sketch_of(edited)), plain_likeness(own, sketch_of(after))
+        want[rows[i]["doc_id"], len(t), hashlib.sha256(edited.encode()).hexdigest(), *near] += 1
     found = S.edit_likeness(docs).collect()
-    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in found) == want
-    long = [r for r in found if r["n_chars"] > 2000]
-    assert long and all(abs(r["near_edited"] - near[r["doc_id"], r["n_chars"]]) < 0.1 for r in long)
-    assert all(0 <= r[c] <= 1 for r in found for c in ("near_edited", "near_next"))
+    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], r["near_edited"], r["near_next"]) for r in found) == want
     same = {r["doc_id"]: r["fingerprint"] for r in found}
     assert same[5] == same[100] == same[101] != same[102]
+    assert same[3000] == same[3001] and len({same[3001], same[3002], same[3003]}) == 3
+    near = {r["doc_id"]: r["near_next"] for r in found}
+    assert near[3001] == 1.0 and near[3003] == near[3002] == 0.0
     assert S.edit_likeness(empty(spark)).count() == 0
     one = S.edit_likeness(spark.createDataFrame([(1, "a b c d e f", None, None, None)], SCHEMA)).collect()
     assert len(one) == 1 and one[0]["near_next"] == 1.0
 
 
+def test_likeness_estimates_similarity(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(30):
+        w = [f"w{x}" for x in rng.integers(0, 5000, int(rng.integers(30, 3000)))]
+        v = w[: int(len(w) * rng.random())] + [f"v{x}" for x in rng.integers(0, 5000, 50)]
+        rows.append((" ".join(w), " ".join(v)))
+    df = S.with_sketch(S.with_sketch(spark.createDataFrame(rows, "a string, b string"), "a", "x"), "b", "y")
+    from pyspark.sql import functions as F
+
+    for r in df.select("a", "b", S.likeness(F.col("x"), F.col("y")).alias("near"), S.containment(F.col("y"), F.col("x")).alias("inside")).collect():
+        a, b = plain_sketch(r["a"]), plain_sketch(r["b"])
+        assert abs(r["near"] - len(a & b) / len(a | b)) < 0.12
+        assert abs(r["inside"] - len(a & b) / len(b)) < 0.2
+
+
 def test_sketches_merge_and_contain(spark):
     parts = [" ".join(f"w{i}" for i in range(0, 4000)), " ".join(f"w{i}" for i in range(0, 400)), " ".join(f"w{i}" for i in range(3000, 9000))]
     df = spark.createDataFrame([(1, p) for p in parts] + [(2, parts[1])], "k int, text string")
