@@ -3,23 +3,25 @@
 A page is read as a stream of words and tags. Words score by the element
 around them, tags by their name: words for the region, tags against it. The
 weights are log-odds from labelled pages, those that mark their own content
-with ``article`` or ``main``: how often a feature stands inside and outside.
-One linear scan (``best_region``) finds the contiguous part with the highest
-sum. It is only ever widened: to whole blocks, and where it begins or ends in
-an ``article`` or ``main``, to the whole of that element (those inside another
-are part of the outer one).
-
-Elements that are never main text by name, class, id or role (``SKIPPED``,
-``SKIPPED_NAMES``: menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles, reader comments) score as a single tag and their text is left
-out, inside the region too. Of a header inside an article its headings stay.
-
-A class, id or role counts if all of it is known names, but for affixes
-(``AFFIXES``: "nav-menu", "site-footer", "comments-wrapper"); ids of headings
-and text blocks don't count. Inside an article an element named so, other than
-reader comments, goes only if half of its words are links or it has
-``FEW_WORDS`` at most; a heading or text block only by its links. Outside, an
-element that holds an article stays.
+with ``article`` or ``main``: how often a feature stands inside and outside,
+whatever its elements are called. One linear scan (``best_region``) finds the
+contiguous part with the highest sum. It is only ever widened: to whole
+blocks, and where it begins or ends in an ``article`` or ``main``, to the whole
+of that element (those inside another are part of the outer one). Where no
+word scores above zero, the prior weights are used.
+
+Elements that are never main text by their tag (``SKIPPED``), hidden ones and
+reader comments score as a single tag and their text is left out, inside the
+region too. Of a header inside an article its headings stay.
+
+A class, id or role counts if all of it is known names (``SKIPPED_NAMES``), but
+for affixes (``AFFIXES``: "nav-menu", "site-footer", "comments-wrapper"); ids
+of headings and text blocks don't count. An element named so is scored when it
+has ended, over the whole of it, and left out if its score isn't above zero.
+Outside an article its words have the name's weight, which the labelled pages
+can raise; an element that holds an article stays. Inside one, words in links
+count against it, other words for it, and a name costs ``NAME_COST`` words
+(headings and text blocks: nothing).
 
 Character references are decoded, white space inside a block becomes one
 space, and blocks are joined by a line feed in page order. A null or empty
@@ -42,6 +44,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gramvec.llm.common import shipped
+
 #: Labelled pages that the weights are fitted on, at most.
 LABELLED_PAGES = 2000
 
@@ -66,8 +70,8 @@ AFFIXES = set(
     """area bar block body bottom box container desktop entry footer global header holder inner item items left link links list
     main mobile outer page panel post primary right secondary section site slot top unit wrap wrapper""".split()
 )
-#: Words of an element inside an article that its name alone can take out, at most; and how much of it is looked at.
-FEW_WORDS, LOOKED_AT = 30, 20_000
+#: What a name costs an element inside an article, in words outside links.
+NAME_COST = 30
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that hold blocks, and blocks that the next block ends.
@@ -88,12 +92,21 @@ SPACE = re.compile(r"\s+")
 
 
 class Token(NamedTuple):
-    """``feature`` with its number of words (0: a tag), the block of its text, and the article around it."""
+    """``feature`` with its number of words (0: a tag), the block of its text, the article around it, and names around it."""
 
     feature: str
     words: int
     block: int
     article: int
+    under: frozenset[str] = frozenset()
+
+
+class Named:
+    """An element whose names speak against it: tokens ``start`` to ``end``."""
+
+    def __init__(self, names: set[str], start: int, article: int, text_block: bool):
+        self.names, self.start, self.end, self.article, self.text_block = names, start, -1, article, text_block
+        self.content = False  # whether it holds an article
 
 
 def names_of(name: str, attributes: str) -> set[str]:
@@ -109,55 +122,35 @@ def names_of(name: str, attributes: str) -> set[str]:
     return out
 
 
-def looked_at(name: str, html: str, at: int) -> tuple[int, int, bool]:
-    """Words of the element ``name`` that begins at ``at``, those in links, and whether it holds an ``article`` or ``main``."""
-    end = min(len(html), at + LOOKED_AT)
-    words, linked, content, link, depth = 0, 0, False, False, 1
-    while at < end:
-        m = TAG.search(html, at)
-        n = len(html[at : min(end, m.start()) if m else end].split())
-        words += n
-        linked += n if link else 0
-        if not m or m.start() >= end:
-            break
-        at = m.end()
-        closing, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        tag = (tag or "").lower()
-        if not closing and name in BLOCKS and (tag in BLOCKS or tag in CONTAINERS):
-            break
-        if not closing and tag in CONTENT and not names_of(tag, attributes or "") & COMMENTS:
-            content = True
-        if tag == "a":
-            link = not closing
-        if tag == name:
-            depth += -1 if closing else 1
-            if not depth:
-                break
-        if tag in RAW and not closing:
-            stop = re.compile(rf"</{tag}", re.I).search(html, at)
-            at = stop.start() if stop else at
-    return words, linked, content
-
-
 class Page:
     """The tokens of a page and the texts of its blocks."""
 
     def __init__(self, html: str):
         self.tokens: list[Token] = []
-        self.blocks: list[list[str]] = [[]]
+        self.blocks: list[list[tuple[int, str]]] = [[]]  # texts, each with the number of its token
         self.article_of: list[int] = [0]  # article of each block
+        self.named: list[Named] = []
         self._read(html)
+        self.kept = [True] * len(self.tokens)
 
     def _read(self, html: str) -> None:
-        stack: list[tuple[str, bool, bool, int]] = []  # name, skipped, header, article
+        stack: list[tuple[str, bool, bool, int, Named | None]] = []  # name, skipped, header, article, its entry in ``named``
         at, articles = 0, 0
         inside, lone, link, heading = "", False, 0, False  # open block, whether it is skipped, open links, heading
+        own: Named | None = None  # the open block, if it is named
         skipped = header = False
         article = 0
+        under: frozenset[str] = frozenset()
+
+        def around() -> frozenset[str]:
+            return frozenset().union(*(s[4].names for s in stack if s[4]), own.names if own else ())
 
         def part(name: str = "") -> None:
-            nonlocal inside, lone, heading
+            nonlocal inside, lone, heading, own, under
             inside, lone, heading = name, False, name in HEADINGS
+            if own:
+                own.end, own = len(self.tokens), None
+                under = around()
             if self.blocks[-1]:
                 self.blocks.append([])
                 self.article_of.append(article)
@@ -169,10 +162,10 @@ class Page:
             text = html[at : m.start() if m else len(html)]
             if text and not (skipped or lone or (header and not heading)):
                 words = len(text.split())
+                self.blocks[-1].append((len(self.tokens), entities.unescape(text)))
                 if words:
                     kind = "link" if link else inside or "none"
-                    self.tokens.append(Token(f"words in {kind}", words, len(self.blocks) - 1, article))
-                self.blocks[-1].append(entities.unescape(text))
+                    self.tokens.append(Token(f"words in {kind}", words, len(self.blocks) - 1, article, under))
             if not m:
                 break
             at = m.end()
@@ -181,7 +174,7 @@ class Page:
                 continue
             name = name.lower()
             if not closing:
-                out = not skipped and self._skips(name, attributes or "", article, html, at)
+                out, names = (False, set()) if skipped else self._judged(name, attributes or "", article)
                 if not skipped:
                     self.tokens.append(Token(f"tag {'inline' if name in INLINE else 'skipped' if out else name}", 0, len(self.blocks) - 1, article))
                 if name in RAW and not (attributes or "").endswith("/"):
@@ -193,19 +186,31 @@ class Page:
                     if name == "hr":
                         part()
                     elif name == "br" and self.blocks[-1]:
-                        self.blocks[-1].append(" ")
-                elif name in CONTAINERS or name in SKIPPED or (out and name not in BLOCKS):
-                    if name in CONTENT and not out and not skipped and not article:
-                        articles += 1
-                        article = articles
-                    stack.append((name, out, name == "header" and article > 0, article))
-                    skipped, header = skipped or out, header or stack[-1][2]
+                        self.blocks[-1].append((len(self.tokens), " "))
+                elif name in CONTAINERS or name in SKIPPED or ((out or names) and name not in BLOCKS):
+                    if name in CONTENT and not out and not skipped:
+                        if not article:
+                            articles += 1
+                            article = articles
+                        for s in stack:
+                            if s[4]:
+                                s[4].content = True
                     if name in CONTAINERS or name in SKIPPED - INLINE:
                         link = 0
                         part()
+                    entry = Named(names, len(self.tokens), article, False) if names else None
+                    stack.append((name, out, name == "header" and article > 0, article, entry))
+                    if entry:
+                        self.named.append(entry)
+                        under = around()
+                    skipped, header = skipped or out, header or stack[-1][2]
                 elif name in BLOCKS:
                     part(name)
                     lone = out
+                    if names:
+                        own = Named(names, len(self.tokens), article, True)
+                        self.named.append(own)
+                        under = around()
                 elif name == "a":
                     link = 1
             elif name == "a":
@@ -216,40 +221,64 @@ class Page:
                 open_ = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
                 if open_ is not None:
                     block = name in CONTAINERS or name in SKIPPED - INLINE
+                    ended = [s[4] for s in stack[open_:] if s[4]]
+                    for entry in ended:
+                        entry.end = len(self.tokens)
                     del stack[open_:]
                     skipped, header = any(s[1] for s in stack), any(s[2] for s in stack)
                     article = stack[-1][3] if stack else 0
                     if block:
                         link = 0
                         part()
+                    if ended:
+                        under = around()
                 elif name in BLOCKS:
                     part()
+        for entry in self.named:
+            if entry.end < 0:
+                entry.end = len(self.tokens)
 
     @staticmethod
-    def _skips(name: str, attributes: str, article: int, html: str, at: int) -> bool:
+    def _judged(name: str, attributes: str, article: int) -> tuple[bool, set[str]]:
+        """Whether an element is never main text; and the names that its score must outweigh."""
         if name in SKIPPED:
-            return True
+            return True, set()
         if name in ("html", "body"):
-            return False
+            return False, set()
         if name == "header" and not article:
-            return True
+            return True, set()
         if not attributes:
-            return False
+            return False, set()
         found = names_of(name, attributes)
         if name in CONTENT:
-            return bool(found & COMMENTS)
-        if found & COMMENTS or HIDDEN.search(attributes):
-            return True
-        if not found:
-            return False
-        words, linked, content = looked_at(name, html, at)
-        if not article:
-            return not content
-        return 2 * linked >= max(1, words) or (name not in BLOCKS and words <= FEW_WORDS)
+            return bool(found & COMMENTS), set()
+        return bool(found & COMMENTS or HIDDEN.search(attributes)), found
+
+    def leave_out(self, weights: dict[str, float]) -> None:
+        """Drop the named elements whose score isn't above zero; sums over a prefix make each one's score a difference."""
+        words, linked = [0], [0]
+        for t in self.tokens:
+            words.append(words[-1] + t.words)
+            linked.append(linked[-1] + (t.words if t.feature == "words in link" else 0))
+        self.kept = [True] * len(self.tokens)
+        done = 0
+        for e in self.named:
+            if e.end <= done or e.content:
+                continue
+            n, links = words[e.end] - words[e.start], linked[e.end] - linked[e.start]
+            if e.article:
+                score = n - 2 * links - (0 if e.text_block else NAME_COST)
+            else:
+                score = n * min(weights.get(f"under {x}", prior(f"under {x}")) for x in e.names)
+            if score <= 0:
+                done = e.end
+                for i in range(e.start, e.end):
+                    self.kept[i] = False
 
     def text_of(self, first: int, last: int) -> str:
         """Blocks ``first`` to ``last`` (inclusive), cleaned and joined."""
-        lines = (SPACE.sub(" ", "".join(b)).strip() for b in self.blocks[first : last + 1])
+        kept = [*self.kept, True]
+        lines = (SPACE.sub(" ", "".join(text for i, text in b if kept[i])).strip() for b in self.blocks[first : last + 1])
         return "\n".join(x for x in lines if x)
 
 
@@ -259,6 +288,8 @@ def prior(feature: str) -> float:
     kind, _, name = feature.partition(" ")
     if kind == "words":
         return -0.5 if name == "in link" else 1.0
+    if kind == "under":
+        return -1.0
     name = name.removeprefix("/")
     if name in CONTAINERS or name == "skipped":
         return -1.5
@@ -270,6 +301,8 @@ def region_counts(page: Page) -> Counter:
     out: Counter = Counter()
     for t in page.tokens:
         out[t.feature, t.article > 0] += max(1, t.words)
+        for name in t.under:
+            out[f"under {name}", t.article > 0] += t.words
     return out
 
 
@@ -278,7 +311,7 @@ def fit_weights(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
     weights = {}
     for feature in {f for f, _ in counts}:
         odds = math.log((counts.get((feature, True), 0) + 1.0) / (counts.get((feature, False), 0) + 1.0))
-        if feature.startswith("words"):
+        if feature.startswith(("words", "under")):
             weights[feature] = min(3.0, max(-1.0, prior(feature) + odds / 4))
         else:
             weights[feature] = min(-0.05, max(-6.0, prior(feature) + min(0.0, odds) / 4))
@@ -303,7 +336,7 @@ def learn_weights(pages: DataFrame, most: int = LABELLED_PAGES) -> dict[str, flo
         kinds = [pa.string(), pa.bool_(), pa.int64()]
         yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 3, kinds)], ["feature", "inside", "n"])
 
-    found = sample.mapInArrow(run, "feature string, inside boolean, n long").groupBy("feature", "inside").agg(F.sum("n").alias("n"))
+    found = shipped(sample).mapInArrow(run, "feature string, inside boolean, n long").groupBy("feature", "inside").agg(F.sum("n").alias("n"))
     return fit_weights({(r["feature"], r["inside"]): r["n"] for r in found.collect()})
 
 
@@ -321,11 +354,14 @@ def best_region(scores: list[float]) -> tuple[int, int] | None:
 
 def main_text(html: str | None, weights: dict[str, float]) -> str:
     page = Page(html or "")
-    scores = [weights.get(t.feature, prior(t.feature)) * max(1, t.words) for t in page.tokens]
-    region = best_region(scores)
+    page.leave_out(weights)
+    tokens = [t for t, kept in zip(page.tokens, page.kept) if kept]
+    region = best_region([weights.get(t.feature, prior(t.feature)) * max(1, t.words) for t in tokens])
+    if region is None:
+        region = best_region([prior(t.feature) * max(1, t.words) for t in tokens])
     if region is None:
         return ""
-    inside = [t for t in page.tokens[region[0] : region[1] + 1] if t.words]
+    inside = [t for t in tokens[region[0] : region[1] + 1] if t.words]
     first, last = inside[0].block, inside[-1].block
     article = inside[0].article, inside[-1].article
     if article[0]:
@@ -348,4 +384,4 @@ def extract(pages: DataFrame, weights: dict[str, float] | None = None) -> DataFr
             )
 
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html")
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return shipped(rows).mapInArrow(run, "page_id long, url string, text string, n_chars long")
