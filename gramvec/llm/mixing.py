@@ -8,7 +8,7 @@ A source's documents are permuted by the md5 of seed and doc_id. Its target is
 taken as whole passes over the permuted documents and then the first of them;
 one document per source is cut, so that the words taken are the target,
 rounded. A pass is dealt in blocks: documents whose md5 shares its leading
-bits, about ``BLOCK_DOCS`` of them. The exact numbers of blocks that the
+bits, as many as make blocks of about ``BLOCK_DOCS``. The exact numbers of blocks that the
 sources give (their quotas) are split among the output shards by a binary
 tree: the left child of a node with k shards draws its share of the node's
 blocks from the multivariate hypergeometric distribution, seeded by the node.
@@ -18,7 +18,8 @@ of a shard are put in an order of their own.
 The size of a document is its number of words (null text: 0). Documents of
 size 0 take nothing. Rows with equal doc_id and source are ordered by the hash
 of their text; equal rows follow each other and are drawn one by one. A null
-doc_id is permuted like any other. An empty table gives an empty mix. Extra columns are ignored.
+doc_id is permuted like any other; all of a source's rows without one have the
+same md5, so their blocks follow from the hash of their text. An empty table gives an empty mix. Extra columns are ignored.
 Weights, targets and quotas of the sources, a row for each source, pass the
 driver.
 """
@@ -35,17 +36,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from gramvec.llm.common import WORD, staged
+from gramvec.operators.ordinals import prefix_sums
 
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2.0
 SEED = 17
-#: Documents of a block, about; a source has 65,536 blocks at most, so that larger sources have larger blocks.
+#: Documents of a block, about.
 BLOCK_DOCS = 64
-BLOCK_DIGITS = 4
+#: Hexadecimal digits of the md5, and bits, that blocks are numbered by, whatever their number.
+BLOCK_DIGITS = 15
+#: Bits of a block's number that part the rows without doc_id.
+PART_BITS = 21
 #: Words of an output shard, about.
 SHARD_WORDS = 1_000_000
-#: Partitions that the shards are written to, at most.
-SHARD_FILES = 10_000
 #: Blocks whose shards are broadcast, at most.
 BROADCAST_BLOCKS = 500_000
 
@@ -95,7 +98,7 @@ def source_plan(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, most: fl
     """``source, source_size, target, passes, rest, shift`` of every source.
 
     ``passes`` whole passes and ``rest`` words of the next one make the target.
-    A block's number is the key's first ``BLOCK_DIGITS`` digits shifted right by ``shift`` bits.
+    A block's number begins with the key's first ``BLOCK_DIGITS`` digits shifted right by ``shift`` bits.
     """
     found = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
     found = sorted(found, key=lambda r: (r["source"] is None, r["source"] or ""))
@@ -105,7 +108,7 @@ def source_plan(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, most: fl
     for r, t in zip(found, wanted):
         take = min(int(t + 0.5), int(most * r["size"]))
         passes = take // r["size"] if r["size"] else 0
-        bits = max(0, min(4 * BLOCK_DIGITS, (r["n"] // BLOCK_DOCS).bit_length()))
+        bits = (r["n"] // BLOCK_DOCS).bit_length()
         out.append((r["source"], r["size"], float(t), passes, take - passes * r["size"], 4 * BLOCK_DIGITS - bits))
     return rows.sparkSession.createDataFrame(
         out, "source string, source_size long, target double, passes long, rest long, shift int"
@@ -120,7 +123,13 @@ def with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def with_block(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("block", F.expr(f"shiftright(cast(conv(substring(key, 1, {BLOCK_DIGITS}), 16, 10) as int), shift)"))
+    """``block``: ascends with ``key``. In the block of the rows without doc_id, these have numbers by their text's hash."""
+    none = hashlib.md5(f"{SEED}|null".encode()).hexdigest()
+    md5, most = F.substring("key", 1, 32), 1 << (PART_BITS - 1)
+    hashed = F.conv(F.substring("key", 33, (PART_BITS - 1) // 4), 16, 10).cast("long")
+    part = F.when(md5 < none, F.lit(0)).when(md5 == none, 1 + hashed).otherwise(F.lit(most + 1)).cast("long")
+    leading = F.expr(f"shiftright(cast(conv(substring(key, 1, {BLOCK_DIGITS}), 16, 10) as bigint), shift)")
+    return rows.withColumn("block", leading * (1 << PART_BITS) + part)
 
 
 def taken_words(rows: DataFrame, plan: DataFrame) -> DataFrame:
@@ -131,11 +140,8 @@ def taken_words(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """
     all_rows = with_block(with_plan(rows, plan))
     blocks = all_rows.groupBy("source", "block").agg(F.sum("size").alias("words"))
-    before = blocks.select(
-        F.col("source").alias("_s"),
-        F.col("block").alias("_b"),
-        (F.sum("words").over(W.partitionBy("source").orderBy("block")) - F.col("words")).alias("earlier"),
-    )
+    before = prefix_sums(blocks, ["block"], "words", "earlier", by="source")
+    before = before.select(F.col("source").alias("_s"), F.col("block").alias("_b"), "earlier")
     joined = all_rows.join(before, all_rows["source"].eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b"))).drop("_s", "_b")
     own = W.partitionBy("source", "block").orderBy("key", "_mix_row").rowsBetween(W.unboundedPreceding, 0)
     start = F.col("earlier") + F.sum("size").over(own) - F.col("size")
@@ -181,20 +187,18 @@ def passes_of(rows: DataFrame) -> DataFrame:
     return rows.select("*", F.posexplode(copies).alias("copy", "words")).where("words > 0")
 
 
-def shard_plan(drawn: DataFrame) -> tuple[DataFrame, int]:
+def shard_plan(drawn: DataFrame, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, int]:
     """``_s, _c, _b, shard``: the shard of every block that a source gives in a pass; and the number of shards."""
     spark = drawn.sparkSession
     # Blocks in the order they are drawn: those of pass 0, of pass 1, ..., each pass in permuted order.
-    blocks = passes_of(drawn).groupBy("source", "copy", "block").agg(F.sum("words").alias("words"))
-    blocks = blocks.withColumn("turn", F.row_number().over(W.partitionBy("source").orderBy("copy", "block")).cast("long") - 1)
-    blocks = staged(blocks, "mix-blocks")
+    blocks = passes_of(drawn).groupBy("source", "copy", "block").agg(F.sum("words").alias("words")).withColumn("one", F.lit(1).cast("long"))
+    blocks = staged(prefix_sums(blocks, ["copy", "block"], "one", "turn", by="source"), "mix-blocks")
     found = blocks.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("words").alias("words")).collect()
     found = sorted(found, key=lambda r: (r["source"] is None, r["source"] or ""))
-    shards = max(1, -(-sum(r["words"] for r in found) // SHARD_WORDS))
+    shards = max(1, -(-sum(r["words"] for r in found) // shard_words))
     numbers = spark.createDataFrame([(r["source"], i) for i, r in enumerate(found)], "source string, number long")
-    runs = shard_runs(spark, [r["n"] for r in found], shards)
-    runs = runs.withColumn("end", F.sum("n").over(W.partitionBy("number").orderBy("shard")))
-    runs = runs.select("number", F.explode(F.expr("sequence(end - n, end - 1)")).alias("turn"), "shard")
+    runs = prefix_sums(shard_runs(spark, [r["n"] for r in found], shards), ["shard"], "n", "begin", by="number")
+    runs = runs.select("number", F.explode(F.expr("sequence(begin, begin + n - 1)")).alias("turn"), "shard")
     other = numbers.withColumnRenamed("source", "_s")
     numbered = blocks.join(other, blocks["source"].eqNullSafe(F.col("_s"))).drop("_s")
     placed = numbered.join(runs, ["number", "turn"]).select(
@@ -210,7 +214,7 @@ def with_shard(pieces: DataFrame, placed: DataFrame) -> DataFrame:
     return pieces.join(small, of_block).drop("_s", "_c", "_b").withColumn("turn", F.md5(F.concat_ws("|", "shard", "copy", "key")))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame]:
     """``(mix, rows)``.
 
     ``mix``: ``shard, position, _mix_row, doc_id, copy, size, words`` of every document
@@ -220,7 +224,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     rows = staged(sized(docs), "mix-rows")
     plan = source_plan(rows, weights, share, most)
     drawn = staged(taken_words(rows, plan), "mix-drawn")
-    out = with_shard(passes_of(drawn), shard_plan(drawn)[0])
+    out = with_shard(passes_of(drawn), shard_plan(drawn, shard_words)[0])
     order = W.partitionBy("shard").orderBy("turn", "_mix_row")
     out = out.withColumn("position", F.row_number().over(order).cast("long") - 1)
     return out.select("shard", "position", "_mix_row", "doc_id", "copy", "size", "words"), with_plan(rows, plan)
@@ -237,10 +241,12 @@ def mix_digest(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"))
 
 
-def mix_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+def mix_documents(
+    docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, shard_words: int = SHARD_WORDS, files: int = 10_000
+) -> DataFrame:
     """The documents of the mix with the columns of ``docs``: partition i is shard i, in the order of ``mix``.
 
-    More than ``SHARD_FILES`` shards: each partition has a run of whole shards, one after another.
+    More than ``files`` shards: each partition has a run of whole shards, one after another.
     A document that is cut keeps its text up to its last word taken, and
     ``n_chars``, if there, follows. Copies are rows of their own.
 
@@ -252,7 +258,7 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most:
     rows = kept.select("_mix_row", "_mix.*")
     plan = source_plan(rows, weights, share, most)
     drawn = staged(taken_words(rows, plan), "mix-drawn")
-    placed, shards = shard_plan(drawn)
+    placed, shards = shard_plan(drawn, shard_words)
     last = drawn.where("first > 0").groupBy(F.col("source").alias("_l")).agg(F.max(F.struct("block", "key", "_mix_row", "first")).alias("last"))
     ends = staged(plan.join(last, plan["source"].eqNullSafe(F.col("_l")), "left").drop("_l"), "mix-ends")
     full = with_block(with_plan(kept.select("_mix_row", "_mix.*", *[f"_of_{c}" for c in docs.columns]), ends))
@@ -267,7 +273,7 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most:
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("_of_n_chars", F.when(cut, F.length("_of_text").cast(kind)).otherwise(F.col("_of_n_chars")))
-    parts = min(shards, SHARD_FILES)
+    parts = min(shards, files)
     needed = out.select("shard", "turn", "_mix_row", *[f"_of_{c}" for c in docs.columns])
     dealt = needed.repartitionById(parts, F.expr(f"cast(shard * {parts} div {shards} as int)"))
     ordered = dealt.sortWithinPartitions("shard", "turn", "_mix_row")
