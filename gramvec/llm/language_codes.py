@@ -7,13 +7,13 @@ its weight for an n-gram is the log ratio of the smoothed n-gram frequencies
 of the two groups. A text's margin for a bit is the mean weight of its
 n-grams. Decoding takes the language with the least loss, where bit b with
 margin m costs ``reliability[b] * log(1 + exp(-SHARP * y * m))``, y being the
-codeword's bit as +1 or -1; reliability is the bit's accuracy on one held-back
-tenth of the training documents, above chance. ``score`` is the share of
+codeword's bit as +1 or -1; reliability is the bit's accuracy, above chance, on
+one tenth of the training documents by the weights of the other nine. ``score`` is the share of
 exp(-loss) that the chosen language has; a text is ``ambiguous`` if the
 runner-up's loss is within ``MARGIN``.
 
-Weights come from counts over the whole texts of all training documents,
-summed by Spark to one row of counts per language.
+Weights come from counts over the whole texts of all training documents, that
+tenth included, summed by Spark to one row of counts per language.
 
 A text that is null or has no letter is ``und`` with score 0, as is every text
 if nothing was learned. A null doc_id counts as the empty text in the split.
@@ -28,10 +28,13 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gramvec.llm.common import shipped
+
 GRAMS = (1, 2, 3)
 BUCKETS = 1 << 15
 SHARP, MARGIN = 4.0, 0.5
@@ -112,42 +115,58 @@ def fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS))
 
 
-def learn(docs: DataFrame) -> Model:
-    """Fit on text and non-null lang of the documents outside fold ``HELD``.
-
-    One pass counts n-grams per language and per part of the training
-    documents (nine tenths and the rest); a task sends one row per language
-    and part, and the driver receives their sums.
-    """
-    train = docs.where((fold(F.col("doc_id")) != HELD) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rows = train.select("lang", "text", (F.pmod(F.xxhash64("doc_id"), F.lit(10)) == 0).alias("aside"))
+def counted(train: DataFrame) -> DataFrame:
+    """``lang, main, aside``: n-gram counts of the documents of each language, nine tenths and one tenth apart."""
+    rows = train.select("lang", "text", aside().alias("aside"))
 
     def count(batches):
-        held: dict[str, np.ndarray] = {}
+        held: dict[tuple[str, bool], np.ndarray] = {}
         for batch in batches:
             for lang, text, aside in zip(*(c.to_pylist() for c in batch.columns)):
-                if aside:
-                    continue
-                if lang not in held:
-                    held[lang] = np.zeros(BUCKETS, np.int64)
+                if (lang, aside) not in held:
+                    held[lang, aside] = np.zeros(BUCKETS, np.int64)
                 for buckets in grams(text):
-                    held[lang] += np.bincount(buckets, minlength=BUCKETS)
-        for lang, n in held.items():
+                    held[lang, aside] += np.bincount(buckets, minlength=BUCKETS)
+        for (lang, aside), n in held.items():
             at = np.flatnonzero(n)
-            yield pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(n[at])], ["lang", "bucket", "n"])
+            # a text without letters or other characters still makes its language known
+            at = at if len(at) else np.zeros(1, np.int64)
+            made = [pa.array([lang] * len(at), pa.string()), pa.array([aside] * len(at), pa.bool_()), pa.array(at), pa.array(n[at])]
+            yield pa.record_batch(made, ["lang", "aside", "bucket", "n"])
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros((2, BUCKETS), np.int64)
+        out[rows["aside"].to_numpy(np.int64), rows["bucket"]] = rows["n"]
+        return pd.DataFrame([{"lang": rows["lang"].iloc[0], "main": out[0].tobytes(), "aside": out[1].tobytes()}])
+
+    summed = shipped(rows).mapInArrow(count, "lang string, aside boolean, bucket long, n long").groupBy("lang", "aside", "bucket").agg(F.sum("n").alias("n"))
+    return summed.groupBy("lang").applyInPandas(pack, "lang string, main binary, aside binary")
 
-    summed = rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    languages = sorted(summed["lang"].unique())
-    counts = np.zeros((len(languages), BUCKETS))
-    counts[np.searchsorted(languages, summed["lang"]), summed["bucket"]] = summed["n"]
-    model = Model(languages, counts)
+
+def aside() -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(10)) == 0
+
+
+def learn(docs: DataFrame) -> Model:
+    """Fit on text and non-null lang of the documents outside fold ``HELD``.
+
+    A task sends one row per language, part and n-gram bucket; the driver
+    receives a row of counts per language. Reliabilities come from the weights
+    without the tenth set aside; the model's own weights from all.
+    """
+    train = docs.where((fold(F.col("doc_id")) != HELD) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = sorted(counted(train).collect(), key=lambda r: r["lang"])
+    languages = [r["lang"] for r in rows]
+    main, rest = (np.array([np.frombuffer(r[c], np.int64) for r in rows]).reshape(len(rows), BUCKETS) for c in ("main", "aside"))
     if not languages:
-        return model
+        return Model(languages, main)
+    model = Model(languages, main)
+    seen = main.sum(1) > 0
 
     def test(batches):
         bits = model.code.shape[1]
         right, total = np.zeros(bits, np.int64), 0
-        number = {x: i for i, x in enumerate(languages)}
+        number = {x: i for i, x in enumerate(languages) if seen[i]}
         for batch in batches:
             for lang, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if lang in number:
@@ -155,11 +174,12 @@ def learn(docs: DataFrame) -> Model:
                     total += 1
         yield pa.record_batch([pa.array(range(bits), pa.int64()), pa.array(right), pa.array([total] * bits, pa.int64())], ["bit", "n", "total"])
 
-    tested = rows.where("aside").select("lang", "text").mapInArrow(test, "bit long, n long, total long")
+    tested = train.where(aside()).select("lang", "text").mapInArrow(test, "bit long, n long, total long")
+    whole = Model(languages, main + rest)
     for r in tested.groupBy("bit").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect():
         if r["total"]:
-            model.reliability[r["bit"]] = max(0.05, 2 * r["n"] / r["total"] - 1)
-    return model
+            whole.reliability[r["bit"]] = max(0.05, 2 * r["n"] / r["total"] - 1)
+    return whole
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -175,7 +195,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             )
 
     rows = docs.select(F.col("doc_id").cast("long"), "text", (fold(F.col("doc_id")) == HELD).alias("held_out"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
+    return shipped(rows).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
 
 
 def identify(docs: DataFrame) -> DataFrame:
