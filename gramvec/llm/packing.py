@@ -2,35 +2,40 @@
 
 A piece of n tokens costs ``linear * n + quadratic * n * n`` (attention stays
 inside a piece). Every full ``seq_len`` tokens of a document make a sequence
-of their own. The remainders are dealt by a hash to groups of about
+of their own. All pieces are dealt by a hash to groups of about
 ``GROUP_BYTES`` of text; a group with R remaining tokens opens R // seq_len
 sequences of ``seq_len`` and one for each power of two in R % seq_len, so that
 no padding is needed. Pieces go in descending order to the lowest-cost
 sequence with room for them; a piece that fits nowhere is cut at the
 lowest-cost sequence with any room left.
 
-Null and empty texts are packed as the end id alone. Repeated doc_ids are
-packed row by row. An empty table gives no row; other columns are ignored.
+Pieces are dealt one by one, so neither a long document nor equal rows meet in
+one group. Null and empty texts are packed as the end id alone. Repeated
+doc_ids are packed row by row. An empty table gives no row; other columns are ignored.
 Ties are broken by doc_id (null last), then the ids' checksum.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gramvec.llm.common import shipped
+
 from gramvec.llm.huffman_ids import squeeze, unsqueeze
 from gramvec.llm.tokens import encoder, slices
 
 SEQ_LEN = 4096
 #: Cost of a token, and of a token pair in attention, for a model 4096 wide.
 LINEAR, QUADRATIC = 1.0, 1.0 / (6 * 4096)
-#: Bytes of text whose remainders are packed together.
+#: Bytes of text whose pieces are packed together.
 GROUP_BYTES = 4_000_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, cost double"
@@ -87,14 +92,18 @@ def pack(
 
     def tokenize(batches):
         enc = encoder(tokenizer_path)
+        part, seen = TaskContext.get().partitionId(), Counter()
         for batch in slices(batches):
             ids, at = enc.encode(batch.column("text").to_pylist())
             rows = []
             for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist()):
                 own = np.append(ids[a:b], np.uint32(end_id))
-                group = zlib.crc32(b"%d|%d" % (-1 if doc_id is None else doc_id, crc(own))) % groups
+                name = -1 if doc_id is None else doc_id, crc(own)
+                seen[name] += 1
                 for start in range(0, len(own), seq_len):
                     piece = own[start : start + seq_len]
+                    # equal rows of a partition are numbered, whatever their order, so a retry deals them alike
+                    group = zlib.crc32(b"%d|%d|%d|%d|%d" % (*name, start, part, seen[name])) % groups
                     rows.append((group, doc_id or 0, doc_id is None, start, len(piece), len(own), crc(piece), squeeze(piece)))
             kinds = [pa.int64(), pa.int64(), pa.bool_()] + [pa.int64()] * 4 + [pa.binary()]
             yield pa.record_batch(
@@ -141,5 +150,5 @@ def pack(
             out["ids"] = [x.astype(np.int64) for x in pieces]
         return out
 
-    pieces = docs.mapInArrow(tokenize, "grp long, doc_id long, none boolean, start long, length long, doc_tokens long, crc long, ids binary")
+    pieces = shipped(docs).mapInArrow(tokenize, "grp long, doc_id long, none boolean, start long, length long, doc_tokens long, crc long, ids binary")
     return pieces.groupBy("grp").applyInPandas(place, PIECES + (", ids array<long>" if with_ids else ""))

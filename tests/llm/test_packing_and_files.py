@@ -143,6 +143,19 @@ def test_packing_stage_holds_all_ids(spark):
     assert Counter(tuple(r) for r in K.pack(docs).collect()) == Counter(tuple(r)[:-1] for r in rows)
 
 
+def test_long_and_equal_documents_meet_in_no_group(spark, monkeypatch):
+    monkeypatch.setattr(K, "GROUP_BYTES", 20_000)
+    text = "the cat sat on the mat " * 40_000
+    rows = [(1, text, None, None, None)] + [(None, "same words again", None, None, None)] * 3000
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    found = K.pack(docs).collect()
+    groups, n = len({r["sequence_id"] >> 32 for r in found}), len(plain_ids(text))
+    by = Counter(r["sequence_id"] >> 32 for r in found if r["doc_id"] is None)
+    assert groups > 30 and max(by.values()) < 0.15 * sum(by.values())
+    parts = [r for r in found if r["doc_id"] == 1]
+    assert len({r["sequence_id"] >> 32 for r in parts}) > 0.4 * len(parts) and sum(r["length"] for r in parts) == n
+
+
 def test_assignment_is_balanced():
     rng = np.random.default_rng(2)
     lengths = np.sort(rng.integers(1, 4096, 900))[::-1]
@@ -213,23 +226,53 @@ def test_mixed_documents_are_whole_but_one_per_source(spark):
 
 @pytest.mark.parametrize("files, broadcast", [(10_000, 500_000), (2, 0)])
 def test_mixed_documents_stand_in_their_shards(spark, monkeypatch, files, broadcast):
-    monkeypatch.setattr(M, "SHARD_WORDS", 4000)
     monkeypatch.setattr(M, "BLOCK_DOCS", 2)
-    monkeypatch.setattr(M, "SHARD_FILES", files)
     monkeypatch.setattr(M, "BROADCAST_BLOCKS", broadcast)
     docs = corpus(spark).where("doc_id IS NULL OR doc_id != 7").repartition(3)
     text = {r["doc_id"]: r["text"] or "" for r in docs.collect() if r["doc_id"] is not None}
     want = defaultdict(list)
-    for r in sorted(M.mix(docs)[0].collect(), key=lambda r: (r["shard"], r["position"])):
+    for r in sorted(M.mix(docs, shard_words=4000)[0].collect(), key=lambda r: (r["shard"], r["position"])):
         want[r["shard"]].append((r["doc_id"], r["words"]))
     shards = max(want) + 1
     parts = min(shards, files)
     expected = [[x for s in range(shards) if s * parts // shards == p for x in want[s]] for p in range(parts)]
-    found = M.mix_documents(docs).rdd.glom().collect()
+    found = M.mix_documents(docs, shard_words=4000, files=files).rdd.glom().collect()
     assert shards > 5 and [[(r["doc_id"], len((r["text"] or "").split())) for r in p] for p in found] == expected
     assert all(text[r["doc_id"]].startswith(r["text"]) for p in found for r in p if r["doc_id"] is not None)
 
 
+def test_blocks_follow_the_number_of_documents(spark):
+    """No cap on blocks, ids without number or not; blocks ascend with the key."""
+    from pyspark.sql import functions as F
+
+    rows = [(i if i % 3 else None, f"w{i} x y", "en", "a", None) for i in range(3000)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    kept = M.sized(docs)
+    plan = M.source_plan(kept).withColumn("shift", F.lit(20))  # as for 10^12 blocks
+    blocks = M.with_block(M.with_plan(kept, plan)).select("doc_id", "key", "block").collect()
+    assert [r["block"] for r in sorted(blocks, key=lambda r: r["key"])] == sorted(r["block"] for r in blocks)
+    assert len({r["block"] for r in blocks if r["doc_id"] is not None}) == 2000
+    assert len({r["block"] for r in blocks if r["doc_id"] is None}) > 990
+    assert max(r["block"] for r in blocks) < 2**63
+
+
+def test_prefix_sums(spark):
+    from pyspark.sql import functions as F
+
+    from gramvec.operators.ordinals import prefix_sums
+
+    rows = [(k, i, (i * 7 + 3) % 11) for k in ("a", None, "c") for i in range(200 if k == "a" else 5)]
+    df = spark.createDataFrame(rows, "k string, at long, v long").repartition(3)
+    seen, want = Counter(), set()
+    for k, i, v in rows:
+        want.add((k, i, v, seen[k]))
+        seen[k] += v
+    assert {tuple(r) for r in prefix_sums(df, ["at"], "v", "before", by="k").collect()} == want
+    whole = prefix_sums(df.where("k = 'a'"), ["at"], "v", "before")
+    assert {tuple(r) for r in whole.collect()} == {w for w in want if w[0] == "a"}
+    assert prefix_sums(df.where(F.lit(False)), ["at"], "v", "before").count() == 0
+
+
 # ---------------------------------------------------------------- op8
 def pages(spark):
     long = "<p>" + "é" * 60 + "</p>"
@@ -274,6 +317,109 @@ def test_seeks_and_plain_reader(spark):
 
 
 # ---------------------------------------------------------------- pipeline
+def pipeline_corpus():
+    """Enough labelled documents that cutoffs are certified, near copies, secrets, and odd rows."""
+    import random
+
+    rng = random.Random(12)
+    word = lambda: rng.choice("bcdfgh") + rng.choice("aeiou") * rng.randint(1, 2) + str(rng.randint(0, 300))
+    rows, labels = [], []
+    for i in range(700):
+        words = [word() for _ in range(rng.randint(30, 60))]
+        bad = i % 5 == 0
+        if i % 9 == 1:
+            words[4] = "password=" + "Ab3" * rng.randint(3, 6)
+        if i % 31 == 2:
+            words[7:9] = ["AKIA" + "Q7" * 9, "0123456789abcdef" * 2]
+        text = " ".join(w + "###" if bad else w for w in words)
+        rows.append((i, text, "en", rng.choice(["a", "b", "c", None]), len(text)))
+        labels.append((i, int(not bad), 0))
+    copies = [(1000 + k, rows[k][1] if k % 2 else rows[k][1].upper(), "en", "b", len(rows[k][1])) for k in (1, 2, 3, 4, 6)]
+    odd = [(2000, None, None, None, None), (2001, "too short", "en", "a", 9), (2002, " ".join(word() for _ in range(9000)), "xx", "c", 1)]
+    return rows + copies + odd, labels
+
+
+def chain(rows, cutoffs):
+    """Plain Python up to the mix: the texts that go into sequences, with how many words of each are taken."""
+    import duckdb
+    import pandas as pd
+    import re
+
+    from gramvec.llm import risk_rules as R
+    from gramvec.llm import secret_index as X
+    from test_pairs_and_sketches import plain_components, plain_fingerprint
+
+    kept = []
+    for r in rows:
+        n = dict(zip(R.COUNTS, R.counts_of(r[1])))
+        cut = cutoffs.get("none" if r[2] is None else f"lang {r[2]}", {}).get("cutoffs")
+        over = cut and any(n[a] / max(n[b], 1) > cut[k] for k, (a, b) in R.RULES.items())
+        if n["n_words"] >= 20 and 100 * n["n_repeat_words"] <= 30 * n["n_words"] and not over:
+            kept.append(r)
+    root = plain_components([plain_fingerprint(r[1]) for r in kept])
+    first = {}
+    for r, c in zip(kept, root):
+        first[c] = min(first.get(c, r), r, key=lambda x: x[0])
+    masked = []
+    for r in sorted(first.values()):
+        spans = []
+        for rule in X.RULES:
+            spans += [m.span() for m in re.finditer(rule.pattern, r[1]) if len(m[rule.group]) >= rule.least]
+        out, at = "", 0
+        for a, b in sorted(spans):
+            if a >= at:
+                out += r[1][at:a] + X.MASK
+            at = max(at, b)
+        masked.append((r[0], out + r[1][at:], r[2], r[3], r[4]))
+    documents = pd.DataFrame(masked, columns=["doc_id", "text", "lang", "source", "n_chars"])  # noqa: F841
+    found = duckdb.sql(M.oracle()).fetchall()
+    return len(kept), masked, {r[0]: r[-1] for r in found}
+
+
+def test_pipeline_against_plain_python(spark, tmp_path):
+    import re
+
+    import corpus_pipeline as C
+    from gramvec.llm import risk_rules as R
+
+    rows, labels = pipeline_corpus()
+    docs, lab = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    lab.write.parquet(f"{tmp_path}/labels.parquet")
+    cutoffs = R.certified_cutoffs(R.with_counts(docs.select("doc_id", "lang", "text")), lab)
+    assert cutoffs["lang en"]["cutoffs"] and not cutoffs.get("lang xx", {}).get("cutoffs")
+    n_kept, masked, taken = chain(rows, cutoffs)
+    assert 500 < n_kept < 600 and len(masked) == n_kept - 2 and any("[SECRET]" in r[1] for r in masked)
+    # what is taken of each text: whole, and once per source a beginning
+    word = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+")
+    want = defaultdict(Counter)
+    for doc_id, text, *_ in masked:
+        size = len(word.findall(text))
+        whole, rest = divmod(taken[doc_id], size)
+        want[doc_id][text] += whole
+        if rest:
+            want[doc_id]["".join(word.findall(text)[:rest])] += 1
+    packed = C.run(spark, str(tmp_path)).collect()
+    found = defaultdict(Counter)
+    for r in packed:
+        found[r["doc_id"]].update((i, x) for i, x in enumerate(r["ids"], r["start"]))
+    expected = defaultdict(Counter)
+    for doc_id, texts in want.items():
+        for text, n in texts.items():
+            for _ in range(n):
+                expected[doc_id].update(enumerate(plain_ids(text)))
+    assert {k: v for k, v in found.items()} == {k: v for k, v in expected.items() if v}
+    by = defaultdict(list)
+    for r in packed:
+        by[r["sequence_id"]].append((r["offset"], r["length"]))
+    for pieces in by.values():
+        at = 0
+        for offset, n in sorted(pieces):
+            assert offset == at
+            at += n
+        assert at == 4096 or at & (at - 1) == 0
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as C
 
@@ -285,9 +431,48 @@ def test_pipeline_stages(spark, tmp_path):
     for name, stage in C.STAGES[:-1]:
         now = stage(spark, now, str(tmp_path))
         assert now.columns == docs.columns, name
-    packed = C.run(spark, str(tmp_path))
-    assert packed.count() > 0 and {"doc_id", "start", "length", "sequence_id", "offset"} <= set(packed.columns)
     assert C.ORACLE_SQL is None
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/none/documents.parquet")
     labels.limit(0).write.parquet(f"{tmp_path}/none/labels.parquet")
     assert C.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_stages_keep_columns_of_their_own_names(spark):
+    """An input may have the names that the operators give to columns of their own."""
+    from pyspark.sql import functions as F
+
+    from gramvec.llm import risk_rules as R
+    from gramvec.llm import secret_index as X
+    from gramvec.llm import simhash_pivots as P
+
+    names = ["_secret_spans", "_secret_doc", "_secret_rules", "_secret_hit", "_quality_n_words", "_QUALITY_n", "_near_row", "__near_row", "_mix", "_mix_row"]
+    docs = corpus(spark, extra=False).select("*", *[F.lit(f"own {c}").alias(c) for c in names])
+    lab = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    for out in (X.redact(docs), R.keep_good(docs, lab), P.keep_one(docs), M.mix_documents(docs)):
+        assert out.columns == docs.columns
+        assert {tuple(r) for r in out.select(*names).distinct().collect()} == {tuple(f"own {c}" for c in names)}
+
+
+def test_operators_run_from_another_folder(tmp_path):
+    """Tasks find the package although neither folder nor path leads to it."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from gramvec.session import local_session
+from gramvec.llm.huffman_ids import huffman_round_trip
+from gramvec.llm.language_codes import identify
+from gramvec.llm.simhash_pivots import near_duplicates
+spark = local_session(2, 2, "1g")
+docs = spark.createDataFrame([(1, "a b c d", "en"), (2, "a b c d", "en")], "doc_id long, text string, lang string")
+assert [r["component_id"] for r in near_duplicates(docs).collect()] == [1, 1]
+assert huffman_round_trip(docs).count() == 2 and identify(docs).count() == 2
+print("all ran")
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH" or root not in v}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "all ran" in done.stdout, done.stderr[-2000:]
