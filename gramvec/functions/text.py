@@ -41,6 +41,18 @@ LANGUAGE_CODES = {"german": "de", "english": "en", "french": "fr", "spanish": "e
 INITIALS = f"(^|{WS}|[(\"'„“«])(\\p{{L}})\\.([ \\x{{A0}}\\x{{2009}}\\x{{202F}}]*)(\\p{{L}}|e[jx])\\."
 
 
+# The same for Java alone, several times as fast: a place is looked at only if it begins with
+# what a match needs, and then behind. A match ends with a stop, which none begins after.
+_BEFORE = f"(?<![^{WS_CLASS}(\"'„“«])"
+_INITIALS = f"(?=\\p{{L}}\\.){_BEFORE}(\\p{{L}})\\.([ \\x{{A0}}\\x{{2009}}\\x{{202F}}]*)(\\p{{L}}|e[jx])\\."
+_OTHER_SPACE = f"[{WS_CLASS.replace(' ', '')}]"
+
+
+def _abbreviations(code: str) -> str:
+    words = ABBREVIATIONS[code].split()
+    return f"(?=[{''.join(sorted({w[0] for w in words}))}]){_BEFORE}({'|'.join(words)})\\."
+
+
 def abbreviation_pattern(code: str) -> str:
     return f"(^|{WS}|[(\"'„“«])({'|'.join(ABBREVIATIONS[code].split())})\\."
 
@@ -55,13 +67,13 @@ def mark_stops(text, lang=None) -> Column:
     ``lang`` is a language name or code, as a column; for any other one only
     initials count.
     """
-    out = F.regexp_replace(_c(text), INITIALS, f"$1$2{STOP_MARK}$3$4{STOP_MARK}")
+    out = F.regexp_replace(_c(text), _INITIALS, f"$1{STOP_MARK}$2$3{STOP_MARK}")
     if lang is None:
         return out
     name = F.lower(_c(lang))
     found = out
     for long, code in LANGUAGE_CODES.items():
-        found = F.when(name.isin(long, code), F.regexp_replace(out, abbreviation_pattern(code), f"$1$2{STOP_MARK}")).otherwise(found)
+        found = F.when(name.isin(long, code), F.regexp_replace(out, _abbreviations(code), f"$1{STOP_MARK}")).otherwise(found)
     return found
 
 
@@ -85,7 +97,8 @@ def clean_sentence_words(chunk) -> Column:
     s = F.regexp_replace(s, NEG_CONTRACTION, " $1$2")
     s = F.regexp_replace(s, CONTRACTION, " $1$2")
     s = F.lower(F.regexp_replace(s, NON_LETTER_OR_WS, ""))
-    return F.array_remove(F.split(s, WS + "+", -1), "")
+    # split by one plain character: Spark compiles any other pattern anew for every row
+    return F.array_remove(F.split(F.regexp_replace(s, _OTHER_SPACE, " "), " ", -1), "")
 
 
 def mark_word(word) -> Column:

@@ -37,12 +37,13 @@ def skipgram_pairs(sents: DataFrame, skip_window: int, seed: int, passes: int =
         tok = tok.select("*", F.explode(F.sequence(F.lit(0), F.lit(int(passes) - 1))).alias("pass"))
     else:
         tok = tok.withColumn("pass", F.lit(0))
+    # the width is exploded and the slice made inside the generator, so that no filter made from the explode draws again
     win = (F.lit(1) + F.floor(_u(seed, "win", "pass", "doc_id", "sent_idx", "pos") * int(skip_window))).cast("int")
-    w = tok.select("pass", "doc_id", "sent_idx", "pos", "target", "words", win.alias("win"))
+    w = tok.select("pass", "doc_id", "sent_idx", "pos", "target", "words", F.explode(F.array(win)).alias("win"))
     lo = F.greatest(F.col("pos") - F.col("win"), F.lit(0))
     hi = F.least(F.col("pos") + F.col("win"), F.size("words") - 1)
-    nb = w.select("pass", "doc_id", "sent_idx", "pos", "target", lo.alias("lo"), F.slice("words", lo + 1, hi - lo + 1).alias("nb"))
-    ex = nb.select("pass", "doc_id", "sent_idx", "pos", "target", "lo", F.posexplode("nb").alias("j", "context"))
+    near = F.slice("words", lo + 1, hi - lo + 1)
+    ex = w.select("pass", "doc_id", "sent_idx", "pos", "target", lo.alias("lo"), F.posexplode(near).alias("j", "context"))
     off = (F.col("lo") + F.col("j") - F.col("pos")).cast("int")
     return ex.select("pass", "doc_id", "sent_idx", "pos", off.alias("off"), "target", "context").where(F.col("off") != 0)
 

@@ -18,8 +18,9 @@ def sentences(documents: DataFrame) -> DataFrame:
     """
     lang = F.col("lang") if "lang" in documents.columns else None
     chunks = documents.select("doc_id", F.posexplode(mark_sentences("text", lang)).alias("sent_idx", "raw"))
+    # exploded, so that filters on the words above don't make them again
     return chunks.where(~is_blank("raw")).select(
-        "doc_id", F.col("sent_idx").cast("int").alias("sent_idx"), clean_sentence_words("raw").alias("words")
+        "doc_id", F.col("sent_idx").cast("int").alias("sent_idx"), F.explode(F.array(clean_sentence_words("raw"))).alias("words")
     )
 
 
@@ -28,8 +29,8 @@ def clean_sentences(sents: DataFrame) -> DataFrame:
     return sents.select("doc_id", "sent_idx", F.array_join("words", " ").alias("sentence"))
 
 
-def tokens(sents: DataFrame, count_empty: bool = True) -> DataFrame:
-    """``tokens(doc_id, sent_idx, pos, word)``: one row per word occurrence.
+def tokens(sents: DataFrame, count_empty: bool = True, keep: tuple[str, ...] = ("doc_id", "sent_idx")) -> DataFrame:
+    """``tokens(doc_id, sent_idx, pos, word)``: one row per word occurrence, with ``keep`` of its sentence.
 
     With ``count_empty`` a sentence without words yields the empty word at
     pos 0 (the original splits the empty sentence string into ``['']``).
@@ -37,4 +38,4 @@ def tokens(sents: DataFrame, count_empty: bool = True) -> DataFrame:
     words = F.col("words")
     if count_empty:
         words = F.when(F.size(words) == 0, F.array(F.lit(""))).otherwise(words)
-    return sents.select("doc_id", "sent_idx", F.posexplode(words).alias("pos", "word"))
+    return sents.select(*keep, F.posexplode(words).alias("pos", "word"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gramvec.operators.ordinals import global_ordinal
+from gramvec.operators.text import tokens
 
 # position of an occurrence packed into one decimal so the first occurrence is
 # a fixed-width min() (hash aggregation) instead of a min over a struct (sort
@@ -15,21 +16,26 @@ _P31 = 2147483648
 _POS_TYPE = "decimal(38,0)"
 
 
-def _packed_position():
+def _packed_sentence():
     return (
-        F.col("doc_id").cast(_POS_TYPE) * F.lit(_P62).cast(_POS_TYPE)
-        + F.col("sent_idx").cast(_POS_TYPE) * F.lit(_P31).cast(_POS_TYPE)
-        + F.col("pos").cast(_POS_TYPE)
+        F.col("doc_id").cast(_POS_TYPE) * F.lit(_P62).cast(_POS_TYPE) + F.col("sent_idx").cast(_POS_TYPE) * F.lit(_P31).cast(_POS_TYPE)
     ).cast(_POS_TYPE)
 
 
+def sentence_word_counts(sents: DataFrame, count_empty: bool = True) -> DataFrame:
+    """``word_counts`` of the tokens of ``sents``; a sentence's place is packed once, not for each of its tokens."""
+    placed = sents.select("words", F.explode(F.array(_packed_sentence())).alias("_at"))
+    return word_counts(tokens(placed, count_empty, keep=("_at",)))
+
+
 def word_counts(toks: DataFrame) -> DataFrame:
     """``word_counts(word, cnt, first_doc, first_sent, first_pos)``.
 
     A hot word is no problem: partial (map-side) aggregation sends one row
     per word and task into the shuffle.
     """
-    agg = toks.groupBy("word").agg(F.count(F.lit(1)).alias("cnt"), F.min(_packed_position()).alias("_first"))
+    at = F.col("_at") if "_at" in toks.columns else _packed_sentence()
+    agg = toks.groupBy("word").agg(F.count(F.lit(1)).alias("cnt"), F.min((at + F.col("pos").cast(_POS_TYPE)).cast(_POS_TYPE)).alias("_first"))
     first = F.col("_first")
     return agg.select(
         "word",
