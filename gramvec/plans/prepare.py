@@ -31,8 +31,10 @@ from gramvec.params import Params
 class Pipeline:
     """Lazily built stages of preprocessing over one ``documents`` DataFrame."""
 
-    def __init__(self, documents: DataFrame, params: Params, materialize_counts: bool = True):
+    def __init__(self, documents: DataFrame, params: Params, materialize_counts: bool = True, counts_only: bool = False):
+        """``counts_only``: no pairs follow, so the sentences are read by the counts alone and not written."""
         self.documents = documents
+        self._counts_only = counts_only
         self.p = params
         self.spark: SparkSession = documents.sparkSession
         self._mat = materialize_counts
@@ -49,7 +51,8 @@ class Pipeline:
 
     @cached_property
     def word_counts(self) -> DataFrame:
-        wc = VO.sentence_word_counts(self.sentences, self.p.count_empty)
+        sents = TX.sentences(self.documents) if self._counts_only else self.sentences
+        wc = VO.sentence_word_counts(sents, self.p.count_empty)
         return materialize(wc, "word_counts") if self._mat else wc
 
     @cached_property
@@ -70,7 +73,7 @@ class Pipeline:
 
     @cached_property
     def word_buckets(self) -> DataFrame:
-        return SA.word_buckets(self.word_counts.select("word"), self.p.ngram_size, self.p.num_buckets)
+        return self.word_counts.select("word", SA.buckets_of("word", self.p.ngram_size, self.p.num_buckets).alias("bucket_ids"))
 
     @property
     def _direct(self) -> bool:
