@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from gramvec.functions.permute import permuted
 from gramvec.operators import batches as BA
+from gramvec.operators import samples as SA
 from gramvec.operators.ordinals import global_ordinal
 from gramvec.params import Params
 from gramvec.plans.prepare import Pipeline, prepare
@@ -100,3 +101,32 @@ def test_sample_ordinals_over_passes(spark):
     assert keys == sorted(keys) and {k[0] for k in keys} == {0, 1, 2}
     want = pipe.samples.select("pass", "doc_id", "sent_idx", "pos", "off").collect()
     assert sorted(map(tuple, want)) == keys
+
+
+def test_batches_of_chunks_are_those_of_their_samples(spark, monkeypatch):
+    """Whole batches and those that lie across chunks and partitions, small and empty ones among them."""
+    monkeypatch.setattr(BA, "CHUNK_SAMPLES", 1)
+    words = ["ab", "äöü", "x", "a" * 40, "日本"]
+    rows = [(words[i * i % 5], i % 7) for i in range(1003)]
+    samples = spark.createDataFrame([(p, i, *r) for i, r in enumerate(rows) for p in [i // 400]], "p int, i long, target string, label int")
+    samples = samples.repartitionByRange(5, "p").sortWithinPartitions("p", "i")  # few of the partitions have rows
+    chunks, total = BA.sample_chunks(samples, 3)
+    assert total == 1003 and max(r["n"] for r in chunks.collect()) <= 24
+    want = {r["word"]: r["bucket_ids"] for r in SA.word_buckets(spark.createDataFrame([(w,) for w in words], "word string"), 3, 500).collect()}
+    for padded in (False, True):
+        got = {r["batch_id"]: r for r in BA.batches(chunks, total, 3, 3, 500, padded).collect()}
+        assert sorted(got) == list(range(334))
+        for k, r in got.items():
+            some = [want[w] for w, _ in rows[3 * k : 3 * k + 3]]
+            width = max(map(len, some))
+            assert r["labels"] == [x for _, x in rows[3 * k : 3 * k + 3]] and r["width"] == width
+            assert r["inputs"] == [x + [0] * (width - len(x)) * padded for x in some]
+
+
+def test_no_sample_is_shuffled_to_its_batch(spark, monkeypatch):
+    pipe = Pipeline(read_documents(spark, SF), P)
+    plan = pipe.padded_batches._jdf.queryExecution().optimizedPlan().toString()
+    whole, rest = plan.split("MapInArrow", 2)[1:]
+    assert "Aggregate" not in whole and "Aggregate [batch_id" in rest
+    ends = [r["n"] for r in pipe._chunks[0].collect()]
+    assert sum(ends) == pipe.total_samples and len(ends) * 20 < sum(ends)
