@@ -4,11 +4,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gramvec.operators import batches as BA
 from gramvec.operators import model as MO
 from gramvec.params import Params
 from gramvec.plans import fit as FT
 from gramvec.plans.infer import compute_similarities, format_similarities
-from gramvec.plans.prepare import prepare
+from gramvec.plans.prepare import Pipeline, prepare
 from gramvec.sources import model_io as IO
 from tests.conftest import SMALL_CORPUS, UNPUNCTUATED, docs
 
@@ -138,3 +139,23 @@ def test_every_batch_is_used_in_an_epoch(spark):
         assert rows == sorted(tuple(x) for x in want.select("batch_id", "t", "step").collect())
         seen += [x[0] for x in rows]
     assert set(seen) == set(range(97))
+
+
+def test_training_on_words_equals_training_on_buckets(spark, tmpdir_path):
+    """Batches are shuffled and stored with their words; a round hashes and pads its own."""
+    p = Params(steps=8, vocabulary_size=20, num_sampled=3, batch_size=16, embedding_size=8, num_buckets=2000, passes=20, rejection_threshold=1.0)
+    pl = Pipeline(docs(spark, [UNPUNCTUATED, SMALL_CORPUS], "en"), p)
+    assert pl.worded_batches.columns == ["batch_id", "targets", "labels"]
+    runs = []
+    for name, batches in (("words", pl.worded_batches), ("buckets", pl.padded_batches)):
+        log = FT.fit(batches, p, f"{tmpdir_path}/{name}", workers=2, local_steps=2, total=pl.total_batches)
+        runs.append((sorted(map(tuple, log.collect())), _values(spark, f"{tmpdir_path}/{name}"), _values(spark, f"{tmpdir_path}/{name}", 0)))
+    assert len(runs[0][0]) == 8 and runs[0] == runs[1]
+    ordered, _ = FT.order_batches(pl.worded_batches, 2, p.seed, total=pl.total_batches)
+    got = {r["batch_id"]: r for r in BA.hashed_batches(ordered, p.ngram_size, p.num_buckets).collect()}
+    want = {r["batch_id"]: r for r in pl.padded_batches.collect()}
+    assert got.keys() == want.keys() and all(got[k][c] == want[k][c] for k in want for c in ("inputs", "labels", "width"))
+    # resuming with words, on rows that the model lacks
+    FT.fit(pl.worded_batches, p.replace(steps=12), f"{tmpdir_path}/words", workers=2, local_steps=2, total=pl.total_batches)
+    FT.fit(pl.padded_batches, p.replace(steps=12), f"{tmpdir_path}/buckets", workers=2, local_steps=2, total=pl.total_batches)
+    assert _values(spark, f"{tmpdir_path}/words") == _values(spark, f"{tmpdir_path}/buckets")
