@@ -59,7 +59,7 @@ def global_ordinal(
     spark = df.sparkSession
     if stage_input:
         path = scratch_path(spark, "ordinal-input")
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         df = spark.read.parquet(path)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = _order_cols(order_by)
@@ -79,7 +79,7 @@ def ordinal_in_place(ordered: DataFrame, name: str = "ord", materialize: bool =
     tagged = ordered.withColumn("_mid", F.monotonically_increasing_id()).withColumn("_pid", F.shiftright(F.col("_mid"), 33))
     if materialize:
         path = scratch_path(spark, "ordinal")
-        tagged.write.parquet(path)
+        tagged.write.option("compression", "zstd").parquet(path)
         tagged = spark.read.parquet(path)
     counts = tagged.groupBy("_pid").count().collect()
     offsets, running = [], 0

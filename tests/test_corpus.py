@@ -55,3 +55,22 @@ def test_line_ends_and_file_ends(spark, tmpdir_path):
             f.write(text)
     rows = read_corpus(spark, folder).orderBy("doc_id").collect()
     assert [r["text"] for r in rows] == ["Eins ist da.", "Zwei ist\nauch da!", "Drei", "Vier.", "Fünf geht\n\nweiter."]
+
+
+def test_lines_are_numbered_where_they_are_scanned(spark, tmpdir_path, monkeypatch):
+    """Sentences are shuffled once, to ranges; lines never; one table of lines and one of sentences is written."""
+    from gramvec.operators import ordinals
+    from gramvec.session import scratch_path
+
+    written = []
+    monkeypatch.setattr(ordinals, "scratch_path", lambda s, name: (written.append(name), scratch_path(s, name))[1])
+    folder = os.path.join(tmpdir_path, "f")
+    os.makedirs(folder)
+    for i in range(40):
+        with open(os.path.join(folder, f"{i:02d}"), "w") as f:
+            f.write(f"{i} eins.\nzwei\nund {i} drei. " * (i % 3))
+    rows = read_corpus(spark, folder).orderBy("doc_id").collect()
+    assert written == ["lines", "ordinal"]
+    want = [[], ["{0} eins.", "zwei\nund {0} drei."], ["{0} eins.", "zwei\nund {0} drei.", "{0} eins.", "zwei\nund {0} drei."]]
+    assert [r["text"] for r in rows] == [t.format(i) for i in range(40) for t in want[i % 3]]
+    assert [r["doc_id"] for r in rows] == list(range(len(rows)))
