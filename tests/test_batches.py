@@ -130,3 +130,17 @@ def test_no_sample_is_shuffled_to_its_batch(spark, monkeypatch):
     assert "Aggregate" not in whole and "Aggregate [batch_id" in rest
     ends = [r["n"] for r in pipe._chunks[0].collect()]
     assert sum(ends) == pipe.total_samples and len(ends) * 20 < sum(ends)
+
+
+def test_stored_batches_are_plain_numbers(spark, pipe, tmpdir_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    write_batches(pipe.padded_batches, tmpdir_path + "/b", 2)
+    files = glob.glob(tmpdir_path + "/b/shard=*/*.parquet")
+    for f in files:
+        group = pq.ParquetFile(f).metadata.row_group(0)
+        for c in map(group.column, range(group.num_columns)):
+            assert c.compression == "ZSTD" and not any("DICTIONARY" in e for e in c.encodings)
+    assert files

@@ -73,3 +73,14 @@ def test_pairs_and_samples_are_not_shuffled(spark):
 def test_batch_numbers_alone_hash_nothing(spark):
     pl = Pipeline(docs(spark, [SMALL_CORPUS, UNPUNCTUATED]), Params(batch_size=16, vocabulary_size=30, num_buckets=500, rejection_threshold=0.01))
     assert "ArrowEval" not in plan(pl.batches.select("batch_id"))
+
+
+def test_buckets_as_text_are_those_of_the_arrays(spark):
+    words = spark.createDataFrame([(w,) for w in ["a", "", "äöü", "日本語", "x" * 70, "𝒳y", "harbour", "harbour"]], "word string")
+    both = words.select(SA.buckets_of("word", 3, 1000).alias("b"), SA.buckets_of("word", 3, 1000, text=True).alias("t")).collect()
+    assert len(both) == 8 and all(r["t"] == ",".join(map(str, r["b"])) for r in both)
+    p = Params(batch_size=4, vocabulary_size=30, num_buckets=500, rejection_threshold=1.0)
+    pl = Pipeline(docs(spark, [UNPUNCTUATED], "en"), p)
+    plan = pl.hashed_as(text=True)
+    want = sorted((r["pos"], r["off"], ",".join(map(str, r["bucket_ids"]))) for r in pl.hashed.collect())
+    assert sorted((r["pos"], r["off"], r["bucket_ids"]) for r in plan.collect()) == want and want
